@@ -6,17 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.llm import mixing, quality, sharding, simhash, tiling
 from parlance.llm.common import table
 
 
-def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from parlance.llm.simhash import near_duplicates
+def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected documents with expected grade and tail probability."""
+    return quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), only_kept=True)
+
+
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents with the benchmark items that they hold."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+
+def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_histogram_sort": op3_histogram_sort,
+    "op4_ordinal_quality": op4_ordinal_quality,
+    "op8_string_tiling": op8_string_tiling,
+    "op9_pareto_mix": op9_pareto_mix,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_pareto_mix": mixing.ORACLE,
+}
