@@ -1,8 +1,51 @@
-"""The training-corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding."""
+"""The training-corpus pipeline: quality, near-duplicates, decontamination, mixing, sharding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet in the shared folder and reread as the next one's
+docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parlance.llm import mixing, quality, sharding, simhash, tiling
+from parlance.llm.common import materialise, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that the ordinal classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: one document of each group of near copies stays (five-word shingles, similarity of 0.8 or more)."""
+    return simhash.drop_similar(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that hold benchmark items go."""
+    return tiling.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents as often as the mix takes them."""
+    return mixing.mix_documents(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: all columns and the shard and slot of every document."""
+    return sharding.shards(docs.withColumn("_whole_text", docs["text"])).withColumnRenamed("_whole_text", "text")
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", without_near_copies), ("decontamination", without_benchmark), ("mixing", mixed), ("sharding", sharded)]
+
+#: No SQL: the classifier, the index and the histogram sort aren't expressible in it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

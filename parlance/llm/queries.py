@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import fst_tokens, media, mixing, quality, secrets, sharding, simhash, tiling, urls
+from parlance.llm import fst_tokens, katz, media, mixing, quality, secrets, sharding, simhash, tiling, urls
 from parlance.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_fst_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fst_tokens": op1_fst_tokens,
+    "op2_katz": op2_katz,
     "op3_histogram_sort": op3_histogram_sort,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op5_url_rules": op5_url_rules,

@@ -109,38 +109,55 @@ class GrayIndex:
 
     def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs whose union spans every link of at most radius bits inside a group."""
+        yield from self._whole_nodes(radius)
+        yield from ((q, x) for q, x, _ in self._search(radius, True))
+
+    def nearest(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each entry with an earlier one in its group within radius bits: itself and the nearest of those."""
+        best = np.full(len(self.fps), np.iinfo(np.int64).max)
+        for query, found, distance in self._search(radius, False):
+            np.minimum.at(best, query, distance.astype(np.int64) << 40 | found)
+        some = np.flatnonzero(best != np.iinfo(np.int64).max)
+        return some, best[some] & ((1 << 40) - 1)
+
+    def _whole_nodes(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for level in range(1, len(self.levels)):  # a node whose open bits can't pass the radius is one component
             _, mask, starts, _ = self.levels[level]
             whole = np.flatnonzero(np.bitwise_count(~mask) <= radius)
             owner, child = self._children(level, whole)
             yield self._leaf_first(level, whole)[owner], self._leaf_first(level - 1, child)
+
+    def _search(self, radius: int, whole: bool):
+        """(query, entry, differences) of the pairs within radius, each from its later end; whole: one pair stands for a node that lies within."""
         top = len(self.levels) - 1
         roots = self.levels[top][3]
         root_of = np.searchsorted(roots, self.groups)
         size = max(1, FRONTIER // 64)
         for at in range(0, len(self.fps), size):
             query = np.arange(at, min(at + size, len(self.fps)))
-            yield from self._down(query, root_of[query], np.zeros(len(query), np.int64), np.zeros(len(query), np.uint64), top, radius)
+            yield from self._down(query, root_of[query], np.zeros(len(query), np.int64), np.zeros(len(query), np.uint64), top, radius, whole)
 
-    def _down(self, query, node, acc, seen, level, radius):
+    def _down(self, query, node, acc, seen, level, radius, shortcut):
         """seen: bits already compared on the way to the node; acc: differences among them."""
         if len(query) > FRONTIER and level < len(self.levels) - 1:
             for at in range(0, len(query), FRONTIER):
                 part = slice(at, at + FRONTIER)
-                yield from self._down(query[part], node[part], acc[part], seen[part], level, radius)
+                yield from self._down(query[part], node[part], acc[part], seen[part], level, radius, shortcut)
             return
         pattern, mask, _, _ = self.levels[level]
         acc = acc + np.bitwise_count((self.fps[query] ^ pattern[node]) & mask[node] & ~seen)
-        whole = acc + np.bitwise_count(~mask[node]) <= radius
+        whole = acc + np.bitwise_count(~mask[node]) <= radius if shortcut else (acc <= radius) & (level == 0)
+        if level == 0:
+            whole &= node < query
         if whole.any():
-            yield query[whole], self._leaf_first(level, node[whole])
+            yield query[whole], self._leaf_first(level, node[whole]), acc[whole]
         keep = (acc <= radius) & ~whole
         if level and keep.any():
             query, node, acc = query[keep], node[keep], acc[keep]
             owner, child = self._children(level, node)
             first = self._leaf_first(level - 1, child) < query[owner]  # a link is found from its later end
             owner, child = owner[first], child[first]
-            yield from self._down(query[owner], child, acc[owner], mask[node][owner], level - 1, radius)
+            yield from self._down(query[owner], child, acc[owner], mask[node][owner], level - 1, radius, shortcut)
 
 
 def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -170,13 +187,6 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(signed(index.fps[child])), pa.array(signed(index.fps[label[child]]))], ["u", "v"])
 
 
-def _blocks(fp: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The 4 near equal blocks (first bit, bits) of the bits outside taken."""
-    free = [b for b in range(64) if not any(a <= b < a + n for a, n in taken)]
-    cut = [len(free) * k // 4 for k in range(5)]
-    return [free[a:b] for a, b in zip(cut, cut[1:])]
-
-
 def _bits(column, bits: list[int]):
     """Integer of the given bits of a bigint column; runs of adjacent bits are moved at once."""
     out, at, k = None, 0, 0
@@ -248,3 +258,123 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id) of every row of docs."""
     prints = materialise(fingerprints(docs, id_col, text_col), "simhash")
     return prints.join(groups(prints, group_limit), "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: The pipeline's near-duplicates: five-word shingles at a Jaccard similarity of 0.8 or more.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Bits of the 64 that a pair of that similarity may differ in: mean 10, and two deviations.
+SIMILAR_RADIUS = 16
+#: Part of the bits in which such a pair agrees, and the part of the pairs that the tables of sampled bits may miss at just that similarity.
+AGREE, MISS = 0.844, 0.01
+_LANES = 4
+
+
+def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    x = h + np.uint64(0x9E3779B97F4A7C15 * lane % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(words: list[bytes], k: int = SIMILAR_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (fewer words: one of all)."""
+    k = min(k, len(words))
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.fromiter((digest(join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1)) if words else np.zeros(0, np.uint64)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """256-bit SimHash of a shingle set, as four lanes; the first is the fingerprint."""
+    out = np.zeros(_LANES, np.uint64)
+    for lane in range(_LANES):
+        h, ones = _mixed(shingles, lane) if lane else shingles, np.zeros(64, np.int64)
+        for at in range(0, len(h), _BITS_AT_ONCE):
+            ones += np.unpackbits(h[at : at + _BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[lane] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def tables(rows: int) -> list[np.ndarray]:
+    """Bits that each table samples of a signature: enough bits that unlike texts seldom meet, enough tables that like ones do."""
+    bits = max(12, int(rows).bit_length() - 4)
+    n = int(np.ceil(np.log(1 / MISS) / AGREE**bits))
+    rng = np.random.default_rng(11)
+    return [np.sort(rng.choice(64 * _LANES, bits, replace=False)) for _ in range(n)]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
+    if not parts:
+        return
+    key, fp, uid = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((uid, gray_rank(fp.view(np.uint64)), key))
+    index = GrayIndex(key[order], fp[order].view(np.uint64))
+    uid = uid[order]
+    a, b = index.nearest(SIMILAR_RADIUS)
+    yield pa.record_batch([pa.array(np.maximum(uid[a], uid[b])), pa.array(np.minimum(uid[a], uid[b]))], ["u", "v"])
+
+
+def similar_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Of docs with a unique number uid: (uid) of one document of each group of like texts, and of every document that has none.
+
+    Exact copies (of the lower-cased words) fall together first. Signatures are dealt to tables by sampled bits; in each group the Gray-order
+    index finds each entry's nearest earlier one within SIMILAR_RADIUS bits, and a pair is a link once its exact Jaccard similarity reaches
+    SIMILARITY. Each entry proposes one pair in a table, so no group gives all its pairs.
+    """
+    bound_arrow(docs.sparkSession)
+    texts = docs.select("uid", F.col(text_col).alias("text"))
+
+    def sign(b: pa.RecordBatch) -> pa.RecordBatch:
+        split = [t.lower().split() for t in utf8(b.column(1))]
+        whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in split), np.int64).reshape(-1, 2)
+        lanes = np.stack([signature(shingle_set(w)) for w in split])
+        return pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(whole[:, i])) for i in (0, 1)), *(pa.array(signed(lanes[:, i])) for i in range(_LANES))], names)
+
+    lane_names = [f"s{i}" for i in range(_LANES)]
+    names = ["uid", "c0", "c1", *lane_names]
+    prints = arrow_map(texts, sign, ", ".join(f"{n} bigint" for n in names))
+    first = prints.groupBy("c0", "c1").agg(F.min("uid").alias("uid"), *[F.first(n).alias(n) for n in lane_names])
+    reps = materialise(first.drop("c0", "c1"), "similar-signatures")
+    sampled = tables(reps.count())
+
+    def deal(b: pa.RecordBatch) -> pa.RecordBatch:
+        lanes = np.stack([b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(_LANES)], axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")
+        keys = []
+        for t, pick in enumerate(sampled):
+            packed = np.zeros((len(bits), 8), np.uint8)
+            cut = np.packbits(bits[:, pick], axis=1)
+            packed[:, : cut.shape[1]] = cut
+            keys.append(_mixed(packed.view(np.uint64).ravel(), t + 1))
+        n = len(sampled)
+        return pa.record_batch([pa.array(signed(np.concatenate(keys))), pa.array(np.tile(lanes[:, 0], n)), pa.array(np.tile(b.column(0).to_numpy(zero_copy_only=False), n))], ["key", "fp", "uid"])
+
+    dealt = arrow_map(reps, deal, "key bigint, fp bigint, uid bigint")
+    pairs = materialise(dealt.repartition("key").mapInArrow(_candidates, "u bigint, v bigint").distinct(), "similar-pairs")
+    asked = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
+
+    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [signed(shingle_set(t.lower().split())) for t in utf8(b.column(1))]
+        return pa.record_batch([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["uid", "x"])
+
+    shingles = materialise(arrow_map(texts.join(asked, "uid", "left_semi"), sets, "uid bigint, x array<bigint>"), "similar-sets")
+
+    def check(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3)):
+            a, z = x.values.to_numpy(), y.values.to_numpy()
+            both = len(np.intersect1d(a, z, assume_unique=True))
+            keep.append(both >= SIMILARITY * (len(a) + len(z) - both))
+        return b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = shingles.select(F.col("uid").alias("u"), F.col("x").alias("a")), shingles.select(F.col("uid").alias("v"), F.col("x").alias("b"))
+    links = arrow_map(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), check, "u bigint, v bigint")
+    return reps.select("uid").join(components(links).select(F.col("u").alias("uid")), "uid", "left_anti")
+
+
+def drop_similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs with one document of each group of like texts, all columns."""
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("uid", F.monotonically_increasing_id())
+    kept = similar_documents(inner, f"c{names.index(text_col)}")
+    return inner.join(kept, "uid", "left_semi").drop("uid").toDF(*names)
