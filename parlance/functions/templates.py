@@ -348,7 +348,7 @@ def fill(slots: tuple, content: Column, bos: str, eos: str) -> Column:
 def encode(t: Template, messages: Column, system: Column | str | None = None, tools: Column | None = None, bos: str = "<s>", eos: str = "</s>") -> Column:
     """array<string>: each message rendered, message 0 with prefix, system and tool text. tools: the rendered tool prompt or null.
 
-    Function turns must hold rendered calls (parlance.functions.toolcalls.render_turns).
+    Function turns must hold rendered calls (parlance.functions.toolcalls.render_turns, which makes them a column first).
     """
     system = F.lit(system) if system is None or isinstance(system, str) else system
     system = F.coalesce(F.nullif(system, F.lit("")), F.lit(t.default_system))
