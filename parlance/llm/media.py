@@ -82,7 +82,7 @@ def decode(media: bytes) -> np.ndarray:
     if not media.startswith(SIGNATURE):
         raise ValueError("not a PNG")
     at, size, data, ended = len(SIGNATURE), None, [], False
-    while at < len(media) and not ended:
+    while len(media) - at >= 12 and not ended:
         n, kind = struct.unpack_from(">I4s", media, at)
         body = media[at + 8 : at + 8 + n]
         if len(body) < n or struct.pack(">I", zlib.crc32(kind + body)) != media[at + 8 + n : at + 12 + n]:
