@@ -265,7 +265,11 @@ def focal_loss(p: Column, y: Column, alpha: float = 0.25, gamma: float = 2.0) ->
 
 def invalid(logits: Column, classes: tuple[str, str]) -> Column:
     """Whether a logits map lacks a class or holds a value that is no number."""
-    return F.coalesce(F.size(logits) <= 0, F.lit(True)) | F.array(*[F.coalesce(F.isnan(F.try_element_at(logits, F.lit(c))), F.lit(True)) for c in classes])[0] | F.array(*[F.coalesce(F.isnan(F.try_element_at(logits, F.lit(c))), F.lit(True)) for c in classes])[1]
+    bad = F.coalesce(F.size(logits) <= 0, F.lit(True))
+    for c in classes:
+        value = F.try_element_at(logits, F.lit(c))
+        bad = bad | value.isNull() | F.isnan(value)
+    return bad
 
 
 def mistakes(df: DataFrame, threshold: float, n: int, seed: int) -> DataFrame:

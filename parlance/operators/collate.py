@@ -80,7 +80,8 @@ def flatten_media(df: DataFrame, batch: int) -> DataFrame:
     rows = df.withColumn("batch_id", F.floor(F.col("_ord") / batch)).groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("_ord", "_images", "_videos", "_audios"))).alias("rows"))
     out = ["batch_id"]
     for kind in ("images", "videos", "audios"):
-        lists = F.transform("rows", lambda r, k=kind: F.coalesce(r[f"_{k}"], F.array()))
+        field = f"_{kind}"
+        lists = F.transform("rows", lambda r: F.coalesce(r[field], F.array()))  # noqa: B023  used at once
         out += [F.flatten(lists).alias(kind), F.transform(lists, F.size).alias(f"{kind}_counts")]
     return rows.select(*out)
 
