@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import bound_arrow, materialise
 
-BLOCK_BYTES, PART_BYTES = 16 << 20, 12 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
 K = 5
 FOLDS, HELD = 5, 1
 #: Digests of the two marks; no word holds a space.
@@ -156,17 +156,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         if not b.num_rows:
             continue
         first = b.column(2)[0].as_py() << 32
-        held.append(b)
-        size += b.column(1).nbytes
-        if size >= BLOCK_BYTES:
-            yield Block.read(first + n, *_columns(held))
-            n, held, size = n + 1, [], 0
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.float64))).astype(np.int64)
+        at = 0
+        while at < b.num_rows:  # an Arrow batch may hold several blocks
+            done = int(ends[at - 1]) if at else 0
+            upto = max(int(np.searchsorted(ends, done + BLOCK_BYTES - size, side="right")), at + 1)
+            held.append(b.slice(at, upto - at))
+            size += int(ends[upto - 1]) - done
+            at = upto
+            if size >= BLOCK_BYTES or at < b.num_rows:
+                yield Block.read(first + n, *_columns(held))
+                n, held, size = n + 1, [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield Block.read(first + n, *_columns(held))
 
 
 def _columns(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
-    whole = pa.Table.from_batches(batches).combine_chunks()
+    whole = pa.Table.from_batches(batches)
     return whole.column(0).combine_chunks(), whole.column(1).combine_chunks()
 
 
