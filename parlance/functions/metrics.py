@@ -157,11 +157,20 @@ def combined(loss: Column, other: Column, weight: float) -> Column:
     return (loss + weight * other) / (1 + weight)
 
 
-def bco_loss(df: DataFrame, chosen: str, rejected: str, decay: float = 0.0) -> DataFrame:
+def running_sums(df: DataFrame, order: str, values: list[str], chunk: int = 4096) -> DataFrame:
+    """df with the running sum of each value by an integer order column: sums per chunk first, so no task orders all rows."""
+    part = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    sums = part.groupBy("_chunk").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_chunk", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    own = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return part.join(bases, "_chunk").select(*df.columns, *[(F.sum(v).over(own) + F.col(f"_{v}")).alias(f"running_{v}") for v in values])
+
+
+def bco_loss(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
     """df with baseline (mean of all rewards up to the row's batch) and loss. Rows have batch_id."""
-    batches = df.groupBy("batch_id").agg(F.sum(F.col(chosen) + F.col(rejected)).alias("_s"), (F.count("*") * 2).alias("_c"))
-    by = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    base = batches.select("batch_id", (F.sum("_s").over(by) / F.sum("_c").over(by)).alias("baseline"))
+    batches = df.groupBy("batch_id").agg(F.sum(F.col(chosen) + F.col(rejected)).alias("s"), (F.count("*") * 2).alias("c"))
+    base = running_sums(batches, "batch_id", ["s", "c"]).select("batch_id", (F.col("running_s") / F.col("running_c")).alias("baseline"))
     return df.join(base, "batch_id").withColumn("loss", -log_sigmoid(F.col(chosen) - F.col("baseline")) - log_sigmoid(-(F.col(rejected) - F.col("baseline"))))
 
 

@@ -52,13 +52,14 @@ def segment_lengths(df: DataFrame, mask: str = "attention_mask", key: str = "_or
     return df.select(key, F.explode(mask).alias("segment")).where("segment > 0").groupBy(key, "segment").agg(F.count("*").alias("n"))
 
 
-def unpad_data(df: DataFrame, mask: str = "attention_mask", key: str = "_ord") -> tuple[DataFrame, DataFrame]:
-    """(flat indices of seen positions, cumulative segment lengths) over the table's rows end to end."""
-    width = F.size(mask)
-    at = df.select(key, width.alias("w"), mask).withColumn("base", F.coalesce(F.sum("w").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    indices = at.select("base", F.posexplode(mask)).where("col > 0").select((F.col("base") + F.col("pos")).alias("index"))
-    lengths = segment_lengths(df, mask, key)
-    return indices, lengths.withColumn("cumulative", F.sum("n").over(Window.orderBy(key, "segment").rowsBetween(Window.unboundedPreceding, 0)))
+def unpad_data(df: DataFrame, mask: str = "attention_mask", key: str = "_ord", batch: str = "batch_id") -> tuple[DataFrame, DataFrame]:
+    """(batch, index) of seen positions and (batch, key, segment, n, cumulative) of segments, a batch's rows end to end."""
+    before = Window.partitionBy(batch).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    at = df.select(batch, key, mask).withColumn("base", F.coalesce(F.sum(F.size(mask)).over(before), F.lit(0)))
+    indices = at.select(batch, "base", F.posexplode(mask)).where("col > 0").select(batch, (F.col("base") + F.col("pos")).alias("index"))
+    lengths = df.select(batch, key, F.explode(mask).alias("segment")).where("segment > 0").groupBy(batch, key, "segment").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(batch).orderBy(key, "segment").rowsBetween(Window.unboundedPreceding, 0)
+    return indices, lengths.withColumn("cumulative", F.sum("n").over(upto))
 
 
 def stack_pairs(df: DataFrame) -> DataFrame:

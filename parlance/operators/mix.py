@@ -34,13 +34,19 @@ def draw(df: DataFrame, n: int, seed: int, size: int | None = None) -> DataFrame
     return draws.join(df, "_ord")
 
 
+def permuted(df: DataFrame, seed: int) -> DataFrame:
+    """df in a seeded order: _ord is anew, _row the old one. No single-task sort and no large limit."""
+    return with_order(df.withColumnRenamed("_ord", "_row").withColumn("_lot", lot(seed, "_row")), ["_lot", "_row"]).drop("_lot")
+
+
 def sample(df: DataFrame, n: int, seed: int, size: int | None = None) -> DataFrame:
     """n rows: a permutation's first n; beyond the table's size all rows and further draws with replacement. _ord is anew."""
     size = _size(df) if size is None else size
-    taken = df.orderBy(lot(seed, "_ord"), "_ord").limit(min(n, size))
+    taken = first_n(permuted(df, seed), n).drop("_row")
     if n > size:
-        taken = df.unionByName(draw(df, n - size, seed + 1, size).drop("draw_no"))
-    return with_order(taken.withColumn("_lot", lot(seed, "_ord")).drop("_ord"), ["_lot"]).drop("_lot")
+        more = draw(df, n - size, seed + 1, size).withColumn("_ord", F.col("draw_no") + size).drop("draw_no")
+        taken = taken.unionByName(more)
+    return taken
 
 
 def resample(df: DataFrame, size: int | None = None, weight: float | None = None, seed: int = 0) -> DataFrame:
@@ -148,7 +154,7 @@ def holdout(df: DataFrame, val_size: float, seed: int, size: int | None = None)
     """(train, validation): an integer count above 1, a fraction otherwise (rounded up), by seeded order."""
     size = _size(df) if size is None else size
     n = int(val_size) if val_size > 1 else -int(-size * val_size // 1)
-    picked = df.select("_ord").orderBy(lot(seed, "_ord"), "_ord").limit(n)
+    picked = first_n(permuted(df.select("_ord"), seed), n).select(F.col("_row").alias("_ord"))
     return df.join(picked, "_ord", "left_anti"), df.join(picked, "_ord", "left_semi")
 
 
@@ -187,7 +193,7 @@ def pending(tasks: DataFrame, done: list[DataFrame], key: str) -> DataFrame:
 def epoch_order(df: DataFrame, seed: int, epoch: int, world: int, drop_last: bool = True, size: int | None = None) -> DataFrame:
     """df with rank and step: a permutation by seed + epoch, dealt to ranks in turn."""
     size = _size(df) if size is None else size
-    ordered = with_order(df.withColumnRenamed("_ord", "_row").withColumn("_lot", lot(seed + epoch, "_row")), ["_lot", "_row"]).drop("_lot")
+    ordered = permuted(df, seed + epoch)
     kept = ordered.where(F.col("_ord") < (size // world * world if drop_last else size))
     return kept.withColumn("rank", F.pmod("_ord", F.lit(world)).cast("int")).withColumn("step", F.floor(F.col("_ord") / world)).drop("_ord").withColumnRenamed("_row", "_ord")
 

@@ -95,7 +95,7 @@ def test_pad_to_multiple(spark):
 
 
 def test_segments(spark):
-    df = spark.createDataFrame([(0, [1, 1, 2, 2, 2, 0]), (1, [1, 2, 2, 3, 3, 3])], "_ord bigint, attention_mask array<int>")
+    df = spark.createDataFrame([(0, [1, 1, 2, 2, 2, 0]), (1, [1, 2, 2, 3, 3, 3])], "_ord bigint, attention_mask array<int>").withColumn("batch_id", F.lit(0))
     indices, lengths = B.unpad_data(df)
     rows = sorted(lengths.collect(), key=lambda r: (r["_ord"], r["segment"]))
     assert [r["n"] for r in rows] == [2, 3, 1, 2, 3] and [r["cumulative"] for r in rows] == [2, 5, 6, 8, 11]
