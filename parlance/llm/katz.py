@@ -13,7 +13,7 @@ Documents are read in blocks of BLOCK_BYTES of text. A block's distinct words an
 dealt to key-range partitions as packed arrays; each partition merges the arrays of all blocks into its part of the count tables and answers
 each block with the counts of its keys, in key order (and whether the block owns a key, so that each seen pair is summed once). The answers are
 a partitioned table in the shared folder. Blocks then score what is seen, and deal the seen sums of each history and the backoffs of each
-(document, history) to partitions by history, which normalise alpha and return the rest of each document's score. Keys are spread by hash and
+(document, history) to partitions by history, which normalise alpha and return to each block the rest of its documents' scores. Keys are spread by hash and
 a key comes once from each block, so no key is hot; a partition's size is set by the input through PART_BYTES.
 
 Null and empty texts are one end token. Repeated rows are counted and scored each. A null doc_id counts as empty text (training). Very long texts
@@ -135,16 +135,12 @@ class Block:
                 yield self.src, kind, int(part[a]), pack_sorted(keys[a:z]), pack(counts[a:z].astype(np.uint32))
 
     def dump(self) -> bytes:
-        sink = pa.BufferOutputStream()
         numbers = [self.held.astype(np.uint8), self.ends.astype(np.int64), self.tokens.astype(np.int32), self.words]
-        batch = pa.record_batch([pa.array([x], type=pa.list_(self.ids.type)) if i == 0 else pa.array([x], pa.binary()) for i, x in enumerate([self.ids, *map(pack, numbers)])], list("abcde"))
-        with pa.ipc.new_stream(sink, batch.schema) as out:
-            out.write_batch(batch)
-        return sink.getvalue().to_pybytes()
+        return _to_bytes(pa.record_batch([pa.array([self.ids], pa.list_(self.ids.type)), *(pa.array([pack(x)], pa.binary()) for x in numbers)], list("abcde")))
 
     @classmethod
     def load(cls, src: int, data: bytes) -> Block:
-        batch = pa.ipc.open_stream(data).read_next_batch()
+        batch = _from_bytes(data)
         held, ends, tokens, words = (unpack(batch.column(i)[0].as_py(), t) for i, t in ((1, np.uint8), (2, np.int64), (3, np.int32), (4, np.uint64)))
         return cls(src, batch.column(0)[0].values, held.astype(bool), ends, tokens, words)
 
@@ -268,10 +264,24 @@ class Totals:
         return np.where(counts > 0, discounted(counts, self.word_d) / max(self.n, 1), self.unknown)
 
 
-_DOC = "src bigint, d int, id {id}, held_out boolean, n_tokens bigint, n_known bigint, base double, part_score double"
+#: Kinds of rows behind scoring: a history's seen sums, backoffs asked for, a block's documents, a block's backoffs.
+SEEN, ASKED, DOCS, REPLY = 0, 1, 2, 3
+_MESSAGE = _fields(src=pa.int64(), kind=pa.int32(), part=pa.int32(), keys=pa.binary(), v0=pa.binary(), v1=pa.binary(), v2=pa.binary())
+_REPLY = _fields(src=pa.int64(), kind=pa.int32(), part=pa.int32(), keys=pa.binary(), v0=pa.binary())
 
 
-def _score(batches: Iterator[pa.RecordBatch], totals: Totals, parts: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _score(batches: Iterator[pa.RecordBatch], totals: Totals, parts: int) -> Iterator[pa.RecordBatch]:
     """Rows of one block after another, its answers first, then its dump: documents with what is seen scored, and messages by history."""
 
     def blocks() -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
@@ -308,22 +318,20 @@ def _score(batches: Iterator[pa.RecordBatch], totals: Totals, parts: int, schema
         add = lambda x: np.bincount(block.owner, weights=x, minlength=len(block.ends))
         c_t = c_w[block.tokens]
         base = add(np.log10((c_t + 0.5) / (totals.n + 0.5 * (totals.v + 1))))
-        docs = [
-            np.full(len(block.ends), block.src), np.arange(len(block.ends), dtype=np.int32), block.ids, block.held, np.diff(block.ends, prepend=0), np.rint(add(c_t > 0)).astype(np.int64), base, add(log_p[block.pair]),
-        ]
-        for at in range(0, len(block.ends), 20_000):
-            n = len(docs[0][at : at + 20_000])
-            yield _fill(schema, [pa.array(x[at : at + n]) if isinstance(x, np.ndarray) else x[at : at + n] for x in docs], ["src", "d", "id", "held_out", "n_tokens", "n_known", "base", "part_score"], part=block.src % parts, n=n)
+        docs = pa.record_batch(
+            [block.ids, pa.array(block.held), pa.array(np.diff(block.ends, prepend=0)), pa.array(np.rint(add(c_t > 0)).astype(np.int64)), pa.array(base), pa.array(add(log_p[block.pair]))],
+            ["id", "held_out", "n_tokens", "n_known", "base", "score"],
+        )
+        rows = [(block.src, DOCS, block.src % parts, _to_bytes(docs), None, None, None)]
         # Seen sums of each history, from the pairs that this block owns.
         some = np.flatnonzero(owned)
         hist, place = np.unique(block.h[some], return_inverse=True)
         sums = [np.bincount(place, weights=x[some], minlength=len(hist)) for x in (p1[block.w], c_hw - mass, c_hw)]
-        messages = [(0, block.words[hist], [sums[0], sums[1], np.rint(sums[2]).astype(np.uint64)])]
+        messages = [(SEEN, block.words[hist], [sums[0], sums[1], np.rint(sums[2]).astype(np.uint64)])]
         # Backoffs of each document and history.
         back = np.flatnonzero((c_hw[block.pair] == 0) & (c_h[block.pair] > 0))
         code, times = np.unique(block.owner[back] * len(block.words) + block.h[block.pair[back]], return_counts=True)
-        messages.append((1, block.words[code % len(block.words)], [(code // len(block.words)).astype(np.uint32), times.astype(np.uint32)]))
-        rows = []
+        messages.append((ASKED, block.words[code % len(block.words)], [(code // len(block.words)).astype(np.uint32), times.astype(np.uint32)]))
         for kind, keys, values in messages:
             order = np.argsort(keys, kind="stable")
             keys, values = keys[order], [v[order] for v in values]
@@ -331,44 +339,49 @@ def _score(batches: Iterator[pa.RecordBatch], totals: Totals, parts: int, schema
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             for a, z in zip(cuts, [*cuts[1:], len(keys)]):
                 rows.append((block.src, kind, int(part[a]), pack_sorted(keys[a:z]), *(pack(v[a:z]) for v in values), *[None] * (3 - len(values))))
-        for at in range(0, len(rows), 128):
-            some = rows[at : at + 128]
-            columns = [pa.array(c, schema.field(n).type) for c, n in zip(zip(*some), ("src", "kind", "part", "keys", "v0", "v1", "v2"))]
-            yield _fill(schema, columns, ["src", "kind", "part", "keys", "v0", "v1", "v2"], n=len(some))
-
+        yield from _batches(iter(rows), _MESSAGE)
 
-def _fill(schema: pa.Schema, columns: list[pa.Array], names: list[str], n: int, part: int | None = None) -> pa.RecordBatch:
-    """A batch of the schema with the given columns, others null."""
-    given = dict(zip(names, columns))
-    if part is not None:
-        given["part"] = pa.array(np.full(n, part, np.int32))
-    return pa.record_batch([given[f.name].cast(f.type) if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-
-def _normalise(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Documents pass; of the messages of a history range, alpha is normalised and each document's backoffs are returned."""
+def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents pass; of the messages of a history range, alpha is normalised and each block's backoffs are returned, summed by document."""
     seen, asked = [], []
-    names = schema.names
+
+    def replies() -> Iterator[tuple]:
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[1] == DOCS:
+                    yield (*row[:4], None)
+                else:
+                    (asked if row[1] == ASKED else seen).append((row[0], *row[3:], row[2]))
+        if not asked:
+            return
+        seen.sort(key=lambda r: r[0])
+        keys = np.concatenate([unpack_sorted(r[1]) for r in seen])
+        hist, place = np.unique(keys, return_inverse=True)
+        p1, left, count = (np.bincount(place, weights=np.concatenate([unpack(r[i], t) for r in seen]).astype(np.float64), minlength=len(hist)) for i, t in ((2, np.float64), (3, np.float64), (4, np.uint64)))
+        alpha = np.log10((left / count) / np.maximum(1 - p1, 1e-300))
+        for src, keys, v0, v1, _, part in sorted(asked, key=lambda r: r[0]):
+            at = np.searchsorted(hist, unpack_sorted(keys))
+            d, place = np.unique(unpack(v0, np.uint32), return_inverse=True)
+            yield src, REPLY, part, pack(d), pack(np.bincount(place, weights=unpack(v1, np.uint32) * alpha[at], minlength=len(d)))
+
+    yield from _batches(replies(), _REPLY)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one block after another, its documents first, then the replies: documents with their whole score."""
+    docs, score = None, None
     for b in batches:
-        doc = pc.is_null(b.column(b.schema.get_field_index("kind")))
-        docs = b.filter(doc)
-        if docs.num_rows:
-            yield pa.record_batch([docs.column(docs.schema.get_field_index(x)).cast(schema.field(x).type) for x in names], schema=schema)
-        rest = b.filter(pc.invert(doc))
-        for src, kind, keys, v0, v1, v2 in zip(*(rest.column(rest.schema.get_field_index(x)).to_pylist() for x in ("src", "kind", "keys", "v0", "v1", "v2"))):
-            (asked if kind else seen).append((src, keys, v0, v1, v2))
-    if not asked:
-        return
-    seen.sort(key=lambda r: r[0])
-    keys = np.concatenate([unpack_sorted(r[1]) for r in seen])
-    hist, place = np.unique(keys, return_inverse=True)
-    p1, left, count = (np.bincount(place, weights=np.concatenate([unpack(r[i], t) for r in seen]).astype(np.float64), minlength=len(hist)) for i, t in ((2, np.float64), (3, np.float64), (4, np.uint64)))
-    alpha = np.log10((left / count) / np.maximum(1 - p1, 1e-300))
-    for src, keys, v0, v1, _ in sorted(asked, key=lambda r: r[0]):
-        at = np.searchsorted(hist, unpack_sorted(keys))
-        d, place = np.unique(unpack(v0, np.uint32), return_inverse=True)
-        sums = np.bincount(place, weights=unpack(v1, np.uint32) * alpha[at], minlength=len(d))
-        yield _fill(schema, [pa.array(np.full(len(d), src)), pa.array(d.astype(np.int32)), pa.array(sums)], ["src", "d", "part_score"], n=len(d))
+        for kind, first, second in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("kind", "keys", "v0"))):
+            if kind == DOCS:
+                if docs is not None:
+                    yield docs.set_column(5, "score", pa.array(score))
+                docs = _from_bytes(first)
+                score = docs.column(5).to_numpy(zero_copy_only=False).copy()
+            else:
+                score[unpack(first, np.uint32)] += unpack(second, np.float64)
+    if docs is not None:
+        yield docs.set_column(5, "score", pa.array(score))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,8 +389,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     docs is read twice and must give the same partitions each time, as a table's scan does.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spark = docs.sparkSession
     bound_arrow(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("partition"))
@@ -403,12 +414,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     totals = Totals.of(stats[WORDS], stats[PAIRS])
 
     kind = dict(texts.dtypes)["id"]
-    doc = _DOC.format(id=kind)
-    mixed = f"{doc}, kind int, part int, keys binary, v0 binary, v1 binary, v2 binary"
-    empty = lambda ddl: to_arrow_schema(spark.createDataFrame([], ddl).schema)
-    mixed_schema, doc_schema = empty(mixed), empty(doc)
     together = answers.where("src >= 0").select("src", "kind", "part", "vals").unionByName(texts.mapInArrow(dump, answer).select("src", "kind", "part", "vals"))
-    scored = together.repartition("src").sortWithinPartitions("src", "kind", "part").mapInArrow(lambda it: _score(it, totals, parts, mixed_schema), mixed)
-    summed = scored.repartitionById(parts, F.col("part")).mapInArrow(lambda it: _normalise(it, doc_schema), doc)
-    one = summed.groupBy("src", "d").agg(*[F.max(c).alias(c) for c in ("id", "held_out", "n_tokens", "n_known", "base")], F.sum("part_score").alias("score"))
-    return one.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(totals.n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    scored = together.repartition("src").sortWithinPartitions("src", "kind", "part").mapInArrow(lambda it: _score(it, totals, parts), "src bigint, kind int, part int, keys binary, v0 binary, v1 binary, v2 binary")
+    replies = scored.repartitionById(parts, F.col("part")).mapInArrow(_normalise, "src bigint, kind int, part int, keys binary, v0 binary")
+    whole = replies.repartition("src").sortWithinPartitions("src", "kind", "part").mapInArrow(_assemble, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double")
+    return whole.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(totals.n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
