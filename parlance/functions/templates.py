@@ -474,3 +474,25 @@ def to_modelfile(t: Template, bos: str = "<s>", eos: str = "</s>") -> str:
     if t.default_system:
         lines += [f'SYSTEM """{t.default_system}"""', ""]
     return "\n".join(lines + [f'PARAMETER stop "{w}"' for w in stop_words(t, eos)] + ["PARAMETER num_ctx 4096", ""])
+
+
+def infer(render, prefix: str = "") -> Template:
+    """A template from a chat renderer: render(messages, add_generation_prompt) -> text, prefix: what every text begins with.
+
+    Slots are what probe messages render to. The default system text is what a lone user turn has more than one behind an empty system turn,
+    found between the two texts' common ends.
+    """
+    mark = {"content": CONTENT}
+    say = lambda messages, go: render(messages, go)[len(prefix) :]
+    system = say([{"role": "system"} | mark], False)
+    bare = say([{"role": "system", "content": ""}, {"role": "user"} | mark], True)
+    user = say([{"role": "user"} | mark], True)
+    answer = say([{"role": "user"} | mark, {"role": "assistant"} | mark], False)[len(user) :]
+    reasons = "<think>" in answer
+    answer = answer.replace("<think>", "").replace("</think>", "").lstrip("\n")
+    default = ""
+    if len(user) > len(bare):
+        front = next((i for i, (a, b) in enumerate(zip(user, bare)) if a != b), len(bare))
+        default = user[front : front + len(user) - len(bare)]
+        user = user[len(system.replace(CONTENT, default, 1)) :]
+    return Template(user=(user,), assistant=(answer,), system=(system,), function=(answer,), observation=(user,), prefix=(prefix,) if prefix else (), default_system=default, kind="reasoning" if reasons else "plain")

@@ -97,3 +97,15 @@ def test_merge_pending_balance(spark):
     assert {r["id"]: r["worker"] for r in mix.balance(tasks, 2).collect()} == {1: 0, 0: 1, 2: 1, 3: 1}
     stems = spark.createDataFrame([("a/b.c.mp4",), (".hidden",), ("x/y",)], "p string").select(mix.stem(F.col("p")).alias("s")).collect()
     assert [r["s"] for r in stems] == ["b.c", ".hidden", "y"]
+
+
+def test_manifests_and_mappings(spark, tmp_path):
+    df = spark.createDataFrame([([{"content": [{"type": "text", "video": None}, {"type": "video", "video": "v.mp4"}]}],), ([{"content": []}],)], "messages array<struct<content:array<struct<type:string,video:string>>>>")
+    assert [r["v"] for r in df.select(readers.first_video().alias("v")).collect()] == ["v.mp4", None]
+    (tmp_path / "mapping.json").write_text(json.dumps({"law": {"name": "Law", "category": "Social"}, "maths": {"name": "Maths", "category": "STEM"}}))
+    got = readers.subjects(readers.read_files(spark, f"file://{tmp_path / 'mapping.json'}"))
+    assert sorted(tuple(r) for r in got.collect()) == [("law", "Law", "Social"), ("maths", "Maths", "STEM")]
+    ordered = readers.with_order(spark.range(7))
+    assert [r["id"] for r in readers.page(ordered, 1, 2).orderBy("_ord").collect()] == [2, 3]
+    readers.register_script("demo", lambda spark, n=3: spark.range(n))
+    assert readers.SCRIPTS["demo"](spark).count() == 3

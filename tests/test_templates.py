@@ -98,3 +98,14 @@ def test_resolve_and_tokens():
 def test_exports():
     assert "<<SYS>>" in T.to_jinja(T.REGISTRY["llama2"]) and "{% for message in loop_messages %}" in T.to_jinja(T.REGISTRY["qwen"])
     assert 'PARAMETER stop "<|im_end|>"' in T.to_modelfile(T.REGISTRY["qwen"])
+
+
+def test_infer_from_renderer():
+    def render(messages, go, default="Be kind."):
+        if messages[0]["role"] != "system" and default:
+            messages = [{"role": "system", "content": default}, *messages]
+        return "<s>" + "".join(f"[{m['role']}]{m['content']}[end]\n" for m in messages) + ("[assistant]" if go else "")
+
+    t = T.infer(render, "<s>")
+    assert t.system == ("[system]{{content}}[end]\n",) and t.user == ("[user]{{content}}[end]\n[assistant]",) and t.default_system == "Be kind." and t.prefix == ("<s>",)
+    assert T.infer(lambda m, g: render(m, g, ""), "<s>").default_system == ""
