@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.schema import ANSWERING, ASKING, ASSISTANT, FUNCTION, MESSAGES, OBSERVATION, SYSTEM, USER, message, messages
+from parlance.schema import ANSWERING, ASKING, ASSISTANT, FUNCTION, OBSERVATION, SYSTEM, USER, message, messages
 from parlance.sources.catalog import SourceSpec
 
 TOOL_JOINT = "\n</tool_response>\n<tool_response>\n"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parlance.functions import media, metrics, rendering, templates, toolcalls
 from parlance.functions.tokens import Chars
 from parlance.operators import align, collate, encode, mix, requests, validate
-from parlance.schema import ASSISTANT, MESSAGES, USER, message, messages
+from parlance.schema import USER, message, messages
 from parlance.sources import sinks
 from parlance.sources.catalog import SourceSpec
 
