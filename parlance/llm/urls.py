@@ -12,7 +12,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
