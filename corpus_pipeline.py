@@ -34,7 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: all columns and the shard and slot of every document."""
-    return sharding.shards(docs.withColumn("_whole_text", docs["text"])).withColumnRenamed("_whole_text", "text")
+    return sharding.shards(docs)
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", without_near_copies), ("decontamination", without_benchmark), ("mixing", mixed), ("sharding", sharded)]

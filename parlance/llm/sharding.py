@@ -6,6 +6,8 @@ within tolerance, then one exchange moves every row to its place. The ranges of
 found in the same passes, so a shard is sorted by many tasks, and since the rows below each range are known exactly, slots need no second
 exchange.
 
+docs is read twice and must give the same partitions each time, as a table's scan does.
+
 Size: UTF-8 bytes of the text (null: none) plus ROW_BYTES. Null, empty and very long texts are rows like others; repeated rows take slots of
 their own. An empty table gives an empty result. Extra columns are carried when asked for.
 """
@@ -26,6 +28,8 @@ from parlance.llm.common import arrow_map, materialise, signed, utf8
 from parlance.llm.splitters import Search, find
 
 SHARDS, ROW_BYTES = 40, 16
+#: Columns that the operator adds; a carried column of such a name gets "_doc" behind it.
+OWN = ("size", "text_crc32", "shard", "slot")
 #: How far a border may be from its exact place, as a part of a shard's bytes.
 TOLERANCE = 0.002
 #: Rows of one range of the exchange at most, up to ranges of equal rows for each shuffle partition.
@@ -49,14 +53,15 @@ def _measured(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS, text_col: str = "text", carry: list[str] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
-    """carry (default: all columns of docs but the text), then size, text_crc32, shard and slot of every row."""
+    """carry (default: all columns of docs), then size, text_crc32, shard and slot of every row."""
     spark = docs.sparkSession
-    carry = [c for c in docs.columns if c != text_col] if carry is None else carry
+    carry = docs.columns if carry is None else carry
     own = [f"c{i}" for i in range(len(carry))]
     inner = docs.select(*[F.col(c).alias(o) for c, o in zip(carry, own)], F.col(text_col).alias("_text"))
     measured = _measured(inner, "_text")
-    rows = materialise(measured.drop("_text"), "shard-rows")
-    keys = rows.select(F.lit(0).alias("g"), F.col("_k").alias("k"), F.col("_u").alias("u"), F.col("_w").alias("w"))
+    narrow = materialise(measured.select("_k", "_u", "_w", "_crc"), "shard-keys")
+    rows = measured.drop("_text")  # carried columns are read again for the exchange, not stored
+    keys = narrow.select(F.lit(0).alias("g"), F.col("_k").alias("k"), F.col("_u").alias("u"), F.col("_w").alias("w"))
     weight, n = (int(x or 0) for x in keys.agg(F.sum("w"), F.count("*")).first())
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
     by_bytes = [Search(0, weight * i / n_shards, tolerance=tolerance * weight / n_shards) for i in range(1, n_shards)]
@@ -109,8 +114,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, text_col: str = "text", carr
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_own])
     out = moved.mapInArrow(number, f"{kinds + ', ' if own else ''}_w bigint, _crc bigint, _shard int, _slot bigint")
-    names = [*carry, "size", "text_crc32", "shard", "slot"]
-    return out.toDF(*names)
+    return out.toDF(*[f"{c}_doc" if c in OWN else c for c in carry], *OWN)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:

@@ -156,6 +156,9 @@ def test_shards(spark, docs, empty):
     assert max(loads.values()) - min(loads.values()) <= 2 * max(r["size"] for r in got)
     assert sharding.shard_documents(empty).count() == 0
     check_shards(sharding.shard_documents(docs, 40).collect(), docs, 40)
+    whole = sharding.shards(docs, 5)
+    assert whole.columns == ["doc_id", "text", "lang", "source", "n_chars", "size_doc", "shard_doc", "fp", "keep", "u", *sharding.OWN]
+    assert {r["size_doc"] for r in whole.collect()} == {7} and whole.count() == docs.count()
 
 
 def test_shards_of_one_hot_text(spark):

@@ -33,3 +33,22 @@ def test_stages_of_an_empty_table(spark, data):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialise(stage(spark, docs, data), name)
     assert docs.count() == 0
+
+
+def test_stages_of_odd_rows(spark, data):
+    """Nulls in every column, empty and long texts, repeated rows, clashing column names."""
+    made = [(None, None, None, None, None, None, None), (1, "", "en", "a", 0, 1, "x"), (2, "word " * 40_000, "en", None, 9, 2, "y"), (3, "a b c d e f g", None, "a", None, None, None)]
+    made += [made[3], made[3], (3, "another text of the same number", "en", "b", 1, 1, "z"), (4, "é   tie", "fr", "", 1, 1, "z")]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, uid string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.materialise(stage(spark, docs, data), name)
+        got = out.collect()
+        if name == "sharding":
+            assert {"shard_doc", "shard", "slot"} <= set(out.columns) and len(got) == len(made)
+        else:
+            assert out.columns == docs.columns
+        if name == "near_duplicates":
+            texts = [r["text"] for r in got]
+            assert texts.count("a b c d e f g") == 1 and len(got) == len(made) - 3  # one of the empty pair and two repeats go
+        if name == "decontamination":
+            assert len(got) == len(made)
