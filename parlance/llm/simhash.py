@@ -262,9 +262,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: The pipeline's near-duplicates: five-word shingles at a Jaccard similarity of 0.8 or more.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: Bits of the 64 that a pair of that similarity may differ in: mean 10, and two deviations.
-SIMILAR_RADIUS = 16
-#: Part of the bits in which such a pair agrees, and the part of the pairs that the tables of sampled bits may miss at just that similarity.
+#: Documents whose shingles tell which are common, and the number of common ones that are told to all tasks. They only set the order.
+ORDER_DOCS, COMMON = 20_000, 1 << 18
+#: Holders of one shingle in a part; those of a more common one are compared by pairs of parts, each in a task's group of its own.
+PART = 500
+#: Pairs of sketches compared at once.
+_PAIRS_AT_ONCE = 1 << 16
+#: Part of the bits in which a pair of that similarity agrees, and the part of the pairs that tables of sampled bits may miss at just that similarity.
 AGREE, MISS = 0.844, 0.01
 _LANES = 4
 
@@ -283,93 +287,163 @@ def shingle_set(words: list[bytes], k: int = SIMILAR_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1)) if words else np.zeros(0, np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """256-bit SimHash of a shingle set, as four lanes; the first is the fingerprint."""
-    out = np.zeros(_LANES, np.uint64)
-    for lane in range(_LANES):
-        h, ones = _mixed(shingles, lane) if lane else shingles, np.zeros(64, np.int64)
-        for at in range(0, len(h), _BITS_AT_ONCE):
-            ones += np.unpackbits(h[at : at + _BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[lane] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
-    return out
-
-
 def tables(rows: int) -> list[np.ndarray]:
-    """Bits that each table samples of a signature: enough bits that unlike texts seldom meet, enough tables that like ones do."""
+    """Bits that each table samples of a 256-bit signature: enough bits that unlike texts seldom meet, enough tables that like ones do."""
     bits = max(12, int(rows).bit_length() - 4)
     n = int(np.ceil(np.log(1 / MISS) / AGREE**bits))
     rng = np.random.default_rng(11)
     return [np.sort(rng.choice(64 * _LANES, bits, replace=False)) for _ in range(n)]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
+def prefix(shingles: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """So many of a set's shingles, rarest first, that two sets of SIMILARITY share one of them. common is sorted; others count as rare."""
+    if not len(shingles):
+        return shingles
+    weight = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        weight = np.where(common[at] == shingles, times[at], 0)
+    least = int(np.ceil(SIMILARITY * len(shingles) - 1e-9))
+    return shingles[np.lexsort((shingles, weight))[: len(shingles) - least + 1]]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of 256 classes, 255 at most."""
+    return np.minimum(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def alike(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b shingles that share so many reach SIMILARITY."""
+    return both >= SIMILARITY * (a + b - both)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The holders of each shingle that has several, and the number of parts they make."""
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for b in batches if b.num_rows]
     if not parts:
         return
-    key, fp, uid = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((uid, gray_rank(fp.view(np.uint64)), key))
-    index = GrayIndex(key[order], fp[order].view(np.uint64))
-    uid = uid[order]
-    a, b = index.nearest(SIMILAR_RADIUS)
-    yield pa.record_batch([pa.array(np.maximum(uid[a], uid[b])), pa.array(np.minimum(uid[a], uid[b]))], ["u", "v"])
+    token, uid = (np.concatenate(x) for x in zip(*parts))
+    _, at, count = np.unique(token, return_inverse=True, return_counts=True)
+    some = count[at] > 1
+    yield pa.record_batch([pa.array(token[some]), pa.array(uid[some]), pa.array(-(-count[at][some] // PART))], ["token", "uid", "parts"])
+
+
+def _dealt(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Holders to the group of their shingle, or to those of each pair of parts that has their own."""
+    token, uid, parts = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+    own = _mixed(uid, 1) % parts
+    each = np.maximum(parts.astype(np.int64) - 1, 1)
+    row = np.repeat(np.arange(len(uid)), each)
+    other = (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)).astype(np.uint64)
+    mine = own[row]
+    other += (other >= mine) & (parts[row] > 1)
+    key = _mixed(_mixed(token[row], 1) ^ (np.minimum(mine, other) << np.uint64(32) | np.maximum(mine, other)), 2)
+    rest = b.select(["uid", "n", "sketch", "root"]).take(pa.array(row))
+    return pa.record_batch([pa.array(signed(key)), *rest.columns], ["key", "uid", "n", "sketch", "root"])
+
+
+def _proposed(nearest: bool):
+    """Pairs of a group that may reach SIMILARITY and aren't joined yet: all, or of each entry the one with the likest earlier entry.
+
+    The classes of two sketches bound what the sets can share, so no pair that reaches it is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            if b.num_rows:
+                parts.append([*(b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, 256)])
+        if not parts:
+            return
+        key, uid, n, root, classes = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((uid, key))
+        key, uid, n, root, classes = key[order], uid[order], n[order], root[order], classes[order]
+        lost = n - classes.sum(axis=1, dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        found, held = [], 0
+        for first, end in zip(starts.tolist(), np.r_[starts[1:], len(key)].tolist()):
+            size = max(1, _PAIRS_AT_ONCE // (end - first))
+            for at in range(first, end, size):
+                a = np.arange(at, min(at + size, end))[:, None]
+                b = np.arange(first, a[-1, 0] + 1)[None, :]
+                a, b = (x[(b < a) & (root[a] != root[b]) & alike(np.minimum(n[a], n[b]), n[a], n[b])] for x in np.broadcast_arrays(a, b))
+                both = np.minimum(np.minimum(classes[a], classes[b]).sum(axis=1, dtype=np.int64) + lost[a], np.minimum(n[a], n[b]))
+                some = alike(both, n[a], n[b])
+                a, b, both = a[some], b[some], both[some]
+                if nearest and len(a):
+                    by = np.lexsort((-both / (n[a] + n[b]), a))
+                    by = by[np.r_[True, a[by][1:] != a[by][:-1]]]
+                    a, b = a[by], b[by]
+                found.append((uid[a], uid[b]))
+                held += len(a)
+                if held > _PAIRS_AT_ONCE:
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], ["u", "v"])
+                    found, held = [], 0
+        if held:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], ["u", "v"])
+
+    return run
+
+
+def _links(entries: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+    """(u, v) of the proposed pairs whose exact similarity reaches SIMILARITY."""
+    groups = arrow_map(entries.select("token", "uid", "parts", "n", "sketch", "root"), _dealt, "key bigint, uid bigint, n bigint, sketch binary, root bigint")
+    pairs = materialise(groups.repartition("key").mapInArrow(_proposed(nearest), "u bigint, v bigint").distinct(), "similar-pairs")
+
+    def check(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3)):
+            a, z = x.values.to_numpy(), y.values.to_numpy()
+            keep.append(alike(len(np.intersect1d(a, z, assume_unique=True)), len(a), len(z)))
+        return b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sets.select(F.col("uid").alias("u"), F.col("x").alias("a")), sets.select(F.col("uid").alias("v"), F.col("x").alias("b"))
+    return arrow_map(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), check, "u bigint, v bigint")
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that several of a bounded sample of texts hold, and how many do."""
+    part = -(-texts.count() // ORDER_DOCS) or 1
+
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t.lower().split()) for t in utf8(b.column(0))]
+        return pa.record_batch([pa.array(signed(np.concatenate(found)))], ["x"])
+
+    sample = arrow_map(texts.where(F.pmod(F.xxhash64("uid"), F.lit(part)) == 0).select("text"), each, "x bigint")
+    found = sample.groupBy("x").count().where("count > 1").orderBy(F.desc("count"), "x").limit(COMMON).toArrow()
+    x, times = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(x)
+    return x[order], times[order]
 
 
 def similar_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Of docs with a unique number uid: (uid) of one document of each group of like texts, and of every document that has none.
 
-    Exact copies (of the lower-cased words) fall together first. Signatures are dealt to tables by sampled bits; in each group the Gray-order
-    index finds each entry's nearest earlier one within SIMILAR_RADIUS bits, and a pair is a link once its exact Jaccard similarity reaches
-    SIMILARITY. Each entry proposes one pair in a table, so no group gives all its pairs.
+    Exact copies (of the lower-cased words) fall together first. The search is exact: two sets of SIMILARITY share a shingle among the rarest
+    of each (prefix filter), so each shingle's holders are compared, by sketches that bound what the sets share, and then exactly.
     """
     bound_arrow(docs.sparkSession)
     texts = docs.select("uid", F.col(text_col).alias("text"))
+    common, times = common_shingles(texts)
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         split = [t.lower().split() for t in utf8(b.column(1))]
         whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in split), np.int64).reshape(-1, 2)
-        lanes = np.stack([signature(shingle_set(w)) for w in split])
-        return pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(whole[:, i])) for i in (0, 1)), *(pa.array(signed(lanes[:, i])) for i in range(_LANES))], names)
-
-    lane_names = [f"s{i}" for i in range(_LANES)]
-    names = ["uid", "c0", "c1", *lane_names]
-    prints = arrow_map(texts, sign, ", ".join(f"{n} bigint" for n in names))
-    first = prints.groupBy("c0", "c1").agg(F.min("uid").alias("uid"), *[F.first(n).alias(n) for n in lane_names])
-    reps = materialise(first.drop("c0", "c1"), "similar-signatures")
-    sampled = tables(reps.count())
-
-    def deal(b: pa.RecordBatch) -> pa.RecordBatch:
-        lanes = np.stack([b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(_LANES)], axis=1)
-        bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")
-        keys = []
-        for t, pick in enumerate(sampled):
-            packed = np.zeros((len(bits), 8), np.uint8)
-            cut = np.packbits(bits[:, pick], axis=1)
-            packed[:, : cut.shape[1]] = cut
-            keys.append(_mixed(packed.view(np.uint64).ravel(), t + 1))
-        n = len(sampled)
-        return pa.record_batch([pa.array(signed(np.concatenate(keys))), pa.array(np.tile(lanes[:, 0], n)), pa.array(np.tile(b.column(0).to_numpy(zero_copy_only=False), n))], ["key", "fp", "uid"])
-
-    dealt = arrow_map(reps, deal, "key bigint, fp bigint, uid bigint")
-    pairs = materialise(dealt.repartition("key").mapInArrow(_candidates, "u bigint, v bigint").distinct(), "similar-pairs")
-    asked = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
-
-    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [signed(shingle_set(t.lower().split())) for t in utf8(b.column(1))]
-        return pa.record_batch([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["uid", "x"])
-
-    shingles = materialise(arrow_map(texts.join(asked, "uid", "left_semi"), sets, "uid bigint, x array<bigint>"), "similar-sets")
+        heads = [signed(prefix(shingle_set(w), common, times)) for w in split]
+        return pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(whole[:, i])) for i in (0, 1)), pa.array(heads, pa.list_(pa.int64()))], ["uid", "c0", "c1", "head"])
 
-    def check(b: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3)):
-            a, z = x.values.to_numpy(), y.values.to_numpy()
-            both = len(np.intersect1d(a, z, assume_unique=True))
-            keep.append(both >= SIMILARITY * (len(a) + len(z) - both))
-        return b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    prints = arrow_map(texts, sign, "uid bigint, c0 bigint, c1 bigint, head array<bigint>")
+    reps = materialise(prints.groupBy("c0", "c1").agg(F.min("uid").alias("uid"), F.first("head").alias("head")).drop("c0", "c1"), "similar-prefixes")
+    shared = materialise(reps.select(F.explode("head").alias("token"), "uid").repartition("token").mapInArrow(_shared, "token bigint, uid bigint, parts bigint"), "similar-shared")
+
+    def sets_of(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t.lower().split()) for t in utf8(b.column(1))]
+        return pa.record_batch([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x) for x in found], pa.binary()), pa.array([signed(x) for x in found], pa.list_(pa.int64()))], ["uid", "n", "sketch", "x"])
 
-    left, right = shingles.select(F.col("uid").alias("u"), F.col("x").alias("a")), shingles.select(F.col("uid").alias("v"), F.col("x").alias("b"))
-    links = arrow_map(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), check, "u bigint, v bigint")
-    return reps.select("uid").join(components(links).select(F.col("u").alias("uid")), "uid", "left_anti")
+    sets = materialise(arrow_map(texts.join(shared.select("uid").distinct(), "uid", "left_semi"), sets_of, "uid bigint, n bigint, sketch binary, x array<bigint>"), "similar-sets")
+    entries = shared.join(sets.select("uid", "n", "sketch"), "uid")
+    roots = components(_links(entries.withColumn("root", F.col("uid")), sets, True))
+    return reps.select("uid").join(roots.select(F.col("u").alias("uid")), "uid", "left_anti")
 
 
 def drop_similar(docs: DataFrame, text_col: str = "text") -> DataFrame:

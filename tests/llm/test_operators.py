@@ -459,3 +459,31 @@ def test_signature_tables_keep_recall():
     for n in (100, 10**5, 10**8):
         t = simhash.tables(n)
         assert 1 - (1 - simhash.AGREE ** len(t[0])) ** len(t) >= 1 - simhash.MISS
+
+
+def similar_model(texts):
+    """Groups of texts by brute force over all pairs, as the set of each group's members."""
+    sets = [set(simhash.shingle_set(t.lower().encode().split()).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= simhash.SIMILARITY * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return {frozenset(i for i, g in enumerate(group) if g == x) for x in group}
+
+
+def test_similar_pairs_at_the_border(spark):
+    """Every pair at or just above the similarity is found, none just below."""
+    rng = random.Random(3)
+    texts = []
+    for k in range(240):
+        n = rng.randint(60, 140)
+        a = [f"a{rng.randint(0, 10**6)}" for _ in range(n + 4)]
+        cut = int(n - n * 0.8) + rng.choice([0, 1])  # of one side only: similarity (n - cut) / n
+        texts += [" ".join(a), " ".join(a[: len(a) - cut])]
+    want = similar_model(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    kept = {r["doc_id"] for r in simhash.drop_similar(docs).collect()}
+    assert 20 < len(want) - 240 < 220 and len(kept) == len(want) and all(len(kept & g) == 1 for g in want)
