@@ -420,7 +420,8 @@ def similar_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Of docs with a unique number uid: (uid) of one document of each group of like texts, and of every document that has none.
 
     Exact copies (of the lower-cased words) fall together first. The search is exact: two sets of SIMILARITY share a shingle among the rarest
-    of each (prefix filter), so each shingle's holders are compared, by sketches that bound what the sets share, and then exactly.
+    of each (prefix filter), so each shingle's holders are compared, by sketches that bound what the sets share, and then exactly. Each holder
+    first proposes the likest earlier one; when these links have joined most, all pairs that are still apart are proposed, so none is left out.
     """
     bound_arrow(docs.sparkSession)
     texts = docs.select("uid", F.col(text_col).alias("text"))
@@ -443,6 +444,8 @@ def similar_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     sets = materialise(arrow_map(texts.join(shared.select("uid").distinct(), "uid", "left_semi"), sets_of, "uid bigint, n bigint, sketch binary, x array<bigint>"), "similar-sets")
     entries = shared.join(sets.select("uid", "n", "sketch"), "uid")
     roots = components(_links(entries.withColumn("root", F.col("uid")), sets, True))
+    open_ = entries.join(roots.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    roots = components(roots.select("u", F.col("root").alias("v")).unionByName(_links(open_, sets, False)))
     return reps.select("uid").join(roots.select(F.col("u").alias("uid")), "uid", "left_anti")
 
 

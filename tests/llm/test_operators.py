@@ -487,3 +487,17 @@ def test_similar_pairs_at_the_border(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
     kept = {r["doc_id"] for r in simhash.drop_similar(docs).collect()}
     assert 20 < len(want) - 240 < 220 and len(kept) == len(want) and all(len(kept & g) == 1 for g in want)
+
+
+def test_similar_pairs_in_a_family(spark):
+    """Near copies among hundreds of texts of one template that are less alike, some nearer to others than to their own copy."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(170)]
+    own = lambda n: [f"o{rng.randint(0, 10**9)}" for _ in range(n)]
+    family = [template[: rng.randint(158, 170)] + own(40) for _ in range(400)]
+    copies = [x[:-16] + own(16) for x in family[:40]]
+    made = [" ".join(x) for x in family + copies]
+    want = similar_model(made)
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string").coalesce(1)
+    kept = {r["doc_id"] for r in simhash.drop_similar(docs).collect()}
+    assert len(want) == 400 and len(kept) == len(want) and all(len(kept & g) == 1 for g in want)
