@@ -1,9 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are lower-cased runs of letters and digits. Every window of MIN_MATCH benchmark words is a seed; a document's windows are hashed by the
-same running Karp-Rabin polynomial and joined to the seeds. For each (document, item) with a shared seed, tiles are laid greedily: search
-lengths fall from long to MIN_MATCH, at each length the longest matches of unmarked words are confirmed word by word and marked in both
-texts. Coverage is the part of the item's words under tiles, wherever and in whatever order they stand in the document, so reordered passages
+same running Karp-Rabin polynomial and joined to the seeds. For each (document, item) with a shared seed, tiles are laid greedily: windows
+of equal hash are confirmed word by word and joined to maximal matches, and the longest match of unmarked words, of MIN_MATCH or more, is
+marked in both texts until none is left. Coverage is the part of the item's words under tiles, wherever and in whatever order they stand in the document, so reordered passages
 are caught. A document is contaminated by an item at COVERAGE or more.
 
 The benchmark is the query set: it is held by tasks in blocks of at most BLOCK_BYTES of text, and documents pass each block in a narrow step,
@@ -13,6 +13,7 @@ Repeated rows are tested each. Empty tables give an empty result.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from parlance.llm.common import arrow_map, utf8
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Benchmark text that one pass over the documents tests.
 BLOCK_BYTES = 32 << 20
+#: Pairs of equal windows looked at together.
+_PAIRS_AT_ONCE = 1 << 20
 _WORDS = re.compile(r"[^\W_]+")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -46,41 +49,56 @@ def window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def matches(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """Maximal matches of at least min_match words (start in item, start in text, words), by running Karp-Rabin hashes."""
+    windows, hashes = window_hashes(item, min_match), window_hashes(text, min_match)
+    order = np.argsort(windows, kind="stable")
+    left, right = np.searchsorted(windows[order], hashes, "left"), np.searchsorted(windows[order], hashes, "right")
+    found = [np.zeros((0, 3), np.int64)]  # diagonal, start in item, equal windows in a row
+    at, count = np.flatnonzero(right > left), (right - left)[right > left]
+    part = np.cumsum(count) // _PAIRS_AT_ONCE
+    for k in np.unique(part):
+        here, n = at[part == k], count[part == k]
+        t = np.repeat(here, n)
+        p = order[np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left[here], n)]
+        same = np.logical_and.reduce([item[p + x] == text[t + x] for x in range(min_match)])
+        found.append(_rows(np.stack([t[same] - p[same], p[same], np.ones(int(same.sum()), np.int64)], axis=1)))
+    return [(p, d + p, n + min_match - 1) for d, p, n in _rows(np.concatenate(found)).tolist()]
+
+
+def _rows(runs: np.ndarray) -> np.ndarray:
+    """Runs (diagonal, start, length), those that follow each other made one."""
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    if not len(runs):
+        return runs
+    follows = (runs[1:, 0] == runs[:-1, 0]) & (runs[1:, 1] == runs[:-1, 1] + runs[:-1, 2])
+    starts = np.flatnonzero(np.r_[True, ~follows])
+    return np.stack([runs[starts, 0], runs[starts, 1], np.add.reduceat(runs[:, 2], starts)], axis=1)
+
+
 def tile(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two word-id sequences: tiles (start in item, start in text, words), by running Karp-Rabin matching."""
+    """Greedy string tiling of two word-id sequences: tiles (start in item, start in text, words).
+
+    The longest free match is always marked next, the earliest in the item and then in the text among equals. A match that a tile has met is
+    put back as its free runs, so it is tiled as far as min_match words of it are free.
+    """
     item_free, text_free = np.ones(len(item), bool), np.ones(len(text), bool)
     tiles = []
-    length = max(min_match, min(len(item), len(text), 1 << 10))
-    while True:
-        found = []  # maximal matches of free words
-        places: dict[int, list[int]] = {}
-        for p, h in enumerate(window_hashes(item, length).tolist()):
-            if item_free[p : p + length].all():
-                places.setdefault(h, []).append(p)
-        longest = 0
-        if places:
-            hashes = window_hashes(text, length)
-            runs = np.convolve(text_free, np.ones(length, np.int64), "valid") == length if len(hashes) else np.zeros(0, bool)
-            for t in np.flatnonzero(runs & np.isin(hashes, np.fromiter(places, np.uint64, len(places)))).tolist():
-                for p in places[int(hashes[t])]:
-                    if not np.array_equal(item[p : p + length], text[t : t + length]):
-                        continue
-                    n = length
-                    while p + n < len(item) and t + n < len(text) and item_free[p + n] and text_free[t + n] and item[p + n] == text[t + n]:
-                        n += 1
-                    longest = max(longest, n)
-                    found.append((n, p, t))
-        if longest > 2 * length:  # far longer matches than the search length: search for those first
-            length = longest
+    waiting = [(-n, p, t) for p, t, n in matches(item, text, min_match)]
+    heapq.heapify(waiting)
+    while waiting:
+        n, p, t = heapq.heappop(waiting)
+        free = item_free[p : p - n] & text_free[t : t - n]
+        if free.all():
+            item_free[p : p - n] = False
+            text_free[t : t - n] = False
+            tiles.append((p, t, -n))
             continue
-        for n, p, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if item_free[p : p + n].all() and text_free[t : t + n].all():
-                item_free[p : p + n] = False
-                text_free[t : t + n] = False
-                tiles.append((p, t, n))
-        if length == min_match:
-            return tiles
-        length = max(min_match, length // 2)
+        edge = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8))).tolist()
+        for a, z in zip(edge[::2], edge[1::2]):
+            if z - a >= min_match:
+                heapq.heappush(waiting, (a - z, p + a, t + a))
+    return tiles
 
 
 class Bench:

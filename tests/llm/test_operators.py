@@ -330,6 +330,35 @@ def test_tiling_equals_brute_force():
         assert sum(n for _, _, n in tiles) >= 0.7 * slow(a.tolist(), b.tolist(), 3)
 
 
+def test_tiling_is_greedy_to_the_end():
+    """Tile for tile what marking the longest free match again and again gives."""
+
+    def slow(a, b, least):
+        free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
+        while True:
+            best = (0, 0, 0)
+            for p in range(len(a)):
+                for t in range(len(b)):
+                    n = 0
+                    while p + n < len(a) and t + n < len(b) and free_a[p + n] and free_b[t + n] and a[p + n] == b[t + n]:
+                        n += 1
+                    best = max(best, (n, -p, -t))
+            n, p, t = best[0], -best[1], -best[2]
+            if n < least:
+                return tiles
+            free_a[p : p + n], free_b[t : t + n] = [False] * n, [False] * n
+            tiles.append((p, t, n))
+
+    item = np.arange(1, 21)
+    text = np.r_[item[:6], 0, item[5:12], 0, item[:6], 0]
+    assert sum(n for _, _, n in tiling.tile(item.astype(np.uint64), text.astype(np.uint64))) == 12
+    rng = np.random.default_rng(8)
+    for k in range(150):
+        a = rng.integers(1, 3 + k % 9, rng.integers(1, 26))
+        b = np.concatenate([np.r_[a[x : x + rng.integers(1, 14)], 0][: rng.integers(1, 15)] for x in rng.integers(0, len(a), rng.integers(1, 6))])
+        assert tiling.tile(a.astype(np.uint64), b.astype(np.uint64), 3) == slow(a.tolist(), b.tolist(), 3)
+
+
 def test_contaminated(spark, empty):
     item = [f"w{i}" for i in range(24)]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "too short"), (3, None), (4, " ".join(f"q{i}" for i in range(12)))], "item_id bigint, text string")
