@@ -139,6 +139,17 @@ def learning_rate(spark, sf_dir):
     return metrics.learning_rate(collate.pad_batches(d, 8), 256, 8).select(F.round("valid_ratio", 9).alias("valid_ratio"), F.round("lr", 12).alias("lr"))
 
 
+@query("""
+WITH o AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS b, length(text) AS n FROM documents), r AS (SELECT sum(n)::DOUBLE / sum(w) AS ratio FROM (SELECT n, max(n) OVER (PARTITION BY b) AS w FROM o))
+SELECT round(ratio, 9) AS valid_ratio, round(3e-4 * sqrt(2048 * ratio / 4000000), 12) AS lr FROM r
+""")
+def learning_rate_whole(spark, sf_dir):
+    """Learning rate by the share of valid tokens in padded batches of whole texts."""
+    ids = Chars().encode(F.col("text"))
+    d = with_order(table(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"), ids.alias("labels")), ["doc_id"])
+    return metrics.learning_rate(collate.pad_batches(d, 8), 256, 8).select(F.round("valid_ratio", 9).alias("valid_ratio"), F.round("lr", 12).alias("lr"))
+
+
 @query("SELECT round(sum(n_chars) * 3.0 / 60.0 / 8, 6)::DOUBLE AS tokens_per_second FROM documents")
 def tokens_per_second(spark, sf_dir):
     """Effective tokens a second."""

@@ -456,6 +456,20 @@ def pad_batch(spark, sf_dir):
     return out.select("doc_id", F.size("input_ids").alias("width"), (F.size("labels") - collate.valid_tokens(F.col("labels"))).alias("padding"))
 
 
+@query("""
+WITH o AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS b, length(text) AS n FROM documents)
+SELECT doc_id, CAST(ceil(max(n) OVER (PARTITION BY b) / 8.0) * 8 AS INT) AS width, CAST(ceil(max(n) OVER (PARTITION BY b) / 8.0) * 8 - n AS INT) AS padding FROM o
+""")
+def pad_batch_whole(spark, sf_dir):
+    """Batches of whole texts padded to a multiple of 8."""
+    from parlance.sources.readers import with_order
+
+    ids = Chars().encode(F.col("text"))
+    d = with_order(table(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"), ids.alias("labels")), ["doc_id"])
+    out = collate.pad_batches(d, 16, 8)
+    return out.select("doc_id", F.size("input_ids").alias("width"), (F.size("labels") - collate.valid_tokens(F.col("labels"))).alias("padding"))
+
+
 @query("SELECT conv_id, CAST(turn AS INT) AS segment, CAST(length(text) AS BIGINT) AS n FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, text FROM conversations) WHERE length(text) > 0")
 def segment_lengths(spark, sf_dir):
     """Sub-sequence sizes of packed masks."""
@@ -468,7 +482,7 @@ def packed_sequences(spark, sf_dir):
     """Dialogues packed by greedy knapsacks."""
     from parlance.sources.readers import with_order
 
-    ids = F.slice(Chars().encode(F.col("text")), 1, 500)
+    ids = Chars().encode(F.col("text"))
     d = with_order(table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("input_ids"), ids.alias("labels")), ["conv_id", "turn"])
     return encode.pack(d, 1024, neat=True).select("batch_id", "sack", F.size("input_ids").alias("width"), "padding", F.size("boundaries").alias("n_bounds"))
 

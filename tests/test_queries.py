@@ -21,3 +21,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_packed_sequences_hold_whole_texts(spark, data):
+    """All of each text up to the cutoff is packed, and longer ones are dropped, not cut."""
+    got = QUERIES["packed_sequences"](spark, data).selectExpr("sum(width - padding) AS n").first()["n"]
+    want = connect(data).execute("SELECT sum(length(text)) FILTER (WHERE length(text) <= 1024), max(length(text)) FROM conversations").fetchone()
+    assert want[1] > 1024 and got == want[0]
+
+
+def test_batches_hold_whole_texts(spark, data):
+    got = QUERIES["pad_batch_whole"](spark, data).selectExpr("sum(width - padding) AS n").first()["n"]
+    assert got == connect(data).execute("SELECT sum(length(text)) FROM documents").fetchone()[0]
