@@ -128,6 +128,15 @@ def run_progress(spark, sf_dir):
     return metrics.latest_progress(log).select("current_steps", "total_steps", "percentage", "remaining")
 
 
+@query("WITH l AS (SELECT max(event_id) AS n FROM events) SELECT CAST(n AS BIGINT) AS current_steps, CAST(n * 2 AS BIGINT) AS total_steps, 50.0::DOUBLE AS percentage, CAST(n AS DOUBLE) AS remaining FROM l")
+def run_progress_all(spark, sf_dir):
+    """Latest line of the whole log, percentage and time left."""
+    e = table(spark, sf_dir, "events")
+    top = e.agg(F.max("event_id").alias("m"))
+    log = e.select(F.col("event_id").alias("current_steps"), F.col("event_id").cast("double").alias("elapsed")).crossJoin(F.broadcast(top)).withColumn("total_steps", F.col("m") * 2)
+    return metrics.latest_progress(log).select("current_steps", "total_steps", "percentage", "remaining")
+
+
 @query("""
 WITH o AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS b, least(length(text), 256) AS n FROM documents), r AS (SELECT sum(n)::DOUBLE / sum(w) AS ratio FROM (SELECT n, max(n) OVER (PARTITION BY b) AS w FROM o))
 SELECT round(ratio, 9) AS valid_ratio, round(3e-4 * sqrt(2048 * ratio / 4000000), 12) AS lr FROM r

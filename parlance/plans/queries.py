@@ -250,6 +250,77 @@ def holdout_sizes(spark, sf_dir):
     return made.train.agg(F.count("*").alias("train")).crossJoin(made.eval["validation"].agg(F.count("*").alias("validation")))
 
 
+def whole(spark, sf_dir) -> DataFrame:
+    """All documents as one ordered table."""
+    from parlance.sources.readers import with_order
+
+    return with_order(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+
+
+def all_parts(spark, sf_dir) -> list[DataFrame]:
+    """All documents as ordered tables: de, es, fr, and the rest (en, other and null)."""
+    from parlance.sources.readers import with_order
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang").isin("de", "es", "fr"), F.col("lang")).otherwise("rest").alias("part"))
+    return [with_order(d.where(F.col("part") == x).select("doc_id"), ["doc_id"]) for x in ("de", "es", "fr", "rest")]
+
+
+ALL_PARTS_SQL = """
+WITH k AS (SELECT doc_id, CASE lang WHEN 'de' THEN 0 WHEN 'es' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS k FROM documents), p AS (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) - 1 AS o, count(*) OVER (PARTITION BY k) AS n FROM k)
+"""
+
+
+@query(ALL_PARTS_SQL + "SELECT doc_id, CAST(row_number() OVER (ORDER BY k, o) - 1 AS BIGINT) AS pos FROM p")
+def mix_concat_all(spark, sf_dir):
+    """All documents, table by table."""
+    return mix.mix(all_parts(spark, sf_dir)).select("doc_id", F.col("_ord").alias("pos"))
+
+
+@query(ALL_PARTS_SQL + "SELECT doc_id, CAST(o * 4 + k AS BIGINT) AS pos FROM p WHERE o < (SELECT min(n) FROM p)")
+def mix_rr_under_all(spark, sf_dir):
+    """Round robin of all documents until the shortest table ends (M4)."""
+    return mix.mix(all_parts(spark, sf_dir), "interleave_under").select("doc_id", F.col("_ord").alias("pos"))
+
+
+@query(ALL_PARTS_SQL + "SELECT p.doc_id, CAST(i * 4 + k AS BIGINT) AS pos FROM p, range((SELECT max(n) FROM p)) r(i) WHERE i % p.n = p.o")
+def mix_rr_over_all(spark, sf_dir):
+    """Round robin of all documents until the longest table ends (M4)."""
+    return mix.mix(all_parts(spark, sf_dir), "interleave_over").select("doc_id", F.col("_ord").alias("pos"))
+
+
+@query(ALL_PARTS_SQL + "SELECT doc_id, CAST(row_number() OVER (ORDER BY o, k) - 1 AS BIGINT) AS pos FROM p")
+def mix_rr_once_all(spark, sf_dir):
+    """Round robin of all documents, every row once (M4)."""
+    return mix.mix(all_parts(spark, sf_dir), "interleave_once").select("doc_id", F.col("_ord").alias("pos"))
+
+
+@query()
+def mix_probabilities_all(spark, sf_dir):
+    """Weighted draws of all documents' tables (M5)."""
+    return mix.mix(all_parts(spark, sf_dir), "interleave_under", [0.2, 0.15, 0.15, 0.5], 7).select("doc_id", F.col("_ord").alias("pos"))
+
+
+@query("SELECT doc_id, CAST((n - 1 - o) / 3 AS BIGINT) AS pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS n FROM documents) WHERE (n - 1 - o) % 3 = 0")
+def slice_rows_all(spark, sf_dir):
+    """A Python slice of all documents with a negative step."""
+    return mix.select_slice(whole(spark, sf_dir), None, None, -3).select("doc_id", F.col("_ord").alias("pos"))
+
+
+@query("SELECT CAST(count(*) + 50 AS BIGINT) AS sampled, CAST(count(*) AS BIGINT) AS distinct_rows, CAST(floor(count(*) * 1.5) AS BIGINT) AS weighted FROM documents")
+def sample_counts_all(spark, sf_dir):
+    """Sampling beyond the size of all documents, and weighted resampling."""
+    df = whole(spark, sf_dir)
+    n = df.count()
+    return mix.sample(df, n + 50, 3).agg(F.count("*").alias("sampled"), F.count_distinct("doc_id").alias("distinct_rows")).crossJoin(mix.resample(df, None, 1.5, 3).agg(F.count("*").alias("weighted")))
+
+
+@query("SELECT CAST(count(*) - ceil(count(*) * 0.1) AS BIGINT) AS train, CAST(ceil(count(*) * 0.1) AS BIGINT) AS validation FROM documents")
+def holdout_sizes_all(spark, sf_dir):
+    """Sizes of a seeded split of all documents (M7, M9)."""
+    made = mix.split(whole(spark, sf_dir), None, 0.1, 5)
+    return made.train.agg(F.count("*").alias("train")).crossJoin(made.eval["validation"].agg(F.count("*").alias("validation")))
+
+
 @query("SELECT user_id, CAST(min(event_id) AS BIGINT) AS first_event, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def merge_dedup_last(spark, sf_dir):
     """Last value wins, first position stays."""
