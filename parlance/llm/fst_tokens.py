@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import json
 import sys
-import unicodedata
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers
 
 from parlance.llm.common import arrow_map, utf8
 
@@ -87,16 +87,14 @@ def splitter_table() -> np.ndarray:
 
 
 def class_table() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point. Letters, digits and white space are those of the library's own patterns, so its Unicode version counts, not Python's."""
+    points = np.r_[0:0xD800, 0xE000:0x110000]
+    every = points.astype(np.uint32).tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            out[c] = LETTER
-        elif kind == "N":
-            out[c] = DIGIT
-    for c in (*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
-        out[c] = SPACE
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", DIGIT), (r"\s", SPACE)):
+        marked = normalizers.Replace(Regex(pattern), "\0").normalize_str(every)
+        found = np.frombuffer(marked.encode("utf-32-le"), np.uint32) != points
+        out[points[found]] = kind
     out[0x20], out[ord("'")] = BLANK, APOSTROPHE
     for letters, kind in (("stmd", TAIL), ("rv", R_OR_V), ("e", E), ("l", L)):
         for x in letters:
@@ -119,11 +117,22 @@ def prefix_scan(states: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return states, counts
 
 
+def _refuse_others(spec: dict) -> None:
+    """Raise for a file that asks for what isn't compiled here."""
+    first, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and not spec.get("normalizer")
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [t["content"] for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if not plain or model.get("type", "BPE") != "BPE" or odd:
+        raise ValueError(f"only plain byte-level BPE files can be compiled: {odd or first}")
+
+
 class Counter:
     """The compiled transducers of one tokenizer file."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
+        _refuse_others(spec)
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.classes, self.table = class_table(), splitter_table()
         self._compile(spec["model"])

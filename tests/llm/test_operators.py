@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -73,6 +74,27 @@ def test_token_counts_of_odd_texts(vocabulary):
     assert c.count_all(odd) == [len(t.encode(x, add_special_tokens=False).ids) for x in odd]
 
 
+def test_token_counts_of_every_code_point(vocabulary):
+    """Each code point among letters, digits, signs and white space, against the library."""
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(vocabulary), fst_tokens.Counter(vocabulary)
+    points = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000]
+    for at in range(0, len(points), 1 << 17):
+        texts = [f"a{x}1{x}'s {x}! {x}" for x in points[at : at + (1 << 17)]]
+        want = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert c.count_all(texts) == want
+
+
+def test_other_tokenizer_files_are_refused(vocabulary, tmp_path):
+    spec = json.load(open(vocabulary, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            fst_tokens.Counter(str(path))
+
+
 def test_chunk_maps_compose(vocabulary):
     c = fst_tokens.Counter(vocabulary)
     rng = np.random.default_rng(2)
