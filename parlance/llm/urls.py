@@ -3,8 +3,9 @@
 Rules are (verdict, host, path): a rule fits its host and all subdomains where the url's path starts with the rule's. All rule keys
 ("host/path") are digested by 64-bit XXH64 and stored sorted, with the full strings behind them, in one file in the shared folder; every
 executor fetches it once (Spark's file distribution, so a lost executor's successor fetches it again) and memory-maps it. A url's candidates
-are each suffix of its host with each prefix of its path whose length some rule has; they are probed all together by vectorised binary
-search, and a hit counts only once the stored full string equals the candidate. The longest rule wins; with no rule, the url is allowed.
+are the suffixes of its host and prefixes of its path of such lengths as some rule has, so a url costs no more for being long; they are probed
+all together by vectorised binary search, and a hit counts only once the stored full string equals the candidate. The longest rule wins; with
+no rule, the url is allowed.
 
 Null urls and urls without "://" have empty host and path. Empty urls, repeated rows and very long urls are rows like others. An empty table
 gives an empty result.
@@ -60,7 +61,8 @@ class DigestArray:
         cut = 8 + 8 * np.cumsum([0, n, n + 1, n, n])
         self.keys, self.offsets, self.blocks, self.hosts = (whole[a:b].view(np.uint64) for a, b in zip(cut, cut[1:]))
         self.strings = whole[cut[-1] :]
-        self.path_lengths = sorted({int(self.offsets[i + 1] - self.offsets[i] - self.hosts[i]) for i in range(n)})
+        sizes = np.unique(np.stack([self.hosts, np.diff(self.offsets) - self.hosts], axis=1), axis=0) if n else np.zeros((0, 2), np.uint64)
+        self.sizes = [(int(a), int(b)) for a, b in sizes]  # of host and path
 
     def string(self, i: int) -> bytes:
         return self.strings[int(self.offsets[i]) : int(self.offsets[i + 1])].tobytes()
@@ -84,13 +86,11 @@ class DigestArray:
         """Rule and verdict of each (host, path)."""
         candidates, owner = [], []
         for i, (host, path) in enumerate(urls):
-            raw, labels = path.encode(), host.split(".") if host else []
-            for k in range(len(labels)):
-                suffix = ".".join(labels[k:]).encode()
-                for n in self.path_lengths:
-                    if n <= len(raw):
-                        candidates.append(suffix + raw[:n])
-                        owner.append((i, len(suffix)))
+            raw, whole = path.encode(), host.encode()
+            for h, n in self.sizes:
+                if n <= len(raw) and (h == len(whole) or h < len(whole) and whole[-h - 1] == 0x2E):
+                    candidates.append(whole[len(whole) - h :] + raw[:n])
+                    owner.append((i, h))
         best: dict[int, tuple[int, int]] = {}
         for (i, host_bytes), at in zip(owner, self.probe(candidates).tolist()):
             if at >= 0 and self.hosts[at] == host_bytes:
@@ -108,15 +108,23 @@ def _array(name: str) -> DigestArray:
     return _open[name]
 
 
+#: Files that were distributed, by application; equal rules are one file.
+_published: set[tuple[str, str]] = set()
+
+
 def publish(spark: SparkSession, rules) -> str:
-    """Write the digest array to the shared folder and have Spark distribute it; its file name."""
-    name = f"url-rules-{uuid.uuid4().hex}.bin"
+    """Write the digest array to the shared folder and have Spark distribute it, once for equal rules; its file name."""
+    data = pack(list(rules))
+    name, context = f"url-rules-{xxhash.xxh3_128_hexdigest(data)}.bin", spark.sparkContext.applicationId
+    if (context, name) in _published:
+        return name
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}")
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(pack(list(rules))))
+    out.write(bytearray(data))
     out.close()
     spark.sparkContext.addFile(path.toString())
+    _published.add((context, name))
     return name
 
 
