@@ -11,15 +11,17 @@ each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_map, utf8
+from parlance.llm.common import ARROW_BATCH_BYTES, arrow_map, bound_arrow, utf8
 
 WIDTH, LEVEL = 64, 6
 IDAT_BYTES = 1 << 16
@@ -122,6 +124,9 @@ def cosine_hash(image: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
+_DIGESTS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """id, n_bytes and the binary column media of every row."""
 
@@ -135,19 +140,37 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def from_media(media: DataFrame) -> DataFrame:
-    """id, n_bytes, media and the payload and feature read back from it."""
+    """id, n_bytes, media and the payload and feature read back from it; payloads leave in batches of bounded bytes, however well they were packed."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        images = [decode(m) for m in b.column(2).to_pylist()]
-        return pa.record_batch([*b.columns, pa.array([i.tobytes() for i in images], pa.binary()), pa.array(map(cosine_hash, images), pa.string())], [*b.schema.names, "payload", "feature"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, held, size = 0, [], 0
+            for i, m in enumerate(b.column(2)):
+                image = decode(m.as_py())
+                held.append((image.tobytes(), cosine_hash(image)))
+                size += image.size
+                if size >= ARROW_BATCH_BYTES or i == b.num_rows - 1:
+                    payload, feature = zip(*held)
+                    yield pa.record_batch([*b.slice(at, len(held)).columns, pa.array(payload, pa.binary()), pa.array(feature, pa.string())], [*b.schema.names, "payload", "feature"])
+                    at, held, size = i + 1, [], 0
 
-    return arrow_map(media, run, f"id {dict(media.dtypes)['id']}, n_bytes bigint, media binary, payload binary, feature string")
+    bound_arrow(media.sparkSession)
+    return media.mapInArrow(run, f"id {dict(media.dtypes)['id']}, n_bytes bigint, media binary, payload binary, feature string")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, lengths, digests of payload and media, and the feature of every document."""
-    return from_media(to_media(docs)).select(
-        F.col("id").alias("doc_id"), "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
-        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
-    )
+    """doc_id, lengths, digests of payload and media, and the feature of every document. Stored media are read back one by one, and only digests leave."""
+    media = to_media(docs)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for m in b.column(2):
+            stored = m.as_py()
+            image = decode(stored)
+            payload = image.tobytes()
+            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(image)))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.record_batch([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], _DIGESTS)
+
+    kind = dict(media.dtypes)["id"]
+    return arrow_map(media, run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
