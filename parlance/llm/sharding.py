@@ -28,7 +28,7 @@ from parlance.llm.common import arrow_map, materialise, signed, utf8
 from parlance.llm.splitters import Search, find
 
 SHARDS, ROW_BYTES = 40, 16
-#: Columns that the operator adds; a carried column of such a name gets "_doc" behind it.
+#: Columns that the operator adds; a carried column of such a name gets as many "_doc" behind it as make it unique.
 OWN = ("size", "text_crc32", "shard", "slot")
 #: How far a border may be from its exact place, as a part of a shard's bytes.
 TOLERANCE = 0.002
@@ -114,7 +114,19 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, text_col: str = "text", carr
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_own])
     out = moved.mapInArrow(number, f"{kinds + ', ' if own else ''}_w bigint, _crc bigint, _shard int, _slot bigint")
-    return out.toDF(*[f"{c}_doc" if c in OWN else c for c in carry], *OWN)
+    return out.toDF(*_renamed(carry), *OWN)
+
+
+def _renamed(carry: list[str]) -> list[str]:
+    """Names of the carried columns beside OWN, unlike each other in any case."""
+    taken, out = {c.lower() for c in (*OWN, *(x for x in carry if x.lower() not in OWN))}, []
+    for c in carry:
+        if c.lower() in OWN:
+            while c.lower() in taken:
+                c += "_doc"
+            taken.add(c.lower())
+        out.append(c)
+    return out
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
