@@ -183,6 +183,14 @@ def test_shards(spark, docs, empty):
     assert {r["size_doc"] for r in whole.collect()} == {7} and whole.count() == docs.count()
 
 
+def test_shards_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, "s")], "doc_id bigint, text string, size bigint, size_doc int, Shard string")
+    out = sharding.shards(docs, 2)
+    assert out.columns == ["doc_id", "text", "size_doc_doc", "size_doc", "Shard_doc", *sharding.OWN]
+    got = sharding.materialise(out, "clash").first()
+    assert (got["size_doc_doc"], got["size_doc"], got["Shard_doc"], got["size"]) == (5, 6, "s", 19)
+
+
 def test_shards_of_one_hot_text(spark):
     hot = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("copy").alias("text"))
     got = sharding.shard_documents(hot, 8).collect()
@@ -255,6 +263,24 @@ def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     assert [j[0] for j in array.judge([("a.h7.com", "//x"), ("h8.com", "/x"), ("h99.com", "/")])] == ["h7.com//", "h8.com/", None]
 
 
+def test_long_hosts_cost_little():
+    """Time and memory don't grow with the square of a host's labels."""
+    array = urls.DigestArray.__new__(urls.DigestArray)
+    import tempfile
+    import tracemalloc
+
+    with tempfile.NamedTemporaryFile() as f:
+        f.write(urls.pack(list(urls.RULES)))
+        f.flush()
+        array.__init__(f.name)
+        long = [("a." * 64_000 + end, "/en/" + "p" * 100_000) for end in ("net", "example.net", "xnet")]
+        tracemalloc.start()
+        got = array.judge(long)
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+        tracemalloc.stop()
+    assert got == [("net/", "block"), ("example.net/en/", "allow"), (None, "allow")]
+
+
 # 6
 
 
@@ -302,6 +328,16 @@ def test_media(docs, empty):
     assert media.media_digests(empty).count() == 0
 
 
+def test_media_of_texts_that_pack_well(spark):
+    """Many long texts of one letter: payloads are far larger than the batches that hold their media."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("repeat('a', 300000)").alias("text"), F.lit(1).alias("media")).coalesce(1)
+    got = media.media_digests(docs).collect()
+    payload = b"a" * 300_000 + bytes(-300_000 % 64)
+    assert len(got) == 600 and {r["payload_sha256"] for r in got} == {hashlib.sha256(payload).hexdigest()}
+    back = media.from_media(media.to_media(docs)).select(F.octet_length("payload").alias("n"), "feature").distinct().collect()
+    assert [tuple(r) for r in back] == [(len(payload), got[0]["feature"])]
+
+
 def test_png_filters_and_checksums():
     rng = np.random.default_rng(0)
     image = rng.integers(0, 256, (9, 13)).astype(np.uint8)
