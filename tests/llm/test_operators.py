@@ -462,6 +462,27 @@ def test_mix(docs, empty):
     assert mixing.mix_report(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_inclusion_follows_size(spark):
+    """Longer documents are taken more often, as their odds say; the expected words are what is left of the target."""
+    sizes = [1, 2, 4, 8, 16, 32, 64] * 40 + [4000]
+    classes = {s: (s, n * s, n * s * s) for s, n in collections.Counter(sizes).items()}
+    rest = 0.55 * sum(sizes)
+    per_word = mixing.rate(rest, classes)
+    p = np.minimum(1, per_word * np.array(sizes))
+    assert p[-1] == 1 and 0 < p[0] < p[6] < 1 and (p * sizes).sum() == pytest.approx(rest)
+    docs = spark.createDataFrame([(i, " w" * s, "b" if i % 3 else "a") for i, s in enumerate(sizes)], "doc_id bigint, text string, source string")
+    got = mixing.mix_report(docs).collect()
+    for source in "ab":
+        ratio = {s: np.mean([r["taken"] / r["size"] for r in got if r["size"] == s and (r["doc_id"] % 3 == 0) == (source == "a")]) for s in (1, 4, 16, 64)}
+        assert ratio[1] <= ratio[64] <= 2
+    assert any(r["taken"] % r["size"] == 0 and 0 < r["taken"] for r in got)
+    drawn = np.array([mixing._draw(i, s) for i, s in enumerate(sizes)])
+    rank = mixing._rank(drawn, np.array(sizes), np.full(len(sizes), per_word)).view(np.float64)
+    u = (drawn + 0.5) / 2**52
+    assert not np.array_equal(np.argsort(rank), np.argsort(u)) and rank[-1] == 0
+    assert rank[:-1] == pytest.approx((u / (1 - u) / (p / (1 - np.minimum(p, 1 - 1e-16))))[:-1])
+
+
 def test_targets_reshare_excess():
     t = mixing.targets({"b": 10, "a": 100, None: 1000, "c": 1})
     assert t["c"] == 2 and t["b"] == 20 and sum(t.values()) == pytest.approx(1.5 * 1111) and t["a"] == 200
