@@ -299,18 +299,48 @@ def test_secret_patterns(spark):
     assert secrets.find_secrets(docs.where("false")).count() == 0
 
 
-def test_secret_network_learns(spark):
+def test_secrets_without_a_pattern_are_found(spark, data):
+    """Secrets of no known pattern, of forms and draws that the fit has not seen, come through the query; ordinary long words don't."""
     rng = random.Random(3)
-    word = lambda: "".join(rng.choice(["tion", "ing", "the", "and", "ver", "lich"]) for _ in range(6))
-    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(24))
-    good = [f"text {word()} more" for _ in range(400)]
-    bad = [f"token = {key()} end" for _ in range(400)]
-    net = secrets.train(spark.createDataFrame([(t,) for t in good + bad], "text string"))
-    held = secrets.codes([secrets.pieces(t, t.index(" ", 0) + 1, t.rindex(" "))[0] for t in (f"text {word()} more" for _ in range(50))])
-    keys = secrets.codes([secrets.pieces(f"see {k} end", 4, 4 + len(k))[0] for k in (key().upper()[:12] + key() for _ in range(50))])
-    assert (net.probability(held) < net.cut).mean() > 0.95 and net.probability(keys).mean() > net.probability(held).mean()
-    docs = spark.createDataFrame([(0, f"see {key()[:15]}G{key()[:15]} end")], "doc_id bigint, text string")
-    assert "hex" not in secrets.find_secrets(docs, net).first()["spans"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(rng.choice(every) for _ in range(n))
+    made = [draw(40), "ghx_" + draw(36), "xo-" + draw(10) + "-" + draw(24), "eyJ" + draw(30) + "." + draw(60) + "." + draw(40), draw(200)] * 8
+    planted = spark.createDataFrame([(10_000 + i, f"see the note {m} and go on") for i, m in enumerate(made)], "doc_id bigint, text string")
+    plain = spark.createDataFrame([(20_000, "Donaudampfschifffahrt internationalisation docs/reference/index.html 2024-01-31 ================ snake_case_name_here")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs.unionByName(planted).unionByName(plain)).collect()}
+    found = [f"net:13:{13 + len(m)}" in got[10_000 + i]["spans"].split(",") for i, m in enumerate(made)]
+    assert np.mean(found) >= 0.9
+    assert got[20_000]["spans"] == ""
+    clean = [r for i, r in got.items() if i < 10_000]
+    assert np.mean(["net" in r["spans"] for r in clean]) < 0.02
+    for r in got.values():
+        assert r["base_sha256"] == hashlib.sha256(",".join(s for s in r["spans"].split(",") if s and not s.startswith("net")).encode()).hexdigest()
+
+
+def test_secret_network_keeps_recall():
+    """The cut finds RECALL of the held-out positives, and the labels of a long candidate's pieces are their own."""
+    rng = random.Random(4)
+    words = ["tion", "ing", "the", "and", "ver", "lich"]
+    text = lambda: "".join(rng.choice(words) for _ in range(6))
+    made = [text() for _ in range(500)]
+    found = [(w, False) for x in made for w, _, _ in secrets.pieces(f"a text {x} more", 7, 7 + len(x))]
+    x, y, held = secrets.training_set(found)
+    net = secrets.fit(x, y, held)
+    p = net.probability(x[held])
+    assert (p[y[held] > 0] >= net.cut).mean() >= secrets.RECALL - 0.01 and (p[y[held] == 0] >= net.cut).mean() < 0.02
+    long = "word" * 20 + "/" + "0123456789abcdef" * 3
+    got = list(secrets.labelled(long, secrets.runs([long], 12)[0]))
+    labels = [label for _, label in got]
+    assert not labels[0] and labels[-1] and sorted(labels) == labels
+
+
+def test_secret_sample_is_distinct_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "FIT_NEGATIVES", 50)
+    docs = spark.createDataFrame([(f"thesamelongword anotherlongword{i % 100:03d}x",) for i in range(3000)], "text string").repartition(4)
+    got = secrets.sample(docs)
+    assert len(got) == len(set(got)) == 50
+    assert got == secrets.sample(docs.repartition(2))
 
 
 # 7
