@@ -1,35 +1,39 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased runs of letters and digits. Every window of MIN_MATCH benchmark words is a seed; a document's windows are hashed by the
-same running Karp-Rabin polynomial and joined to the seeds. For each (document, item) with a shared seed, tiles are laid greedily: windows
-of equal hash are confirmed word by word and joined to maximal matches, and the longest match of unmarked words, of MIN_MATCH or more, is
-marked in both texts until none is left. Coverage is the part of the item's words under tiles, wherever and in whatever order they stand in the document, so reordered passages
-are caught. A document is contaminated by an item at COVERAGE or more.
-
-The benchmark is the query set: it is held by tasks in blocks of at most BLOCK_BYTES of text, and documents pass each block in a narrow step,
-whole texts and no shuffle. Null and empty texts have no words and are never contaminated; items of fewer than MIN_MATCH words test nothing.
-Repeated rows are tested each. Empty tables give an empty result.
+Words are lower-cased runs of letters and digits; of scripts written without spaces each character is one. Every window of MIN_MATCH benchmark
+words is a seed; a document's windows are hashed by the same running Karp-Rabin polynomial and joined to the seeds. For each (document, item)
+with a shared seed, tiles are laid greedily: the longest match of unmarked words, of MIN_MATCH or more and confirmed word by word, is marked in
+both texts until none is left. Coverage is the part of the item's words under tiles, wherever and in whatever order they stand in the document,
+so reordered passages are caught. A document is contaminated by an item at COVERAGE or more.
+
+The benchmark is the query set: documents pass it in blocks of at most BLOCK_BYTES of its text, each a narrow step over whole texts without a
+shuffle. One block at a time is held by the driver and the tasks; what a block finds is written to the shared folder before the next is read, so
+a larger benchmark costs more passes and no more memory.
+
+Null and empty texts have no words and are never contaminated, nor do such items contaminate. An item of fewer than MIN_MATCH words contaminates
+only documents that have just its words. Texts that repeat themselves are tiled in near-linear time. Repeated rows are tested each. Empty tables
+give an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from parlance.llm.common import arrow_map, utf8
+from parlance.llm.common import arrow_map, materialise, utf8
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Benchmark text that one pass over the documents tests.
-BLOCK_BYTES = 32 << 20
-#: Pairs of equal windows looked at together.
-_PAIRS_AT_ONCE = 1 << 20
-_WORDS = re.compile(r"[^\W_]+")
+BLOCK_BYTES = 16 << 20
+#: Scripts that are written without spaces: Thai to Lao, Burmese, Khmer, kana, Han. Each of their characters is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[^\W_{_UNSPACED}]+|[{_UNSPACED}]")
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -49,55 +53,104 @@ def window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def matches(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Maximal matches of at least min_match words (start in item, start in text, words), by running Karp-Rabin hashes."""
-    windows, hashes = window_hashes(item, min_match), window_hashes(text, min_match)
-    order = np.argsort(windows, kind="stable")
-    left, right = np.searchsorted(windows[order], hashes, "left"), np.searchsorted(windows[order], hashes, "right")
-    found = [np.zeros((0, 3), np.int64)]  # diagonal, start in item, equal windows in a row
-    at, count = np.flatnonzero(right > left), (right - left)[right > left]
-    part = np.cumsum(count) // _PAIRS_AT_ONCE
-    for k in np.unique(part):
-        here, n = at[part == k], count[part == k]
-        t = np.repeat(here, n)
-        p = order[np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left[here], n)]
-        same = np.logical_and.reduce([item[p + x] == text[t + x] for x in range(min_match)])
-        found.append(_rows(np.stack([t[same] - p[same], p[same], np.ones(int(same.sum()), np.int64)], axis=1)))
-    return [(p, d + p, n + min_match - 1) for d, p, n in _rows(np.concatenate(found)).tolist()]
-
-
-def _rows(runs: np.ndarray) -> np.ndarray:
-    """Runs (diagonal, start, length), those that follow each other made one."""
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    if not len(runs):
-        return runs
-    follows = (runs[1:, 0] == runs[:-1, 0]) & (runs[1:, 1] == runs[:-1, 1] + runs[:-1, 2])
-    starts = np.flatnonzero(np.r_[True, ~follows])
-    return np.stack([runs[starts, 0], runs[starts, 1], np.add.reduceat(runs[:, 2], starts)], axis=1)
+class _Sequence:
+    """A word-id sequence with the prefix sums of its running hash, so a window of any length is hashed at once."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.free = ids, np.ones(len(ids), bool)
+        mixed = ids * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        self.sums = np.r_[np.uint64(0), np.cumsum(mixed * _powers(len(ids)), dtype=np.uint64)]
+        self.room = np.arange(len(ids), 0, -1)  # free words from a place on
+
+    def mark(self, at: int, length: int) -> None:
+        self.free[at : at + length] = False
+
+    def measure(self) -> None:
+        """Free words from each place on."""
+        taken = np.flatnonzero(~self.free)
+        places = np.arange(len(self.ids))
+        self.room = np.r_[taken, len(self.ids)][np.searchsorted(taken, places)] - places
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the free windows of a length."""
+        at = np.flatnonzero(self.room >= length)
+        return at, (self.sums[at + length] - self.sums[at]) * _inverses(len(self.ids))[at]
+
+
+_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grown(i: int, base: int, n: int) -> np.ndarray:
+    if len(_tables[i]) < n:
+        _tables[i] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, base, np.uint64)], dtype=np.uint64)
+    return _tables[i]
+
+
+def _powers(n: int) -> np.ndarray:
+    return _grown(0, _BASE, n)[:n]
+
+
+def _inverses(n: int) -> np.ndarray:
+    return _grown(1, pow(_BASE, -1, 1 << 64), n)[:n]
+
+
+def _common(item: _Sequence, text: _Sequence, length: int) -> bool:
+    a, b = item.windows(length)[1], text.windows(length)[1]
+    return bool(len(a) and len(b)) and bool(np.isin(a, b).any())
 
 
 def tile(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two word-id sequences: tiles (start in item, start in text, words).
 
-    The longest free match is always marked next, the earliest in the item and then in the text among equals. A match that a tile has met is
-    put back as its free runs, so it is tiled as far as min_match words of it are free.
+    The longest free match is always marked next, the earliest in the item and then in the text among equals, until none of min_match words is
+    left. The greatest length at which free windows of both have an equal running hash is found by bisection; all matches of that length are
+    then confirmed word by word and marked in order, each text window being looked at once. Time is near-linear for each length that occurs, and
+    memory linear in both sequences, however often they repeat themselves.
     """
-    item_free, text_free = np.ones(len(item), bool), np.ones(len(text), bool)
-    tiles = []
-    waiting = [(-n, p, t) for p, t, n in matches(item, text, min_match)]
-    heapq.heapify(waiting)
-    while waiting:
-        n, p, t = heapq.heappop(waiting)
-        free = item_free[p : p - n] & text_free[t : t - n]
-        if free.all():
-            item_free[p : p - n] = False
-            text_free[t : t - n] = False
-            tiles.append((p, t, -n))
+    a, b = _Sequence(np.asarray(item, np.uint64)), _Sequence(np.asarray(text, np.uint64))
+    tiles, most = [], min(len(item), len(text))
+    while most >= min_match and _common(a, b, min_match):
+        low, high = min_match, most  # the last common length lies within
+        step = 1
+        while low + step <= high and _common(a, b, low + step):
+            low, step = low + step, step * 2
+        high = min(high, low + step - 1)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if _common(a, b, middle) else (low, middle - 1)
+        tiles += _mark(a, b, low)
+        a.measure()
+        b.measure()
+        most = low - 1
+    return tiles
+
+
+def _mark(a: _Sequence, b: _Sequence, length: int) -> list[tuple[int, int, int]]:
+    """Mark all matches of the greatest common length, earliest first."""
+    (p, left), (t, right) = a.windows(length), b.windows(length)
+    order = np.argsort(right, kind="stable")
+    t, right = t[order], right[order]
+    first, end = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    some = end > first
+    tiles, behind = [], 0
+    at: dict[int, int] = {}  # how far the places of a hash are used up
+    for start, low, high in zip(p[some].tolist(), first[some].tolist(), end[some].tolist()):
+        if start < behind:
             continue
-        edge = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8))).tolist()
-        for a, z in zip(edge[::2], edge[1::2]):
-            if z - a >= min_match:
-                heapq.heappush(waiting, (a - z, p + a, t + a))
+        k = at.get(low, low)
+        while k < high and not b.free[t[k] : t[k] + length].all():
+            k += 1
+        at[low] = k
+        while k < high:  # equal hashes of unlike words are passed over, and stay for others
+            place = int(t[k])
+            if b.free[place : place + length].all() and np.array_equal(a.ids[start : start + length], b.ids[place : place + length]):
+                a.mark(start, length)
+                b.mark(place, length)
+                tiles.append((start, place, length))
+                behind = start + length
+                break
+            k += 1
     return tiles
 
 
@@ -106,12 +159,14 @@ class Bench:
 
     def __init__(self, items: list[tuple], min_match: int = MIN_MATCH):
         self.min_match, self.vocabulary = min_match, {}
-        self.names, self.items = [], []
+        self.names, self.items, self.short = [], [], {}
         for name, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text or "")], np.uint64)
-            if len(ids) >= min_match:
+            found = words(text or "")
+            if found:
+                if len(found) < min_match:
+                    self.short.setdefault(tuple(found), []).append(len(self.names))
                 self.names.append(name)
-                self.items.append(ids)
+                self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.uint64))
         hashes = [window_hashes(x, min_match) for x in self.items]
         owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         joined = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -120,10 +175,13 @@ class Bench:
 
     def hits(self, text: bytes, coverage: float) -> list[tuple[int, float, int]]:
         """(item, coverage, tiles) of the items that cover enough of a document."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words(text.decode("utf-8", "replace"))], np.uint64)
-        if not len(self.seeds) or len(ids) < self.min_match:
+        found = words(text.decode("utf-8", "replace"))
+        if len(found) < self.min_match:
+            return [(i, 1.0, 1) for i in self.short.get(tuple(found), ())]
+        if not len(self.seeds):
             return []
+        get = self.vocabulary.get
+        ids = np.fromiter((get(w, 0) for w in found), np.uint64, len(found))
         hashes = window_hashes(ids, self.min_match)
         left, right = np.searchsorted(self.seeds, hashes, "left"), np.searchsorted(self.seeds, hashes, "right")
         at = np.flatnonzero(right > left)
@@ -145,46 +203,73 @@ class Bench:
         return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Bench]:
-    """The benchmark in blocks of bounded size."""
+def blocks(benchmark: DataFrame, block_bytes: int | None = None) -> tuple[int, Iterator[Bench]]:
+    """The benchmark in blocks of bounded size: their number, and each in turn."""
     items = benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-int(total) // block_bytes) or 1
-    for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)
-        yield Bench([tuple(r) for r in part.orderBy("id", "text").collect()])
+    n = -(-int(total) // (block_bytes or BLOCK_BYTES)) or 1
+
+    def each() -> Iterator[Bench]:
+        for i in range(n):
+            part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)
+            yield Bench([tuple(r) for r in part.orderBy("id", "text").collect()])
+
+    return n, each()
+
+
+def _each_block(benchmark: DataFrame, find: Callable[[Bench], DataFrame], label: str) -> DataFrame:
+    """What find gives for every block; with several, each one's rows are stored before the next is read."""
+    n, benches = blocks(benchmark)
+    parts = (find(bench) if n == 1 else materialise(find(bench), label) for bench in benches)
+    out = next(parts)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage and tiles of every contaminated document and the items that it holds."""
     id_kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    out = None
-    for bench in blocks(benchmark):
+    name_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
 
-        def run(b: pa.RecordBatch, bench=bench) -> pa.RecordBatch:
+    def find(bench: Bench) -> DataFrame:
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             found = [(i, bench.names[x], part, n) for i, t in enumerate(utf8(b.column(1))) for x, part, n in bench.hits(t, coverage)]
             rows, names, parts, n = zip(*found) if found else ((), (), (), ())
-            return pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, schema.field(1).type), pa.array(parts, pa.float64()), pa.array(n, pa.int32())], ["doc_id", "item_id", "coverage", "tiles"])
+            return pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, name_kind), pa.array(parts, pa.float64()), pa.array(n, pa.int32())], ["doc_id", "item_id", "coverage", "tiles"])
 
-        from pyspark.sql.pandas.types import to_arrow_schema
+        return arrow_map(texts, run, f"doc_id {id_kind}, item_id {item_kind}, coverage double, tiles int")
 
-        spark_schema = docs.sparkSession.createDataFrame([], f"doc_id {id_kind}, item_id {item_kind}, coverage double, tiles int").schema
-        schema = to_arrow_schema(spark_schema)
-        part = arrow_map(texts, run, spark_schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _each_block(benchmark, find, "tiling-found")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs that no item contaminates, all columns."""
+    """The rows of docs that no item contaminates, all columns.
+
+    With a benchmark of several blocks docs is read once for each and must give the same partitions each time, as a table's scan does.
+    """
     names = docs.columns
     at = names.index("text")
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    for bench in blocks(benchmark):
+    n, benches = blocks(benchmark)
+    if n == 1:
+        bench = next(benches)
 
-        def run(b: pa.RecordBatch, bench=bench) -> pa.RecordBatch:
+        def clean(b: pa.RecordBatch) -> pa.RecordBatch:
             return b.filter(pa.array([not bench.hits(t, coverage) for t in utf8(b.column(at))], pa.bool_()))
 
-        inner = arrow_map(inner, run, inner.schema)
-    return inner.toDF(*names)
+        return arrow_map(inner, clean, inner.schema).toDF(*names)
+    numbered = inner.withColumn("uid", F.monotonically_increasing_id())
+
+    def find(bench: Bench) -> DataFrame:
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.record_batch([b.column(0).filter(pa.array([bool(bench.hits(t, coverage)) for t in utf8(b.column(1))], pa.bool_()))], ["uid"])
+
+        return arrow_map(numbered.select("uid", f"c{at}"), run, "uid bigint")
+
+    found = None
+    for bench in benches:
+        part = materialise(find(bench), "tiling-found")
+        found = part if found is None else found.unionByName(part)
+    return numbered.join(found.distinct(), "uid", "left_anti").drop("uid").toDF(*names)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from parlance.llm import fst_tokens, katz, media, mixing, quality, secrets, sharding, simhash, splitters, tiling, urls
+from parlance.llm import fst_tokens, katz, media, mixing, quality, queries, secrets, sharding, simhash, splitters, tiling, urls
 from tests.helpers import connect, rows
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, shard int, fp bigint, keep boolean, u bigint"
@@ -395,48 +395,52 @@ def test_cosine_hash_is_robust():
 # 8
 
 
-def test_tiling_equals_brute_force():
+def slow_tiles(a, b, least):
+    """Greedy tiles by marking the longest free match again and again."""
+    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(a)):
+            for t in range(len(b)):
+                n = 0
+                while p + n < len(a) and t + n < len(b) and free_a[p + n] and free_b[t + n] and a[p + n] == b[t + n]:
+                    n += 1
+                best = max(best, (n, -p, -t))
+        n, p, t = best[0], -best[1], -best[2]
+        if n < least:
+            return tiles
+        free_a[p : p + n], free_b[t : t + n] = [False] * n, [False] * n
+        tiles.append((p, t, n))
+
+
+@pytest.mark.parametrize("base", [tiling._BASE, 3])
+def test_tiling_equals_brute_force(monkeypatch, base):
+    """Tile for tile, on sequences that repeat themselves; a base that makes hashes of unlike windows equal changes nothing."""
+    monkeypatch.setattr(tiling, "_BASE", base)
+    monkeypatch.setattr(tiling, "_tables", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
     rng = np.random.default_rng(6)
+    for k in range(150):
+        kinds = 2 + k % 4
+        a = rng.integers(1, kinds, rng.integers(1, 30)).astype(np.uint64)
+        b = np.concatenate([rng.permutation(a[:9]), a[5:], rng.integers(1, kinds, 6).astype(np.uint64), a[:7]])[: rng.integers(5, 40)]
+        assert tiling.tile(a, b, 3) == slow_tiles(a.tolist(), b.tolist(), 3)
 
-    def slow(a, b, least):
-        free_a, free_b, total = [True] * len(a), [True] * len(b), 0
-        while True:
-            best = max(((n, -p, -t) for p in range(len(a)) for t in range(len(b)) for n in [next((n for n in range(min(len(a) - p, len(b) - t) + 1) if n == min(len(a) - p, len(b) - t) or not (free_a[p + n] and free_b[t + n] and a[p + n] == b[t + n])), 0)]), default=(0, 0, 0))
-            if best[0] < least:
-                return total
-            n, p, t = best[0], -best[1], -best[2]
-            free_a[p : p + n] = [False] * n
-            free_b[t : t + n] = [False] * n
-            total += n
-
-    for _ in range(60):
-        a = rng.integers(1, 4, 14).astype(np.uint64)
-        b = np.concatenate([rng.permutation(a[:7]), a[7:], a[:7]])[: rng.integers(5, 21)]
-        tiles = tiling.tile(a, b, 3)
-        assert all(np.array_equal(a[p : p + n], b[t : t + n]) and n >= 3 for p, t, n in tiles)
-        assert len({x for p, _, n in tiles for x in range(p, p + n)}) == sum(n for _, _, n in tiles)
-        assert sum(n for _, _, n in tiles) >= 0.7 * slow(a.tolist(), b.tolist(), 3)
 
+def test_repetitive_texts_are_tiled_in_bounded_time():
+    import time
 
-def test_tiling_is_greedy_to_the_end():
-    """Tile for tile what marking the longest free match again and again gives."""
+    start = time.monotonic()
+    one = np.ones(60_000, np.uint64)
+    assert tiling.tile(one, np.ones(100_000, np.uint64)) == [(0, 0, 60_000)]
+    item = np.r_[np.arange(10, 2010), np.ones(2000, np.int64)].astype(np.uint64)
+    assert sum(n for _, _, n in tiling.tile(item, one)) == 2000
+    cycle = tiling.tile(np.tile(np.arange(1, 51), 1000).astype(np.uint64), np.tile(np.arange(1, 54), 1100).astype(np.uint64))
+    assert sum(n for _, _, n in cycle) == 50_000
+    assert time.monotonic() - start < 20
 
-    def slow(a, b, least):
-        free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
-        while True:
-            best = (0, 0, 0)
-            for p in range(len(a)):
-                for t in range(len(b)):
-                    n = 0
-                    while p + n < len(a) and t + n < len(b) and free_a[p + n] and free_b[t + n] and a[p + n] == b[t + n]:
-                        n += 1
-                    best = max(best, (n, -p, -t))
-            n, p, t = best[0], -best[1], -best[2]
-            if n < least:
-                return tiles
-            free_a[p : p + n], free_b[t : t + n] = [False] * n, [False] * n
-            tiles.append((p, t, n))
 
+def test_tiling_is_greedy_to_the_end():
+    """Tile for tile what marking the longest free match again and again gives."""
     item = np.arange(1, 21)
     text = np.r_[item[:6], 0, item[5:12], 0, item[:6], 0]
     assert sum(n for _, _, n in tiling.tile(item.astype(np.uint64), text.astype(np.uint64))) == 12
@@ -444,7 +448,7 @@ def test_tiling_is_greedy_to_the_end():
     for k in range(150):
         a = rng.integers(1, 3 + k % 9, rng.integers(1, 26))
         b = np.concatenate([np.r_[a[x : x + rng.integers(1, 14)], 0][: rng.integers(1, 15)] for x in rng.integers(0, len(a), rng.integers(1, 6))])
-        assert tiling.tile(a.astype(np.uint64), b.astype(np.uint64), 3) == slow(a.tolist(), b.tolist(), 3)
+        assert tiling.tile(a.astype(np.uint64), b.astype(np.uint64), 3) == slow_tiles(a.tolist(), b.tolist(), 3)
 
 
 def test_contaminated(spark, empty):
@@ -454,9 +458,9 @@ def test_contaminated(spark, empty):
     made = [(0, "x " + " ".join(item).upper() + ". y"), (1, "aa " + moved + " bb"), (2, " ".join(item[:8])), (3, None), (4, ""), (5, "q0, q1; q2 q3! q4 q5 q6 " + "z " * 9000), (5, "clean"), (6, "too short")]
     docs = spark.createDataFrame([(i, t, 0.0) for i, t in made], "doc_id bigint, text string, coverage double")
     got = {(r["doc_id"], r["item_id"]): round(r["coverage"], 3) for r in tiling.contaminated(docs, bench).collect()}
-    assert got == {(0, 1): 1.0, (1, 1): 1.0, (5, 4): round(7 / 12, 3)}
+    assert got == {(0, 1): 1.0, (1, 1): 1.0, (5, 4): round(7 / 12, 3), (6, 2): 1.0}
     kept = tiling.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted((i, t or "") for i, t in made if i not in (0, 1) and not (t or "").startswith("q0"))
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted((i, t or "") for i, t in made if i not in (0, 1, 6) and not (t or "").startswith("q0"))
     assert tiling.contaminated(empty, bench).count() == 0 and tiling.contaminated(docs, bench.where("false")).count() == 0
 
 
@@ -464,8 +468,34 @@ def test_benchmark_blocks_agree(spark, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(10))) for i in range(9)], "item_id bigint, text string")
     docs = spark.createDataFrame([(i, f"a i{i}w0 i{i}w1 i{i}w2 i{i}w3 i{i}w4 i{i}w5 b") for i in range(9)], "doc_id bigint, text string")
     whole = sorted(map(tuple, tiling.contaminated(docs, bench).collect()))
-    monkeypatch.setattr(tiling.blocks, "__defaults__", (100,))
+    clean = docs.unionByName(spark.createDataFrame([(100, "clean"), (None, None)], "doc_id bigint, text string"))
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", 100)
+    assert tiling.blocks(bench)[0] > 3
     assert sorted(map(tuple, tiling.contaminated(docs, bench).collect())) == whole and len(whole) == 9
+    assert sorted(r["text"] or "" for r in tiling.decontaminate(clean, bench).collect()) == ["", "clean"]
+
+
+def test_contaminated_query_equals_brute_force(spark, data):
+    """The query's rows against plain greedy tiling of every document with every item that shares a window."""
+    docs = [(r["doc_id"], tiling.words(r["text"] or "")) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    items = [(r["item_id"], tiling.words(r["text"] or "")) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    grams = lambda w: {tuple(w[i : i + tiling.MIN_MATCH]) for i in range(len(w) - tiling.MIN_MATCH + 1)}
+    of_items, want = [(i, w, grams(w)) for i, w in items], {}
+    for d, text in docs:
+        own = grams(text)
+        for i, item, g in of_items:
+            if g & own:
+                covered = sum(n for _, _, n in slow_tiles(item, [w if any(tuple(text[max(0, k - j) : max(0, k - j) + tiling.MIN_MATCH]) in g for j in range(tiling.MIN_MATCH)) else None for k, w in enumerate(text)], tiling.MIN_MATCH))
+                if covered >= tiling.COVERAGE * len(item):
+                    want[d, i] = covered / len(item)
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in queries.QUERIES["op8_string_tiling"](spark, data).collect()}
+    assert got == pytest.approx(want) and len(got) > 0
+
+
+def test_unspaced_scripts_are_split(spark):
+    bench = spark.createDataFrame([(1, "今天天气很好我们去公园散步吧")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "他说今天天气很好我们去公园散步吧然后走了"), (2, "今天天气不好")], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in tiling.contaminated(docs, bench).collect()] == [1]
 
 
 # 9
