@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_arrow(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows."""
+    """Bound Arrow batches by bytes as well as rows, for the whole session: the setting counts when a plan runs, so it can't be put back here."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
@@ -36,10 +37,71 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back, so that losing an executor costs no recomputation of what came before."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Cut the lineage: write df as Parquet in the shared folder and read it back, so that losing an executor costs no recomputation of what came before.
+
+    All tables of an application lie in one folder of its name, which may be deleted once its results are written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/parlance-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _kept:
+        _kept[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+#: Paths that were written within the open blocks of `passing`.
+_kept: list[list[str]] = []
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a materialised table that nothing reads any more."""
+    for paths in _kept:
+        if path in paths:
+            paths.remove(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end the tables that are materialised within, but for those that are taken off the list."""
+    _kept.append([])
+    try:
+        yield _kept[-1]
+    finally:
+        for path in _kept.pop():
+            release(spark, path)
+
+
+#: Rows that one task of an exchange takes at most, as far as no single key has more.
+TASK_ROWS = 2_000_000
+
+
+def exchange(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """df by hash of the columns, in more partitions than the session's where its number of rows asks for it."""
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *columns) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*columns)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, of at least so many rows where there are more, from batches sorted by their first column; a task holds no more than that and one group."""
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= least:
+            whole = pa.Table.from_batches(held)
+            key = whole.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            if cut:
+                yield whole.slice(0, cut).combine_chunks()
+                held, n = whole.slice(cut).combine_chunks().to_batches(), n - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

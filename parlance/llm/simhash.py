@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_map, bound_arrow, materialise, signed, utf8
+from parlance.llm.common import arrow_map, bound_arrow, exchange, materialise, release, signed, utf8, whole_groups
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of one pigeonhole group that one task may index; larger groups are dealt again by their remaining bits.
@@ -44,6 +44,11 @@ def fingerprint(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> int:
     starts = (ends - lengths)[: n - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(norm[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, n - k + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BITS_AT_ONCE):
         part = hashes[at : at + _BITS_AT_ONCE].view(np.uint8).reshape(-1, 8)
@@ -110,15 +115,7 @@ class GrayIndex:
     def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs whose union spans every link of at most radius bits inside a group."""
         yield from self._whole_nodes(radius)
-        yield from ((q, x) for q, x, _ in self._search(radius, True))
-
-    def nearest(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each entry with an earlier one in its group within radius bits: itself and the nearest of those."""
-        best = np.full(len(self.fps), np.iinfo(np.int64).max)
-        for query, found, distance in self._search(radius, False):
-            np.minimum.at(best, query, distance.astype(np.int64) << 40 | found)
-        some = np.flatnonzero(best != np.iinfo(np.int64).max)
-        return some, best[some] & ((1 << 40) - 1)
+        yield from self._search(radius)
 
     def _whole_nodes(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for level in range(1, len(self.levels)):  # a node whose open bits can't pass the radius is one component
@@ -127,37 +124,37 @@ class GrayIndex:
             owner, child = self._children(level, whole)
             yield self._leaf_first(level, whole)[owner], self._leaf_first(level - 1, child)
 
-    def _search(self, radius: int, whole: bool):
-        """(query, entry, differences) of the pairs within radius, each from its later end; whole: one pair stands for a node that lies within."""
+    def _search(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs within the radius, each from its later end; one pair stands for a node that lies within as a whole."""
         top = len(self.levels) - 1
         roots = self.levels[top][3]
         root_of = np.searchsorted(roots, self.groups)
         size = max(1, FRONTIER // 64)
         for at in range(0, len(self.fps), size):
             query = np.arange(at, min(at + size, len(self.fps)))
-            yield from self._down(query, root_of[query], np.zeros(len(query), np.int64), np.zeros(len(query), np.uint64), top, radius, whole)
+            yield from self._down(query, root_of[query], np.zeros(len(query), np.int64), np.zeros(len(query), np.uint64), top, radius)
 
-    def _down(self, query, node, acc, seen, level, radius, shortcut):
+    def _down(self, query, node, acc, seen, level, radius):
         """seen: bits already compared on the way to the node; acc: differences among them."""
         if len(query) > FRONTIER and level < len(self.levels) - 1:
             for at in range(0, len(query), FRONTIER):
                 part = slice(at, at + FRONTIER)
-                yield from self._down(query[part], node[part], acc[part], seen[part], level, radius, shortcut)
+                yield from self._down(query[part], node[part], acc[part], seen[part], level, radius)
             return
         pattern, mask, _, _ = self.levels[level]
         acc = acc + np.bitwise_count((self.fps[query] ^ pattern[node]) & mask[node] & ~seen)
-        whole = acc + np.bitwise_count(~mask[node]) <= radius if shortcut else (acc <= radius) & (level == 0)
+        whole = acc + np.bitwise_count(~mask[node]) <= radius
         if level == 0:
             whole &= node < query
         if whole.any():
-            yield query[whole], self._leaf_first(level, node[whole]), acc[whole]
+            yield query[whole], self._leaf_first(level, node[whole])
         keep = (acc <= radius) & ~whole
         if level and keep.any():
             query, node, acc = query[keep], node[keep], acc[keep]
             owner, child = self._children(level, node)
             first = self._leaf_first(level - 1, child) < query[owner]  # a link is found from its later end
             owner, child = owner[first], child[first]
-            yield from self._down(query[owner], child, acc[owner], mask[node][owner], level - 1, radius, shortcut)
+            yield from self._down(query[owner], child, acc[owner], mask[node][owner], level - 1, radius)
 
 
 def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -178,13 +175,12 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-    if not parts:
-        return
-    index = GrayIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.uint64))
-    label = spanning(len(index.fps), index.links(RADIUS))
-    child = np.flatnonzero(label != np.arange(len(label)))
-    yield pa.record_batch([pa.array(signed(index.fps[child])), pa.array(signed(index.fps[label[child]]))], ["u", "v"])
+    for part in whole_groups(batches, GROUP_LIMIT):
+        index = GrayIndex(part.column("key").to_numpy(), part.column("fp").to_numpy().view(np.uint64))
+        label = spanning(len(index.fps), index.links(RADIUS))
+        child = np.flatnonzero(label != np.arange(len(label)))
+        if len(child):
+            yield pa.record_batch([pa.array(signed(index.fps[child])), pa.array(signed(index.fps[label[child]]))], ["u", "v"])
 
 
 def _bits(column, bits: list[int]):
@@ -202,7 +198,7 @@ def _bits(column, bits: list[int]):
 def forests(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(u, v) spanning forests over distinct fingerprints fps(fp): u and v are linked, every link's ends are connected."""
     bound_arrow(fps.sparkSession)
-    whole = list(range(64))
+    whole, rows = list(range(64)), 4 * fps.count()
     keyed = [(whole, fps.select(F.lit(0).cast("bigint").alias("path"), "fp"))]
     found = None
     while keyed:
@@ -210,11 +206,11 @@ def forests(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
         cut = [len(free) * k // 4 for k in range(5)]
         blocks = [free[a:b] for a, b in zip(cut, cut[1:]) if b > a]
         pieces = F.array(*[F.struct(F.lit(j).alias("j"), F.xxhash64("path", F.lit(j), _bits(F.col("fp"), bits)).alias("key")) for j, bits in enumerate(blocks)])
-        dealt = df.select("fp", F.explode(pieces).alias("x")).select("fp", "x.j", "x.key")
+        dealt = df.select("fp", F.explode(pieces).alias("x")).select("x.key", "fp", "x.j")
         large = materialise(dealt.groupBy("j", "key").count().where(F.col("count") > group_limit).select("j", "key"), "simhash-large")
         hot = {r[0] for r in large.select("j").distinct().collect()}  # at most 4 numbers
         rest = dealt.join(large, ["j", "key"], "left_anti") if hot else dealt
-        forest = rest.repartition("key").mapInArrow(_forest, "u bigint, v bigint")
+        forest = exchange(rest.select("key", "fp"), rows, "key").sortWithinPartitions("key").mapInArrow(_forest, "u bigint, v bigint")
         found = forest if found is None else found.unionByName(forest)
         for j in hot if len(free) > 4 else ():
             again = dealt.where(F.col("j") == j).join(large, ["j", "key"], "left_semi")
@@ -235,7 +231,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct(), "components")
+        before, edges = edges.stored_at, materialise(small.where("u <> v").distinct(), "components")
+        release(edges.sparkSession, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -268,9 +265,10 @@ ORDER_DOCS, COMMON = 20_000, 1 << 18
 PART = 500
 #: Pairs of sketches compared at once.
 _PAIRS_AT_ONCE = 1 << 16
-#: Part of the bits in which a pair of that similarity agrees, and the part of the pairs that tables of sampled bits may miss at just that similarity.
-AGREE, MISS = 0.844, 0.01
-_LANES = 4
+#: Entries of whole groups that a task compares at a time.
+_ENTRIES_AT_ONCE = 20_000
+#: Documents of the sample that hold a shingle from which on it may be hot: its holders are counted apart and never meet in one task.
+HOT = 20
 
 
 def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
@@ -287,14 +285,6 @@ def shingle_set(words: list[bytes], k: int = SIMILAR_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)), np.uint64, len(words) - k + 1)) if words else np.zeros(0, np.uint64)
 
 
-def tables(rows: int) -> list[np.ndarray]:
-    """Bits that each table samples of a 256-bit signature: enough bits that unlike texts seldom meet, enough tables that like ones do."""
-    bits = max(12, int(rows).bit_length() - 4)
-    n = int(np.ceil(np.log(1 / MISS) / AGREE**bits))
-    rng = np.random.default_rng(11)
-    return [np.sort(rng.choice(64 * _LANES, bits, replace=False)) for _ in range(n)]
-
-
 def prefix(shingles: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
     """So many of a set's shingles, rarest first, that two sets of SIMILARITY share one of them. common is sorted; others count as rare."""
     if not len(shingles):
@@ -317,15 +307,15 @@ def alike(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both >= SIMILARITY * (a + b - both)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The holders of each shingle that has several, and the number of parts they make."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for b in batches if b.num_rows]
-    if not parts:
-        return
-    token, uid = (np.concatenate(x) for x in zip(*parts))
-    _, at, count = np.unique(token, return_inverse=True, return_counts=True)
-    some = count[at] > 1
-    yield pa.record_batch([pa.array(token[some]), pa.array(uid[some]), pa.array(-(-count[at][some] // PART))], ["token", "uid", "parts"])
+def _shared(tokens: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(token, uid, parts): the holders of each shingle that several have, and the number of parts they make. hot: shingles whose holders aren't gathered."""
+    spark = tokens.sparkSession
+    parts = F.ceil(F.col("count") / PART).cast("bigint").alias("parts")
+    known = spark.createDataFrame([(int(x),) for x in signed(hot)], "token bigint")  # no more than the sample's common ones
+    often = tokens.join(F.broadcast(known), "token", "left_semi")
+    counts = often.groupBy("token").count().where("count > 1").select("token", parts)
+    rest = tokens.join(F.broadcast(known), "token", "left_anti").withColumn("count", F.count("*").over(Window.partitionBy("token"))).where("count > 1").select("token", "uid", parts)
+    return rest.unionByName(often.join(F.broadcast(counts), "token").select("token", "uid", "parts"))
 
 
 def _dealt(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -349,46 +339,47 @@ def _proposed(nearest: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            if b.num_rows:
-                parts.append([*(b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4)), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, 256)])
-        if not parts:
-            return
-        key, uid, n, root, classes = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((uid, key))
-        key, uid, n, root, classes = key[order], uid[order], n[order], root[order], classes[order]
-        lost = n - classes.sum(axis=1, dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         found, held = [], 0
-        for first, end in zip(starts.tolist(), np.r_[starts[1:], len(key)].tolist()):
-            size = max(1, _PAIRS_AT_ONCE // (end - first))
-            for at in range(first, end, size):
-                a = np.arange(at, min(at + size, end))[:, None]
-                b = np.arange(first, a[-1, 0] + 1)[None, :]
-                a, b = (x[(b < a) & (root[a] != root[b]) & alike(np.minimum(n[a], n[b]), n[a], n[b])] for x in np.broadcast_arrays(a, b))
-                both = np.minimum(np.minimum(classes[a], classes[b]).sum(axis=1, dtype=np.int64) + lost[a], np.minimum(n[a], n[b]))
-                some = alike(both, n[a], n[b])
-                a, b, both = a[some], b[some], both[some]
-                if nearest and len(a):
-                    by = np.lexsort((-both / (n[a] + n[b]), a))
-                    by = by[np.r_[True, a[by][1:] != a[by][:-1]]]
-                    a, b = a[by], b[by]
-                found.append((uid[a], uid[b]))
-                held += len(a)
-                if held > _PAIRS_AT_ONCE:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], ["u", "v"])
-                    found, held = [], 0
+        for part in whole_groups(batches, _ENTRIES_AT_ONCE):
+            key, uid, n, root = (part.column(i).to_numpy() for i in (0, 1, 2, 4))
+            classes = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, 256)
+            order = np.lexsort((uid, key))
+            key, uid, n, root, classes = key[order], uid[order], n[order], root[order], classes[order]
+            lost = n - classes.sum(axis=1, dtype=np.int64)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for first, end in zip(starts.tolist(), np.r_[starts[1:], len(key)].tolist()):
+                size = max(1, _PAIRS_AT_ONCE // (end - first))
+                for at in range(first, end, size):
+                    a = np.arange(at, min(at + size, end))[:, None]
+                    b = np.arange(first, a[-1, 0] + 1)[None, :]
+                    a, b = (x[(b < a) & (root[a] != root[b]) & alike(np.minimum(n[a], n[b]), n[a], n[b])] for x in np.broadcast_arrays(a, b))
+                    both = np.minimum(np.minimum(classes[a], classes[b]).sum(axis=1, dtype=np.int64) + lost[a], np.minimum(n[a], n[b]))
+                    some = alike(both, n[a], n[b])
+                    a, b, both = a[some], b[some], both[some]
+                    if nearest and len(a):
+                        by = np.lexsort((-both / (n[a] + n[b]), a))
+                        by = by[np.r_[True, a[by][1:] != a[by][:-1]]]
+                        a, b = a[by], b[by]
+                    found.append((uid[a], uid[b]))
+                    held += len(a)
+                    if held > _PAIRS_AT_ONCE:
+                        yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], ["u", "v"])
+                        found, held = [], 0
         if held:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], ["u", "v"])
 
     return run
 
 
-def _links(entries: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-    """(u, v) of the proposed pairs whose exact similarity reaches SIMILARITY."""
+def _proposals(entries: DataFrame, rows: int, nearest: bool) -> DataFrame:
+    """(u, v) that may reach SIMILARITY, of the holders of each shingle. rows: how many the holders make once dealt."""
     groups = arrow_map(entries.select("token", "uid", "parts", "n", "sketch", "root"), _dealt, "key bigint, uid bigint, n bigint, sketch binary, root bigint")
-    pairs = materialise(groups.repartition("key").mapInArrow(_proposed(nearest), "u bigint, v bigint").distinct(), "similar-pairs")
+    return exchange(groups, 8 * rows, "key").sortWithinPartitions("key").mapInArrow(_proposed(nearest), "u bigint, v bigint")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose exact similarity reaches SIMILARITY. Pairs with an end that shares no rare shingle with any other don't."""
+    pairs = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "similar-pairs")
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -401,6 +392,16 @@ def _links(entries: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     return arrow_map(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), check, "u bigint, v bigint")
 
 
+def _near_prints(reps: DataFrame) -> DataFrame:
+    """(u, v): documents of equal fingerprint with the first of them, and the first ones of fingerprints that the Gray-order index links."""
+    first = materialise(reps.groupBy("fp").agg(F.min("uid").alias("low")), "similar-prints")
+    equal = reps.join(first, "fp").select(F.col("uid").alias("u"), F.col("low").alias("v"))
+    forest = forests(first.select("fp"))
+    ends = [first.select(F.col("fp").alias(x), F.col("low").alias(f"{x}_low")) for x in "uv"]
+    near = forest.join(ends[0], "u").join(ends[1], "v").select(F.col("u_low").alias("u"), F.col("v_low").alias("v"))
+    return equal.unionByName(near)
+
+
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that several of a bounded sample of texts hold, and how many do."""
     part = -(-texts.count() // ORDER_DOCS) or 1
@@ -419,9 +420,11 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def similar_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Of docs with a unique number uid: (uid) of one document of each group of like texts, and of every document that has none.
 
-    Exact copies (of the lower-cased words) fall together first. The search is exact: two sets of SIMILARITY share a shingle among the rarest
-    of each (prefix filter), so each shingle's holders are compared, by sketches that bound what the sets share, and then exactly. Each holder
-    first proposes the likest earlier one; when these links have joined most, all pairs that are still apart are proposed, so none is left out.
+    Exact copies (of the lower-cased words) fall together first. SimHash fingerprints of the others go through the Gray-order index, and what it
+    links is checked exactly. As fingerprints at so few differing bits can't tell every pair of SIMILARITY, a search that misses none follows:
+    two sets of SIMILARITY share a shingle among the rarest of each (prefix filter), so each shingle's holders are compared, by sketches that
+    bound what the sets share, and then exactly. Each holder first proposes the likest earlier one; when these and the index's links have
+    joined most, all pairs that are still apart are proposed, so none is left out.
     """
     bound_arrow(docs.sparkSession)
     texts = docs.select("uid", F.col(text_col).alias("text"))
@@ -430,12 +433,17 @@ def similar_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         split = [t.lower().split() for t in utf8(b.column(1))]
         whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in split), np.int64).reshape(-1, 2)
-        heads = [signed(prefix(shingle_set(w), common, times)) for w in split]
-        return pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(whole[:, i])) for i in (0, 1)), pa.array(heads, pa.list_(pa.int64()))], ["uid", "c0", "c1", "head"])
-
-    prints = arrow_map(texts, sign, "uid bigint, c0 bigint, c1 bigint, head array<bigint>")
-    reps = materialise(prints.groupBy("c0", "c1").agg(F.min("uid").alias("uid"), F.first("head").alias("head")).drop("c0", "c1"), "similar-prefixes")
-    shared = materialise(reps.select(F.explode("head").alias("token"), "uid").repartition("token").mapInArrow(_shared, "token bigint, uid bigint, parts bigint"), "similar-shared")
+        fps, heads = np.zeros(len(split), np.uint64), []
+        for i, w in enumerate(split):
+            shingles = shingle_set(w)
+            fps[i] = majority(shingles)
+            heads.append(signed(prefix(shingles, common, times)))
+        return pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(whole[:, i])) for i in (0, 1)), pa.array(signed(fps)), pa.array(heads, pa.list_(pa.int64()))], ["uid", "c0", "c1", "fp", "head"])
+
+    prints = arrow_map(texts, sign, "uid bigint, c0 bigint, c1 bigint, fp bigint, head array<bigint>")
+    reps = materialise(prints.groupBy("c0", "c1").agg(F.min("uid").alias("uid"), F.first("fp").alias("fp"), F.first("head").alias("head")).drop("c0", "c1"), "similar-prefixes")
+    shared = materialise(_shared(reps.select(F.explode("head").alias("token"), "uid"), common[times >= HOT]), "similar-shared")
+    rows = int(shared.agg(F.sum(F.greatest(F.col("parts") - 1, F.lit(1)))).first()[0] or 0)
 
     def sets_of(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set(t.lower().split()) for t in utf8(b.column(1))]
@@ -443,14 +451,18 @@ def similar_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     sets = materialise(arrow_map(texts.join(shared.select("uid").distinct(), "uid", "left_semi"), sets_of, "uid bigint, n bigint, sketch binary, x array<bigint>"), "similar-sets")
     entries = shared.join(sets.select("uid", "n", "sketch"), "uid")
-    roots = components(_links(entries.withColumn("root", F.col("uid")), sets, True))
+    first = _near_prints(reps.select("uid", "fp")).unionByName(_proposals(entries.withColumn("root", F.col("uid")), rows, True))
+    roots = components(_links(first, sets))
     open_ = entries.join(roots.withColumnRenamed("u", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    roots = components(roots.select("u", F.col("root").alias("v")).unionByName(_links(open_, sets, False)))
+    roots = components(roots.select("u", F.col("root").alias("v")).unionByName(_links(_proposals(open_, rows, False), sets)))
     return reps.select("uid").join(roots.select(F.col("u").alias("uid")), "uid", "left_anti")
 
 
 def drop_similar(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs with one document of each group of like texts, all columns."""
+    """The rows of docs with one document of each group of like texts, all columns.
+
+    docs is read three times and must give the same partitions each time, as a table's scan does: rows are numbered by partition and place.
+    """
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("uid", F.monotonically_increasing_id())
     kept = similar_documents(inner, f"c{names.index(text_col)}")

@@ -596,12 +596,19 @@ def test_gray_index_finds_every_link():
     near = (np.bitwise_count(index.fps[:, None] ^ index.fps[None, :]) <= 3) & (index.groups[:, None] == index.groups[None, :])
     want = simhash.spanning(len(fps), [np.nonzero(near)])
     assert np.array_equal(label, want)
-    a, b = index.nearest(9)
-    d = np.bitwise_count(index.fps[:, None] ^ index.fps[None, :]).astype(int)
-    d[index.groups[:, None] != index.groups[None, :]] = 99
-    for x, y in zip(a.tolist(), b.tolist()):
-        assert y < x and d[x, y] == d[x, :x].min() <= 9
-    assert len(a) == sum(d[x, :x].min(initial=99) <= 9 for x in range(len(fps)))
+
+
+def test_groups_stay_whole_in_batches():
+    """Groups that span batches come in one table; tables are no larger than asked for and one group."""
+    import pyarrow as pa
+
+    key = np.sort(np.random.default_rng(3).integers(0, 40, 1000))
+    batches = [pa.record_batch([pa.array(key[i : i + 37]), pa.array(np.arange(i, min(i + 37, 1000)))], ["key", "x"]) for i in range(0, 1000, 37)]
+    parts = list(simhash.whole_groups(iter(batches), 100))
+    assert np.array_equal(np.concatenate([p.column(1).to_numpy() for p in parts]), np.arange(1000)) and len(parts) > 5
+    seen = [set(p.column(0).to_pylist()) for p in parts]
+    assert sum(map(len, seen)) == len(set(key.tolist())) and all(p.num_rows < 200 for p in parts)
+    assert list(simhash.whole_groups(iter([]), 5)) == []
 
 
 def test_components_of_a_chain(spark):
@@ -623,12 +630,6 @@ def test_similar_documents(spark, empty):
     assert simhash.drop_similar(empty).count() == 0
 
 
-def test_signature_tables_keep_recall():
-    for n in (100, 10**5, 10**8):
-        t = simhash.tables(n)
-        assert 1 - (1 - simhash.AGREE ** len(t[0])) ** len(t) >= 1 - simhash.MISS
-
-
 def similar_model(texts):
     """Groups of texts by brute force over all pairs, as the set of each group's members."""
     sets = [set(simhash.shingle_set(t.lower().encode().split()).tolist()) for t in texts]
@@ -657,8 +658,10 @@ def test_similar_pairs_at_the_border(spark):
     assert 20 < len(want) - 240 < 220 and len(kept) == len(want) and all(len(kept & g) == 1 for g in want)
 
 
-def test_similar_pairs_in_a_family(spark):
+@pytest.mark.parametrize("hot", [2, 20])
+def test_similar_pairs_in_a_family(spark, monkeypatch, hot):
     """Near copies among hundreds of texts of one template that are less alike, some nearer to others than to their own copy."""
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(4)
     template = [f"t{i}" for i in range(170)]
     own = lambda n: [f"o{rng.randint(0, 10**9)}" for _ in range(n)]
