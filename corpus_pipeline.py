@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import mixing, quality, sharding, simhash, tiling
-from parlance.llm.common import materialise, table
+from parlance.llm.common import materialise, passing, release, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group of near copies stays (five-word shingles, similarity of 0.8 or more)."""
+    """Operator 10: its Gray-order index and an exact check, completed by an exact search; one document of each group of near copies stays."""
     return simhash.drop_similar(docs)
 
 
@@ -44,8 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table. Tables that a stage leaves behind are deleted once its output is written, and that once the next has read it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = getattr(docs, "stored_at", None)
+        with passing(spark) as left:
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            left.remove(docs.stored_at)
+        if before:
+            release(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
