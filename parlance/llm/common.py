@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch handed to a Python worker; keeps a worker's memory flat however long the texts are.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -402,6 +402,13 @@ def _near_prints(reps: DataFrame) -> DataFrame:
     return equal.unionByName(near)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """A list column of int64 arrays, without going through Python numbers."""
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(x) for x in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that several of a bounded sample of texts hold, and how many do."""
     part = -(-texts.count() // ORDER_DOCS) or 1
@@ -431,14 +438,15 @@ def similar_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     common, times = common_shingles(texts)
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
-        split = [t.lower().split() for t in utf8(b.column(1))]
-        whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in split), np.int64).reshape(-1, 2)
-        fps, heads = np.zeros(len(split), np.uint64), []
-        for i, w in enumerate(split):
+        texts = utf8(b.column(1))
+        whole, fps, heads = np.zeros((len(texts), 2), np.int64), np.zeros(len(texts), np.uint64), []
+        for i, t in enumerate(texts):
+            w = t.lower().split()
+            whole[i] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), np.int64)
             shingles = shingle_set(w)
             fps[i] = majority(shingles)
             heads.append(signed(prefix(shingles, common, times)))
-        return pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(whole[:, i])) for i in (0, 1)), pa.array(signed(fps)), pa.array(heads, pa.list_(pa.int64()))], ["uid", "c0", "c1", "fp", "head"])
+        return pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(whole[:, i])) for i in (0, 1)), pa.array(signed(fps)), _lists(heads)], ["uid", "c0", "c1", "fp", "head"])
 
     prints = arrow_map(texts, sign, "uid bigint, c0 bigint, c1 bigint, fp bigint, head array<bigint>")
     reps = materialise(prints.groupBy("c0", "c1").agg(F.min("uid").alias("uid"), F.first("fp").alias("fp"), F.first("head").alias("head")).drop("c0", "c1"), "similar-prefixes")
@@ -447,7 +455,7 @@ def similar_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def sets_of(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set(t.lower().split()) for t in utf8(b.column(1))]
-        return pa.record_batch([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x) for x in found], pa.binary()), pa.array([signed(x) for x in found], pa.list_(pa.int64()))], ["uid", "n", "sketch", "x"])
+        return pa.record_batch([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([sketch(x) for x in found], pa.binary()), _lists([signed(x) for x in found])], ["uid", "n", "sketch", "x"])
 
     sets = materialise(arrow_map(texts.join(shared.select("uid").distinct(), "uid", "left_semi"), sets_of, "uid bigint, n bigint, sketch binary, x array<bigint>"), "similar-sets")
     entries = shared.join(sets.select("uid", "n", "sketch"), "uid")
