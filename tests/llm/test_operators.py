@@ -106,54 +106,81 @@ def test_chunk_maps_compose(vocabulary):
 # 2
 
 
-def katz_model(docs_rows):
+def katz_model(docs_rows, order):
+    """The model by plain recursion over dictionaries: tokens, word counts, N, V and p(history, word)."""
     toks = lambda t: [*[w.encode().lower() for w in words_of(t)], None]
-    uni, pair, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    counts = [collections.Counter() for _ in range(order)]
+    after = collections.defaultdict(set)
     for i, t in docs_rows:
         if not katz.is_held(i):
             x = toks(t)
-            uni.update(x)
-            for a, b in zip([0, *x], x):
-                pair[a, b] += 1
-                after[a].add(b)
-    n, v = sum(uni.values()), len(uni)
-    d = [katz.discounts([sum(c == k for c in counts.values()) for k in range(1, katz.K + 2)]) for counts in (uni, pair)]
-    cut = lambda c, d: d[c] * c if c <= katz.K else c - katz.K * (1 - d[katz.K])
-    unknown = 1 - sum(cut(c, d[0]) for c in uni.values()) / n
-    p1 = lambda w: cut(uni[w], d[0]) / n if uni[w] else unknown
+            padded = [0] * (order - 1) + x
+            for at in range(len(x)):
+                for k in range(order):
+                    gram = tuple(padded[at + order - 1 - k : at + order])
+                    counts[k][gram] += 1
+                    after[gram[:-1]].add(gram[-1])
+    n, v = sum(counts[0].values()), len(counts[0])
+    d = [katz.discounts([sum(c == r for c in x.values()) for r in range(1, katz.K + 2)]) for x in counts]
+    cut = lambda c, k: d[k][c] * c if c <= katz.K else c - katz.K * (1 - d[k][katz.K])
+    unknown = 1 - sum(cut(c, 0) for c in counts[0].values()) / n
     total = collections.Counter()
-    for (a, _), c in pair.items():
-        total[a] += c
+    for x in counts:
+        for gram, c in x.items():
+            total[gram[:-1]] += c
+    alphas = {}
 
     def p(h, w):
-        if pair[h, w]:
-            return cut(pair[h, w], d[1]) / total[h]
+        k = len(h)
+        if counts[k][(*h, w)]:
+            return cut(counts[k][(*h, w)], k) / total[h]
+        if not k:
+            return unknown
         if not total[h]:
-            return p1(w)
-        return p1(w) * (1 - sum(cut(pair[h, x], d[1]) for x in after[h]) / total[h]) / (1 - sum(map(p1, after[h])))
+            return p(h[1:], w)
+        if h not in alphas:
+            alphas[h] = (1 - sum(cut(counts[k][(*h, x)], k) for x in after[h]) / total[h]) / (1 - sum(p(h[1:], x) for x in after[h]))
+        return alphas[h] * p(h[1:], w)
 
-    return toks, uni, n, v, p, list(uni)
+    return toks, counts[0], n, v, p
 
 
-@pytest.mark.parametrize("block", [300, 1 << 20])
-def test_katz(docs, empty, monkeypatch, block):
+@pytest.mark.parametrize("order, block", [(2, 1 << 20), (3, 300), (3, 1 << 20), (4, 2000)])
+def test_katz(docs, empty, monkeypatch, block, order):
     monkeypatch.setattr(katz, "BLOCK_BYTES", block)
+    if order == 4:  # several key ranges in a partition
+        monkeypatch.setattr(katz, "PART_BYTES", 500)
+        monkeypatch.setattr(katz, "MOST_PARTS", 3)
     small = docs.where("text is null or length(text) < 5000")
     all_rows = [(r["doc_id"], r["text"]) for r in small.collect()]
-    toks, uni, n, v, p, vocabulary = katz_model(all_rows)
+    toks, uni, n, v, p = katz_model(all_rows, order)
     want = collections.defaultdict(list)
     for i, t in all_rows:
         x = toks(t)
-        want[i].append((len(x), sum(uni[w] > 0 for w in x), sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), sum(math.log10(p(a, b)) for a, b in zip([0, *x], x))))
-    got = katz.score_documents(small).collect()
+        padded = [0] * (order - 1) + x
+        score = sum(math.log10(p(tuple(padded[at : at + order - 1]), w)) for at, w in enumerate(x))
+        want[i].append((len(x), sum(uni[(w,)] > 0 for w in x), sum(math.log10((uni[(w,)] + 0.5) / (n + 0.5 * (v + 1))) for w in x), score))
+    got = katz.score_documents(small, order=order).collect()
     assert len(got) == len(all_rows)
     for r in got:
         assert r["held_out"] == katz.is_held(r["doc_id"]) and r["train_tokens"] == n
         assert any((r["n_tokens"], r["n_known"]) == (a, b) and r["base_score"] == pytest.approx(c) and r["score"] == pytest.approx(s) for a, b, c, s in want[r["doc_id"]])
-    for h in (0, vocabulary[3], None):
-        assert sum(p(h, w) for w in vocabulary) + p(h, b"unseen word") == pytest.approx(1)
+    words = [w for (w,) in uni]
+    for h in ((0,) * (order - 1), (words[3],) * (order - 1), (0,) * (order - 2) + (words[5],), (b"unseen",) * (order - 1)):
+        assert sum(p(h, w) for w in words) + p(h, b"unseen word") == pytest.approx(1)
     if block > 300:
-        assert katz.score_documents(empty).count() == 0
+        assert katz.score_documents(empty, order=order).count() == 0
+
+
+def test_katz_refuses_documents_that_change_between_reads():
+    """A block that the second read doesn't give has answers, but no dump."""
+    import pyarrow as pa
+
+    read = lambda text: katz.Block.read((0, 0), pa.array([1]), pa.array([text]))
+    assert read("a b").src == read("a b").src != read("a c").src
+    answers = pa.record_batch([pa.array([5]), pa.array([0]), pa.array([0]), pa.array([katz.pack(np.zeros(3, np.uint64))])], ["src", "kind", "part", "vals"])
+    with pytest.raises(RuntimeError, match="otherwise the second time"):
+        list(katz._score(iter([answers]), katz.Totals(1, 1, [], 0.5), 1))
 
 
 # 3
