@@ -36,6 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + shared_dir.own
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back, so that losing an executor costs no recomputation of what came before.
 
@@ -43,7 +46,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parlance-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled on the way is not needed once the table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     if _kept:
         _kept[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
