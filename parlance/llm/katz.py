@@ -12,8 +12,9 @@ and sums are of all training documents; nothing is pruned.
 
 Documents are read in blocks of BLOCK_BYTES of text. A block's distinct n-grams of each order, as sorted 64-bit digests with training counts, are
 dealt to key ranges as packed arrays; each range merges the arrays of all blocks into its part of the count tables and answers
-each block with the counts of its keys, in key order (and whether the block owns a key, so that each seen n-gram is summed once). The answers are
-a partitioned table in the shared folder. Blocks then score what is seen, and deal the seen sums of each history and the backoffs of each
+each block with the counts of its keys, in key order (and whether the block owns a key, so that each seen n-gram is summed once, and whether
+no other block has it). The answers are
+a partitioned table in the shared folder. Blocks then score what is seen, and back off by themselves behind histories that no other block has; of the rest they deal the seen sums of each history and the backoffs of each
 (document, history) to partitions by history, which normalise alpha and return to each block the rest of its documents' scores. Keys are spread by hash and
 a key comes once from each block, so no key is hot; there is a range for each PART_BYTES of input, and a task takes its ranges one by one, so its
 memory doesn't grow with the input. The two reads of docs are held against each other: blocks are named by what is in them, and one
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import bound_arrow, materialise
 
-BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 6 << 20, 6 << 20
 K = 5
 FOLDS, HELD = 5, 1
 #: Digests of the two marks; no word holds a space.
@@ -48,6 +49,8 @@ END_KEY, START_KEY = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b"
 ORDER = 3
 #: Partitions of an exchange at most; beyond them a partition has several key ranges or blocks.
 MOST_PARTS = 20_000
+#: Bits of an answer below the count.
+OWNED, ALONE = 1, 2
 #: Kind of the rows that hold a block's dump; kinds below are the n-grams' orders.
 DUMP = 99
 _ROW_BYTES = 1 << 20
@@ -102,7 +105,7 @@ class Grams:
     shorter: np.ndarray  # the n-gram of the order below that ends alike
 
     def __post_init__(self) -> None:
-        self.order = np.argsort(self.keys)
+        self.order = np.argsort(self.keys).astype(np.int32)
 
 
 def start_key(order: int) -> int:
@@ -151,19 +154,21 @@ class Block:
         training, documents = ~self.held[self.owner], int((~self.held).sum())
         counts = np.bincount(self.tokens[training], minlength=n)
         counts[n - 1] = documents
-        none = np.zeros(n, np.int64)
-        self.grams = [Grams(self.words, counts, self.tokens.astype(np.int64), none, np.arange(n), none)]
+        none = np.zeros(n, np.int32)
+        self.grams = [Grams(self.words, counts, self.tokens, none, np.arange(n), none)]
         for _ in range(1, order):
             low = self.grams[-1]
             history = np.empty(len(self.tokens), np.int64)
             history[1:] = low.at[:-1]
             history[first] = len(low.keys) - 1
             codes, where, at = np.unique(history * n + self.tokens, return_index=True, return_inverse=True)
+            del history
             codes = np.r_[codes, (len(low.keys) - 1) * n + n - 1]
-            h, w = codes // n, codes % n
-            counts = np.bincount(at[training], minlength=len(codes))
+            h, w = (codes // n).astype(np.int32), (codes % n).astype(np.int32)
+            at, codes = at.astype(np.int32), codes[:1]
+            counts = np.bincount(at[training], minlength=len(h))
             counts[-1] = documents
-            self.grams.append(Grams(pair_keys(low.keys[h], self.words[w]), counts, at, h, w, np.r_[low.at[where], len(low.keys) - 1]))
+            self.grams.append(Grams(pair_keys(low.keys[h], self.words[w]), counts, at, h, w, np.r_[low.at[where], np.int32(len(low.keys) - 1)]))
 
     def requests(self, parts: int) -> Iterator[tuple]:
         for kind, grams in enumerate(self.grams):
@@ -261,8 +266,9 @@ def _merged(kind: int, part: int, rows: list[tuple]) -> Iterator[tuple]:
     np.add.at(counts, place, train)
     seen = np.flatnonzero(train)
     _, first = np.unique(place[seen], return_index=True)
-    value = counts[place] * 2
-    value[seen[first]] += 1
+    value = counts[place] << 2
+    value[seen[first]] |= OWNED
+    value |= np.where(np.bincount(place)[place] == 1, ALONE, 0)
     at = 0
     for (src, _, _), n in zip(rows, sizes):
         yield src, kind, part, pack(value[at : at + n].astype(np.uint64)), None
@@ -358,7 +364,7 @@ def _score(batches: Iterator[pa.RecordBatch], totals: Totals, parts: int) -> Ite
             yield finish()
 
     for block, values in blocks():
-        counts, owned = [v >> 1 for v in values], [(v & 1).astype(bool) for v in values]
+        counts, owned, alone = [v >> 2 for v in values], [(v & OWNED).astype(bool) for v in values], [(v & ALONE).astype(bool) for v in values]
         known = totals.unigram(counts[0])  # by n-gram, its probability where it is seen
         with np.errstate(divide="ignore", invalid="ignore"):
             log_p = np.log10(known)[block.tokens]
@@ -373,16 +379,21 @@ def _score(batches: Iterator[pa.RecordBatch], totals: Totals, parts: int) -> Ite
             # Seen sums of each history, from the n-grams that this block owns; what is seen is seen in every lower order.
             some = np.flatnonzero(owned[k][:-1])
             hist, place = np.unique(grams.history[some], return_inverse=True)
-            histories.append(block.grams[k - 1].keys[hist])
-            for out, x in zip(sums, (known[grams.shorter], c - mass, c)):
-                out.append(np.bincount(place, weights=x[some], minlength=len(hist)))
+            seen_sums = [np.bincount(place, weights=x[some], minlength=len(hist)) for x in (known[grams.shorter], c - mass, c)]
+            own = alone[k - 1][hist]
+            alpha = np.zeros(len(block.grams[k - 1].keys))
+            alpha[hist[own]] = backoff(*(x[own] for x in seen_sums))
+            histories.append(block.grams[k - 1].keys[hist[~own]])
+            for out, x in zip(sums, seen_sums):
+                out.append(x[~own])
             # The longest seen n-gram tells a token's probability; each longer one whose history is seen asks for a backoff.
             seen = c[grams.at] > 0
             known = mass / np.maximum(c_h, 1)
+            before = grams.history[grams.at]
             with np.errstate(divide="ignore"):
-                log_p = np.where(seen, np.log10(known)[grams.at], log_p)
-            back = np.flatnonzero(~seen & (c_h[grams.at] > 0))
-            ask.append((block.owner[back], at_history + grams.history[grams.at[back]]))
+                log_p = np.where(seen, np.log10(known)[grams.at], log_p + alpha[before] * alone[k - 1][before])
+            back = np.flatnonzero(~seen & (c_h[grams.at] > 0) & ~alone[k - 1][before])
+            ask.append((block.owner[back], at_history + before[back]))
             at_history += len(block.grams[k - 1].keys)
         docs = pa.record_batch(
             [block.ids, pa.array(block.held), pa.array(np.diff(block.ends, prepend=0)), pa.array(np.rint(add(c_t > 0)).astype(np.int64)), pa.array(base), pa.array(add(log_p))],
@@ -425,6 +436,11 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(replies(), _REPLY)
 
 
+def backoff(low: np.ndarray, left: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Logarithm of a history's backoff weight: sum of the lower order's probabilities of what is seen, discounted-off counts, counts."""
+    return np.log10((left / count) / np.maximum(1 - low, 1e-300))
+
+
 def _backoffs(seen: list[tuple], asked: list[tuple]) -> Iterator[tuple]:
     if not asked:
         return
@@ -432,7 +448,7 @@ def _backoffs(seen: list[tuple], asked: list[tuple]) -> Iterator[tuple]:
     keys = np.concatenate([unpack_sorted(r[1]) for r in seen])
     hist, place = np.unique(keys, return_inverse=True)
     low, left, count = (np.bincount(place, weights=np.concatenate([unpack(r[i], t) for r in seen]).astype(np.float64), minlength=len(hist)) for i, t in ((2, np.float64), (3, np.float64), (4, np.uint64)))
-    alpha = np.log10((left / count) / np.maximum(1 - low, 1e-300))
+    alpha = backoff(low, left, count)
     for src, keys, v0, v1, _, part in sorted(asked, key=lambda r: r[0]):
         at = np.searchsorted(hist, unpack_sorted(keys))
         d, place = np.unique(unpack(v0, np.uint32), return_inverse=True)
