@@ -487,7 +487,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("partition"))
     size = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts, by_block = max(least, -(-size // PART_BYTES)), min(max(least, -(-size // (16 * BLOCK_BYTES))), MOST_PARTS)
+    parts, by_block = max(least, -(-size // PART_BYTES)), min(max(least, -(-size // (4 * BLOCK_BYTES))), MOST_PARTS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
