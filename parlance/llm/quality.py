@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,20 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def loss(w: np.ndarray, params: np.ndarray, ids: np.ndarray, column: np.ndarray, owner: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted negative log-likelihood of the grades, and its gradients by the weights and by params (first threshold, logs of the gaps)."""
+    theta = np.cumsum(np.r_[params[0], np.exp(params[1:])])
+    s = np.bincount(owner, weights=w[column], minlength=len(grades))
+    edges = np.concatenate([[-np.inf], theta, [np.inf]])
+    up, low = _logistic(edges[grades + 1] - s), _logistic(edges[grades] - s)
+    p = np.maximum(up - low, 1e-9)
+    d_up, d_low = up * (1 - up) / p * weight, low * (1 - low) / p * weight
+    g_w = np.bincount(column, weights=(d_up - d_low)[owner], minlength=len(ids))
+    g_theta = np.array([d_low[grades == j + 1].sum() - d_up[grades == j].sum() for j in range(GRADES - 1)])
+    g_p = np.r_[g_theta.sum(), [g_theta[j:].sum() * np.exp(params[j]) for j in range(1, GRADES - 1)]]
+    return float(-(weight * np.log(p)).sum()), g_w, g_p
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 250, step: float = 0.15, l1: float = 2e-4) -> Model:
     """Cumulative-link weights and thresholds of graded feature rows."""
     present = np.unique(grades)
@@ -92,16 +107,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 250, step: flo
     params = np.r_[first[0], np.log(np.maximum(np.diff(first), 0.1))]  # first threshold, then logs of the gaps, so the order holds
     w, sum_w, sum_p = np.zeros(len(ids)), np.full(len(ids), 1e-8), np.full(len(params), 1e-8)
     for _ in range(rounds):
-        theta = np.cumsum(np.r_[params[0], np.exp(params[1:])])
-        s = np.bincount(owner, weights=w[column], minlength=len(rows))
-        edges = np.concatenate([[-np.inf], theta, [np.inf]])
-        up, low = _logistic(edges[grades + 1] - s), _logistic(edges[grades] - s)
-        p = np.maximum(up - low, 1e-9)
-        d_up, d_low = up * (1 - up) / p * weight, low * (1 - low) / p * weight
-        g_s = d_up - d_low  # of the loss -log p by s
-        g_theta = np.array([d_low[grades == j + 1].sum() - d_up[grades == j].sum() for j in range(GRADES - 1)])
-        g_p = np.r_[g_theta.sum(), [g_theta[j:].sum() * np.exp(params[j]) for j in range(1, GRADES - 1)]]
-        g_w = np.bincount(column, weights=g_s[owner], minlength=len(ids))
+        _, g_w, g_p = loss(w, params, ids, column, owner, grades, weight)
         sum_w += g_w * g_w
         sum_p += g_p * g_p
         rate = step / np.sqrt(sum_w)
@@ -114,15 +120,19 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 250, step: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on at most fit_rows labelled documents; the sample is broadcast since that bounds it."""
+    """Fit on at most fit_rows labelled documents; the sample of labels is broadcast since that bounds it."""
     graded = labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"), "quality", "toxic")
     sample = graded.where("id is not null and quality is not null and toxic is not null").orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("id", "grade")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([b.column(0), pa.array([features(t) for t in utf8(b.column(1))], pa.list_(pa.int32()))], ["grade", "x"])
+        found = utf8(b.column(1))
+        lots = [xxhash.xxh64_intdigest(t) >> 1 for t in found]
+        return pa.record_batch([b.column(0), pa.array(lots, pa.int64()), pa.array([features(t) for t in found], pa.list_(pa.int32()))], ["grade", "lot", "x"])
 
-    got = arrow_map(texts.join(F.broadcast(sample), "id").select("grade", "text"), run, "grade int, x array<int>").toArrow()
+    # A doc_id that several documents have gives a row for each, so what goes to the driver is bounded once more, by hash of the text.
+    made = arrow_map(texts.join(F.broadcast(sample), "id").select("grade", "text"), run, "grade int, lot bigint, x array<int>")
+    got = made.orderBy("lot", "grade").limit(fit_rows).toArrow()
     rows = [np.asarray(x.values) for x in got.column("x")] if got.num_rows else []
     return fit(rows, got.column("grade").to_numpy().astype(np.int64))
 

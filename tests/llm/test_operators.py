@@ -260,6 +260,53 @@ def test_quality(spark, empty):
     assert quality.graded(docs, labels.where("false")).where("keep").count() == docs.count()
 
 
+def test_quality_gradients_and_likelihood():
+    """Gradients against differences of the likelihood by brute force; the fit beats the prior on held-out grades and finds the thresholds' order."""
+    rng = np.random.default_rng(3)
+    rows_ = [np.unique(rng.integers(0, 40, 6)).astype(np.int32) for _ in range(60)]
+    grades, weight = rng.integers(0, 3, 60), rng.random(60)
+    ids, column = np.unique(np.concatenate(rows_), return_inverse=True)
+    owner = np.repeat(np.arange(60), [len(r) for r in rows_])
+    w, params = rng.normal(0, 0.5, len(ids)), np.array([-0.7, 0.3])
+
+    def slow(w, params):
+        theta = [params[0], params[0] + math.exp(params[1])]
+        total = 0.0
+        for r, g, x in zip(rows_, grades, weight):
+            s = sum(w[list(ids).index(i)] for i in r)
+            below = [0.0, *(1 / (1 + math.exp(s - t)) for t in theta), 1.0]
+            total -= x * math.log(below[g + 1] - below[g])
+        return total
+
+    value, g_w, g_p = quality.loss(w, params, ids, column, owner, grades, weight)
+    assert value == pytest.approx(slow(w, params))
+    for i in (0, 7, len(ids) - 1):
+        step = np.zeros(len(ids))
+        step[i] = 1e-5
+        assert g_w[i] == pytest.approx((slow(w + step, params) - slow(w - step, params)) / 2e-5, abs=1e-6)
+    for i in (0, 1):
+        step = np.eye(2)[i] * 1e-5
+        assert g_p[i] == pytest.approx((slow(w, params + step) - slow(w, params - step)) / 2e-5, abs=1e-6)
+    true = rng.normal(0, 1.5, 40)
+    made = [np.unique(rng.integers(0, 40, 8)).astype(np.int32) for _ in range(900)]
+    link = np.array([true[r].sum() for r in made]) + rng.logistic(size=900)
+    of = np.digitize(link, np.quantile(link, [0.3, 0.7]))
+    model = quality.fit(made[:700], of[:700])
+    tails = model.tails(model.link(made[700:]))
+    p = np.stack([1 - tails[:, 0], tails[:, 0] - tails[:, 1], tails[:, 1]], axis=1)[np.arange(200), of[700:]]
+    prior = np.bincount(of[:700])[of[700:]] / 700
+    assert np.log(p).mean() > np.log(prior).mean() + 0.2
+
+
+def test_quality_of_repeated_ids_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(500)] + [(2, "other")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, grades: seen.append(len(rows)))
+    quality.train(docs, labels, fit_rows=50)
+    assert seen == [50]
+
+
 def test_thresholds_stay_ordered():
     rng = np.random.default_rng(1)
     m = quality.fit([np.unique(rng.integers(0, 50, 5)).astype(np.int32) for _ in range(90)], rng.integers(0, 3, 90))
