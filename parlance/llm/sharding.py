@@ -62,10 +62,10 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, text_col: str = "text", carr
     narrow = materialise(measured.select("_k", "_u", "_w", "_crc"), "shard-keys")
     rows = measured.drop("_text")  # carried columns are read again for the exchange, not stored
     keys = narrow.select(F.lit(0).alias("g"), F.col("_k").alias("k"), F.col("_u").alias("u"), F.col("_w").alias("w"))
-    weight, n = (int(x or 0) for x in keys.agg(F.sum("w"), F.count("*")).first())
+    weight, n, last = (int(x or 0) for x in keys.agg(F.sum("w"), F.count("*"), F.max("u")).first())
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
-    by_bytes = [Search(0, weight * i / n_shards, tolerance=tolerance * weight / n_shards) for i in range(1, n_shards)]
-    by_rows = [Search(0, n * i / ranges, by_rows=True, tolerance=0.05 * n / ranges) for i in range(1, ranges)]
+    by_bytes = [Search(0, weight * i / n_shards, tolerance=tolerance * weight / n_shards, top_u=last + 1) for i in range(1, n_shards)]
+    by_rows = [Search(0, n * i / ranges, by_rows=True, tolerance=0.05 * n / ranges, top_u=last + 1) for i in range(1, ranges)]
     find(keys, by_bytes + by_rows, {0: (weight, n)})
     starts = sorted({(0, 0): 0} | {s.at: s.below[1] for s in by_bytes + by_rows}) if n else [(0, 0)]
     known = {(0, 0): 0} | {s.at: s.below[1] for s in by_bytes + by_rows}

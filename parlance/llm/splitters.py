@@ -30,6 +30,7 @@ class Search:
     target: float
     by_rows: bool = False
     tolerance: float = 0.0
+    top_u: int = _TOP  # above every u
     at: tuple[int, int] = (0, 0)
     below: tuple[int, int] = (0, 0)
     low: int = 0
@@ -49,7 +50,7 @@ class Search:
             end, self.below = self.low, self.under
         else:
             end, self.below = self.high, self.over
-        self.at = (end, 0) if self.fixed is None else (self.fixed, end) if end < _TOP else (self.fixed + 1, 0)
+        self.at = (end, 0) if self.fixed is None else (self.fixed, end) if end < self.top_u else (self.fixed + 1, 0)
         self.done = True
 
     def narrow(self, counts: list[tuple[int, int]]) -> None:
@@ -64,7 +65,7 @@ class Search:
             self.settle()
         elif self.high - self.low <= 1:
             if self.fixed is None:
-                self.fixed, self.low, self.high = self.low, 0, _TOP
+                self.fixed, self.low, self.high = self.low, 0, self.top_u
             else:
                 self.settle()
 
@@ -132,7 +133,7 @@ def find(df: DataFrame, searches: list[Search], totals: dict[int, tuple[int, int
             s.settle()
     while open_ := [s for s in searches if not s.done]:
         for s in open_:
-            if s.fixed is not None and s.low == 0 and s.high == _TOP:
+            if s.fixed is not None and s.low == 0 and s.high == s.top_u:
                 s.floor = s.under  # what lies below the fixed k
             s.plan()
         _count(df, open_)
