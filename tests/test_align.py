@@ -14,11 +14,14 @@ def said(turns):
     return [(t["role"], t["content"]) for t in turns]
 
 
-def test_alpaca_golden(spark):
-    df = spark.createDataFrame([("Solve the math problem.", "3 + 4", "The answer is 7.", [["a", "b"]])], "instruction string, input string, output string, history array<array<string>>")
-    r = A.align(df, SourceSpec("a", history="history")).first()
-    assert said(r["_prompt"]) == [("user", "a"), ("assistant", "b"), ("user", "Solve the math problem.\n3 + 4")]
-    assert said(r["_response"]) == [("assistant", "The answer is 7.")] and r["_system"] == "" and r["_images"] is None
+def test_alpaca_with_history(spark):
+    """Earlier rounds come first, instruction and input are joined by a break, an empty input by none."""
+    shape = "instruction string, input string, output string, history array<array<string>>"
+    rows = [("Name a river", "in Spain", "Ebro", [["Hello", "Good day"], ["A hill?", "Teide, in fact a volcano"]]), ("Count to two", "", "1, 2", None), ("Say nothing", None, None, [])]
+    got = A.align(spark.createDataFrame(rows, shape), SourceSpec("a", history="history")).collect()
+    assert said(got[0]["_prompt"]) == [("user", "Hello"), ("assistant", "Good day"), ("user", "A hill?"), ("assistant", "Teide, in fact a volcano"), ("user", "Name a river\nin Spain")]
+    assert said(got[0]["_response"]) == [("assistant", "Ebro")] and got[0]["_system"] == "" and got[0]["_images"] is None
+    assert said(got[1]["_prompt"]) == [("user", "Count to two")] and said(got[2]["_prompt"]) == [("user", "Say nothing")] and got[2]["_response"] == []
 
 
 def test_alpaca_feedback_and_media(spark):
@@ -72,9 +75,11 @@ def test_registries():
     a, b, c = resolve(["a", "b", "c"], reg)
     assert a.prompt == "text" and a.query is None and a.response is None and a.messages is None
     assert b.load_from == "hf_hub" and b.role_tag == "role" and b.system_tag is None and c.load_from == "cloud"
-    assert resolve(["x"], "ONLINE")[0].load_from == "hub"
+    assert resolve(["x"], "ONLINE")[0].load_from == "hf_hub" and resolve(["x"], "ONLINE", "ms_hub_url")[0].load_from == "ms_hub"  # names are those of the hub in use
     with pytest.raises(ValueError):
         resolve(["zzz"], reg)
+    with pytest.raises(ValueError):
+        resolve(["x"], "REMOTE:some/where")
     info = parse_info("demo:\n  path: p.jsonl\n  source: local\n  size: 10\n  weight: 0.5\n")
     assert info["demo"].size == 10 and info["demo"].weight == 0.5 and info["demo"].source == "local"
     with pytest.raises(ValueError):
@@ -97,3 +102,38 @@ def test_v1(spark):
     assert [x["role"] for x in b["m"]] == ["system"]
     t = spark.createDataFrame([("[1]",), ("{",), (None,)], "t string").select(A.valid_tools(F.col("t")).alias("t")).collect()
     assert [x["t"] for x in t] == ["[1]", None, None]
+
+
+def test_remote_registry(tmp_path):
+    """The repository's own registry file is read, so local names, columns and hubs all count."""
+    (tmp_path / "dataset_info.json").write_text('{"own": {"ms_hub_url": "m/x", "hf_hub_url": "h/x", "ranking": true, "columns": {"chosen": "good"}}}')
+    asked = []
+    fetch = lambda repository: asked.append(repository) or str(tmp_path / "dataset_info.json")
+    (spec,) = resolve(["own"], "REMOTE:some/where", "ms_hub_url", fetch)
+    assert asked == ["some/where"] and (spec.name, spec.load_from, spec.ranking, spec.chosen, spec.prompt) == ("m/x", "ms_hub", True, "good", None)
+    with pytest.raises(ValueError):
+        resolve(["other"], "REMOTE:some/where", fetch=fetch)
+
+
+def test_nested_info_files():
+    info = parse_info("""
+# two sources
+first:
+  path: a/b.jsonl   # where
+  source: local
+  converter: 'alpaca'
+  columns:
+    prompt: "the # question"
+    media: [image, "video"]
+  filters:
+    - lang: de
+      least: 3
+    - plain
+second:
+  path: hub/name
+  size: 10
+  weight: 1.5
+  streaming: false
+""")
+    assert info["first"].path == "a/b.jsonl" and info["first"].converter == "alpaca" and info["second"].weight == 1.5 and info["second"].size == 10
+    assert info["first"].extra == {"columns": {"prompt": "the # question", "media": ["image", "video"]}, "filters": [{"lang": "de", "least": 3}, "plain"]}
