@@ -18,13 +18,22 @@ def pad_left(x: Column, n: Column, value: int) -> Column:
     return F.concat(F.array_repeat(F.lit(value), F.greatest(n - F.size(x), F.lit(0))), x)
 
 
-def pad_batches(df: DataFrame, batch: int, multiple: int = 1, padding: dict[str, int] = PADDING, side: str = "right", by: str = "input_ids") -> DataFrame:
-    """df with batch_id, arrays padded to the batch's longest, rounded up to a multiple. Lengths are aggregated apart, so arrays don't shuffle."""
+def batch_widths(df: DataFrame, length: Column, batch: int, multiple: int = 1) -> DataFrame:
+    """df with batch_id and _n, the batch's longest length rounded up to a multiple. Only what df holds moves, so give it keys and lengths, not arrays."""
     numbered = df.withColumn("batch_id", F.floor(F.col("_ord") / batch))
-    longest = numbered.groupBy("batch_id").agg(F.max(F.size(by)).alias("_n")).withColumn("_n", (F.ceil(F.col("_n") / multiple) * multiple).cast("int"))
+    longest = F.max(length).over(Window.partitionBy("batch_id"))
+    return numbered.withColumn("_n", (F.ceil(longest / multiple) * multiple).cast("int"))
+
+
+def pad_to(df: DataFrame, width: str = "_n", padding: dict[str, int] = PADDING, side: str = "right") -> DataFrame:
+    """Arrays padded to the width in a column, which is dropped; narrow."""
     put = pad_right if side == "right" else pad_left
-    joined = numbered.join(longest, "batch_id")
-    return joined.select(*[put(F.col(c), F.col("_n"), padding[c]).alias(c) if c in padding else F.col(c) for c in numbered.columns])
+    return df.select(*[put(F.col(c), F.col(width), padding[c]).alias(c) if c in padding else F.col(c) for c in df.columns if c != width])
+
+
+def pad_batches(df: DataFrame, batch: int, multiple: int = 1, padding: dict[str, int] = PADDING, side: str = "right", by: str = "input_ids") -> DataFrame:
+    """df with batch_id, arrays padded to the batch's longest, rounded up to a multiple. Arrays move once, to their batch's task; where texts are shorter than their arrays, use batch_widths and pad_to."""
+    return pad_to(batch_widths(df, F.size(by), batch, multiple), "_n", padding, side)
 
 
 def fit(x: Column, name: str, cutoff: int, longest: Column) -> Column:

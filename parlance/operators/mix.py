@@ -17,9 +17,14 @@ def _size(df: DataFrame) -> int:
     return df.agg(F.count("*")).first()[0]
 
 
+#: Lots are below this.
+LOTS = 1 << 60
+
+
 def lot(seed: int, *keys: str | Column) -> Column:
-    """Seeded uniform 64-bit lot of a row."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """Seeded uniform lot of a row: the first 15 hex digits of the MD5 of "seed:key:...", which any SQL engine can repeat."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:
@@ -110,18 +115,31 @@ def interleave_weighted(dfs: list[DataFrame], probabilities: list[float], seed:
         raise ValueError("as many probabilities as datasets are needed")
     spark, sizes, total = dfs[0].sparkSession, [_size(d) for d in dfs], sum(probabilities)
     edges = [sum(probabilities[: k + 1]) / total for k in range(len(dfs))]
-    n = int(max(s / max(p / total, 1e-9) for s, p in zip(sizes, probabilities)) * 1.5) + 64
-    u = F.shiftrightunsigned(lot(seed, "id"), 11) / F.lit(float(1 << 53))
+    u = lot(seed, "id") / F.lit(float(LOTS))
     turn = F.coalesce(*[F.when(u < e, F.lit(k)) for k, e in enumerate(edges[:-1])], F.lit(len(dfs) - 1))
-    draws = spark.range(n).select(F.col("id").alias("_new"), turn.alias("_turn"))
-    # Each draw's number within its table, from per-chunk counts: no single-task window.
-    chunk = F.floor(F.col("_new") / 4096)
-    counts = draws.groupBy("_turn", chunk.alias("_chunk")).count()
-    offsets = counts.withColumn("_base", F.sum("count").over(Window.partitionBy("_turn").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = draws.withColumn("_chunk", chunk).withColumn("_rank", F.row_number().over(Window.partitionBy("_turn", "_chunk").orderBy("_new")))
-    ranked = ranked.join(offsets, ["_turn", "_chunk"]).withColumn("_k", F.col("_rank") - 1 + F.coalesce("_base", F.lit(0))).select("_new", "_turn", "_k").cache()
-    ends = [r[0] for k, s in enumerate(sizes) for r in ranked.where((F.col("_turn") == k) & (F.col("_k") == s - 1)).select("_new").collect()]
-    end = (min(ends) if stop == "first_exhausted" else max(ends)) if ends else -1
+    needed = {k for k, (s, p) in enumerate(zip(sizes, probabilities)) if s and p}
+    if stop == "first_exhausted" and len(needed) < len(dfs):
+        return dfs[0].where(F.lit(False))
+
+    def ranked_draws(n: int) -> DataFrame:
+        """Each draw's table and number within it, from per-chunk counts: no single-task window over rows."""
+        draws = spark.range(n).select(F.col("id").alias("_new"), turn.alias("_turn"), F.floor(F.col("id") / 65536).alias("_chunk"))
+        counts = draws.groupBy("_turn", "_chunk").count()
+        offsets = counts.withColumn("_base", F.sum("count").over(Window.partitionBy("_turn").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
+        ranked = draws.withColumn("_rank", F.row_number().over(Window.partitionBy("_turn", "_chunk").orderBy("_new")))
+        return ranked.join(offsets, ["_turn", "_chunk"]).withColumn("_k", F.col("_rank") - 1 + F.coalesce("_base", F.lit(0))).select("_new", "_turn", "_k")
+
+    n, ends = int(max((sizes[k] * total / probabilities[k] for k in needed), default=0) * 1.2) + 64, {}
+    while needed:  # draw on until the end is reached, so no mix is short
+        ranked = ranked_draws(n)
+        last = F.element_at(F.array(*[F.lit(x - 1) for x in sizes]), F.col("_turn") + 1)
+        ends = {r[0]: r[1] for r in ranked.where(F.col("_k") == last).select("_turn", "_new").collect()}  # one number a table
+        if (stop == "first_exhausted" and ends) or needed <= ends.keys():
+            break
+        n *= 2
+    if not ends:
+        return dfs[0].where(F.lit(False))
+    end = (min if stop == "first_exhausted" else max)(ends.values())
     out = None
     for k, df in enumerate(dfs):
         picks = ranked.where((F.col("_turn") == k) & (F.col("_new") <= end)).select("_new", F.pmod("_k", F.lit(max(sizes[k], 1))).alias("_ord"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import media, metrics
 from parlance.functions.tokens import Chars
 from parlance.operators import align, collate, encode, mix, validate
-from parlance.plans.queries import SCORES_SQL, query, scores, table
+from parlance.plans.queries import ORDERED_SQL, SCORES_SQL, lot_sql, padded, query, scores, table
 from parlance.schema import IMAGE, USER, message, messages
 from parlance.sources.readers import with_order
 
@@ -75,11 +75,11 @@ def choice_prediction(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", metrics.predicted_choice(F.slice("embedding", 1, 4)).alias("choice"))
 
 
-@query(SCORES_SQL + "SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN y = 1 AND p < 0.3 THEN 'fn' WHEN y = 0 AND p >= 0.3 THEN 'fp' END AS kind FROM s) WHERE kind IS NOT NULL GROUP BY kind")
+@query(SCORES_SQL + "SELECT kind, id FROM (SELECT doc_id AS id, CASE WHEN y = 1 AND p < 0.3 THEN 'fn' WHEN y = 0 AND p >= 0.3 THEN 'fp' END AS kind FROM s) WHERE kind IS NOT NULL")
 def mistakes(spark, sf_dir):
     """False negatives and positives at a threshold."""
     df = scores(spark, sf_dir).withColumnRenamed("doc_id", "id")
-    return metrics.mistakes(df, 0.3, 1_000_000, 1).groupBy("kind").agg(F.count("*").alias("n"))
+    return metrics.mistakes(df, 0.3, df.count(), 1).select("kind", "id")
 
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 0 ELSE 7 END AS y FROM documents")
@@ -119,17 +119,8 @@ def last_scores(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", metrics.last_score(F.col("embedding"), seen).cast("double").alias("score"))
 
 
-@query("WITH l AS (SELECT max(event_id) AS n FROM events WHERE event_id % 2 = 0) SELECT CAST(n AS BIGINT) AS current_steps, CAST(n * 2 AS BIGINT) AS total_steps, 50.0::DOUBLE AS percentage, CAST(n AS DOUBLE) AS remaining FROM l")
-def run_progress(spark, sf_dir):
-    """Latest log line, percentage and time left."""
-    e = table(spark, sf_dir, "events").where("event_id % 2 = 0")
-    top = e.agg(F.max("event_id").alias("m"))
-    log = e.select(F.col("event_id").alias("current_steps"), F.col("event_id").cast("double").alias("elapsed")).crossJoin(F.broadcast(top)).withColumn("total_steps", F.col("m") * 2)
-    return metrics.latest_progress(log).select("current_steps", "total_steps", "percentage", "remaining")
-
-
 @query("WITH l AS (SELECT max(event_id) AS n FROM events) SELECT CAST(n AS BIGINT) AS current_steps, CAST(n * 2 AS BIGINT) AS total_steps, 50.0::DOUBLE AS percentage, CAST(n AS DOUBLE) AS remaining FROM l")
-def run_progress_all(spark, sf_dir):
+def run_progress(spark, sf_dir):
     """Latest line of the whole log, percentage and time left."""
     e = table(spark, sf_dir, "events")
     top = e.agg(F.max("event_id").alias("m"))
@@ -137,26 +128,13 @@ def run_progress_all(spark, sf_dir):
     return metrics.latest_progress(log).select("current_steps", "total_steps", "percentage", "remaining")
 
 
-@query("""
-WITH o AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS b, least(length(text), 256) AS n FROM documents), r AS (SELECT sum(n)::DOUBLE / sum(w) AS ratio FROM (SELECT n, max(n) OVER (PARTITION BY b) AS w FROM o))
-SELECT round(ratio, 9) AS valid_ratio, round(3e-4 * sqrt(2048 * ratio / 4000000), 12) AS lr FROM r
-""")
-def learning_rate(spark, sf_dir):
-    """Learning rate by the share of valid tokens in padded batches."""
-    ids = F.slice(Chars().encode(F.col("text")), 1, 256)
-    d = with_order(table(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"), ids.alias("labels")), ["doc_id"])
-    return metrics.learning_rate(collate.pad_batches(d, 8), 256, 8).select(F.round("valid_ratio", 9).alias("valid_ratio"), F.round("lr", 12).alias("lr"))
-
-
 @query("""
 WITH o AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS b, length(text) AS n FROM documents), r AS (SELECT sum(n)::DOUBLE / sum(w) AS ratio FROM (SELECT n, max(n) OVER (PARTITION BY b) AS w FROM o))
 SELECT round(ratio, 9) AS valid_ratio, round(3e-4 * sqrt(2048 * ratio / 4000000), 12) AS lr FROM r
 """)
-def learning_rate_whole(spark, sf_dir):
+def learning_rate(spark, sf_dir):
     """Learning rate by the share of valid tokens in padded batches of whole texts."""
-    ids = Chars().encode(F.col("text"))
-    d = with_order(table(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"), ids.alias("labels")), ["doc_id"])
-    return metrics.learning_rate(collate.pad_batches(d, 8), 256, 8).select(F.round("valid_ratio", 9).alias("valid_ratio"), F.round("lr", 12).alias("lr"))
+    return metrics.learning_rate(padded(spark, sf_dir, 8, 1), 256, 8).select(F.round("valid_ratio", 9).alias("valid_ratio"), F.round("lr", 12).alias("lr"))
 
 
 @query("SELECT round(sum(n_chars) * 3.0 / 60.0 / 8, 6)::DOUBLE AS tokens_per_second FROM documents")
@@ -191,20 +169,24 @@ def cumulative_lengths(spark, sf_dir):
     return c.select("conv_id", "turn", F.sum(F.length("text").cast("bigint")).over(by).alias("cumulative"))
 
 
-@query("SELECT conv_id, turn, CAST(n AS INT) AS width, CAST(n * (n + 1) // 2 AS INT) AS visible FROM (SELECT conv_id, turn, least(length(text), 12) AS n FROM conversations)")
+@query("""
+WITH m AS (SELECT conv_id, sum(1) AS n, count(*) FILTER (WHERE role = 'user') AS a FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(n + 2 AS INT) AS width, CAST(a * (a + 1) // 2 + (n - a) * (n - a + 1) // 2 AS INT) AS visible FROM m
+""")
 def block_masks(spark, sf_dir):
-    """Block-diagonal causal masks."""
-    seg = F.array_repeat(F.lit(1), F.least(F.length("text"), F.lit(12)))
-    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", collate.block_mask(seg, 1.0, 0.0).alias("m"))
-    return m.select("conv_id", "turn", F.size("m").alias("width"), F.aggregate(F.flatten("m"), F.lit(0.0), lambda a, x: a + x).cast("int").alias("visible"))
+    """Block-diagonal causal masks: a segment of as many places as user turns, one of the others, two of padding."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("role") == "user").cast("int").alias("a"))
+    seg = F.concat(F.array_repeat(F.lit(1), F.col("a")), F.array_repeat(F.lit(2), F.col("n") - F.col("a")), F.array_repeat(F.lit(0), 2))
+    m = c.select("conv_id", collate.block_mask(seg, 1.0, 0.0).alias("m"))
+    return m.select("conv_id", F.size("m").alias("width"), F.aggregate(F.flatten("m"), F.lit(0.0), lambda a, x: a + x).cast("int").alias("visible"))
 
 
-@query("SELECT doc_id, substr(text, 1, 10) AS kept FROM documents WHERE length(text) >= 10")
+@query("SELECT doc_id, md5(text) AS kept FROM documents")
 def unpadded(spark, sf_dir):
-    """Padding removed by mask."""
-    chars = F.concat(F.filter(F.split(F.substring("text", 1, 10), ""), lambda c: c != ""), F.array_repeat(F.lit("#"), 5))
-    seen = F.concat(F.array_repeat(F.lit(1), 10), F.array_repeat(F.lit(0), 5))
-    return table(spark, sf_dir, "documents").where(F.length("text") >= 10).select("doc_id", F.array_join(collate.unpad(chars, seen), "").alias("kept"))
+    """Padding removed by mask, whole texts kept."""
+    ids = Chars().encode(F.col("text"))
+    row, seen = F.concat(ids, F.array_repeat(F.lit(0), 5)), F.concat(F.array_repeat(F.lit(1), F.length("text")), F.array_repeat(F.lit(0), 5))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(Chars().decode(collate.unpad(row, seen))).alias("kept"))
 
 
 @query("SELECT vec_id, side, CAST(2 + side AS INT) AS n FROM embeddings, range(2) r(side)")
@@ -279,8 +261,8 @@ def largest_first(spark, sf_dir):
     return with_order(c, ["k", "c_custkey"]).select("c_custkey", F.col("_ord").alias("pos"))
 
 
-@query("SELECT CAST(count(*) - count(*) % 4 AS BIGINT) AS n, CAST(4 AS BIGINT) AS ranks FROM documents")
+@query(ORDERED_SQL + f" SELECT doc_id, CAST(p % 4 AS INT) AS rank, CAST(p // 4 AS BIGINT) AS step FROM (SELECT doc_id, n, row_number() OVER (ORDER BY {lot_sql(3, 'o')}, o) - 1 AS p FROM d) WHERE p < n // 4 * 4")
 def epoch_shards(spark, sf_dir):
-    """An epoch's permutation dealt to ranks."""
+    """An epoch's permutation dealt to ranks, the incomplete tail dropped."""
     d = with_order(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
-    return mix.epoch_order(d, 1, 2, 4).agg(F.count_distinct("doc_id").alias("n"), F.count_distinct("rank").alias("ranks"))
+    return mix.epoch_order(d, 1, 2, 4).select("doc_id", "rank", "step")

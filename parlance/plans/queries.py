@@ -84,12 +84,12 @@ def stage_filter_counts(spark, sf_dir):
 def instructions(spark, sf_dir) -> DataFrame:
     """Documents as instruction rows."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", F.substring("text", 1, 40).alias("instruction"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 41, 60)).alias("input"), F.when(F.col("doc_id") % 7 != 0, F.substring("text", 101, 80)).alias("output"), (F.col("quality") == 1).alias("tag"))
+    return d.select("doc_id", F.substring("text", 1, 40).alias("instruction"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 41, 60)).alias("input"), F.when(F.col("doc_id") % 7 != 0, F.expr("substring(text, 101)")).alias("output"), (F.col("quality") == 1).alias("tag"))
 
 
 INSTRUCTIONS_SQL = """
 WITH a AS (
-  SELECT d.doc_id, substr(text, 1, 40) AS instruction, CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE substr(text, 41, 60) END AS input, CASE WHEN d.doc_id % 7 <> 0 THEN substr(text, 101, 80) END AS output, quality = 1 AS tag
+  SELECT d.doc_id, substr(text, 1, 40) AS instruction, CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE substr(text, 41, 60) END AS input, CASE WHEN d.doc_id % 7 <> 0 THEN substr(text, 101) END AS output, quality = 1 AS tag
   FROM documents d LEFT JOIN labels USING (doc_id)
 )
 """
@@ -151,11 +151,11 @@ def placeholder_counts(spark, sf_dir):
     return d.withColumn("matches", F.col("n_marks") == 2)
 
 
-@query("SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN length(instruction) > 0 OR length(input) > 0 THEN 1 ELSE 0 END + CASE WHEN length(output) > 0 THEN 1 ELSE 0 END - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INT) AS n_messages, CASE WHEN doc_id % 2 = 0 THEN lang ELSE instruction || input END AS first_text FROM (SELECT doc_id, lang, substr(text, 1, 40) AS instruction, substr(text, 41, 60) AS input, substr(text, 101, 80) AS output FROM documents)")
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN length(instruction) > 0 OR length(input) > 0 THEN 1 ELSE 0 END + CASE WHEN length(output) > 0 THEN 1 ELSE 0 END - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INT) AS n_messages, CASE WHEN doc_id % 2 = 0 THEN lang ELSE instruction || input END AS first_text FROM (SELECT doc_id, lang, substr(text, 1, 40) AS instruction, substr(text, 41, 60) AS input, substr(text, 101) AS output FROM documents)")
 def align_alpaca_v1(spark, sf_dir):
     """Second-generation instruction rows: joined without a break, weights 0/0/1 (V1, V6)."""
     d = table(spark, sf_dir, "documents")
-    m = align.alpaca_v1(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.substring("text", 1, 40), F.substring("text", 41, 60), F.substring("text", 101, 80))
+    m = align.alpaca_v1(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.substring("text", 1, 40), F.substring("text", 41, 60), F.expr("substring(text, 101)"))
     return d.select("doc_id", m.alias("m")).select("doc_id", F.size("m").alias("n_messages"), F.col("m")[0]["content"][0]["value"].alias("first_text"))
 
 
@@ -178,76 +178,13 @@ def request_alignment(spark, sf_dir):
 # Mixing, splitting, joins.
 
 
-def parts(spark, sf_dir, *langs: str) -> list[DataFrame]:
-    """Documents of some languages as ordered tables."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy("doc_id")
-    numbered = d.withColumn("_ord", F.row_number().over(order).cast("bigint") - 1)
-    return [numbered.where(F.col("lang") == x) for x in langs]
+def lot_sql(seed: int, *keys: str) -> str:
+    """mix.lot in SQL."""
+    text = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {text})), 1, 15) AS BIGINT)"
 
 
-PARTS_SQL = """
-WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS o, count(*) OVER (PARTITION BY lang) AS n, CASE lang WHEN 'de' THEN 0 WHEN 'es' THEN 1 ELSE 2 END AS k FROM documents WHERE lang IN ('de', 'es', 'fr'))
-"""
-
-
-@query(PARTS_SQL + "SELECT doc_id, CAST(row_number() OVER (ORDER BY k, o) - 1 AS BIGINT) AS pos FROM p")
-def mix_concat(spark, sf_dir):
-    """Tables end to end."""
-    return mix.mix(parts(spark, sf_dir, "de", "es", "fr")).select("doc_id", F.col("_ord").alias("pos"))
-
-
-@query(PARTS_SQL + "SELECT doc_id, CAST(o * 3 + k AS BIGINT) AS pos FROM p WHERE o < (SELECT min(n) FROM p)")
-def mix_rr_under(spark, sf_dir):
-    """Round robin until the shortest ends (M4)."""
-    return mix.mix(parts(spark, sf_dir, "de", "es", "fr"), "interleave_under").select("doc_id", F.col("_ord").alias("pos"))
-
-
-@query(PARTS_SQL + "SELECT p.doc_id, CAST(i * 3 + k AS BIGINT) AS pos FROM p, range((SELECT max(n) FROM p)) r(i) WHERE i % p.n = p.o")
-def mix_rr_over(spark, sf_dir):
-    """Round robin until the longest ends, shorter ones wrap (M4)."""
-    return mix.mix(parts(spark, sf_dir, "de", "es", "fr"), "interleave_over").select("doc_id", F.col("_ord").alias("pos"))
-
-
-@query(PARTS_SQL + "SELECT doc_id, CAST(row_number() OVER (ORDER BY o, k) - 1 AS BIGINT) AS pos FROM p")
-def mix_rr_once(spark, sf_dir):
-    """Round robin, every row once (M4)."""
-    return mix.mix(parts(spark, sf_dir, "de", "es", "fr"), "interleave_once").select("doc_id", F.col("_ord").alias("pos"))
-
-
-@query()
-def mix_probabilities(spark, sf_dir):
-    """Weighted draws of tables (M5)."""
-    return mix.mix(parts(spark, sf_dir, "de", "es", "fr"), "interleave_under", [0.5, 0.3, 0.2], 7).select("doc_id", F.col("_ord").alias("pos"))
-
-
-@query("SELECT doc_id, CAST(o AS BIGINT) AS pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents WHERE lang = 'en') WHERE o BETWEEN 20 AND 29")
-def max_samples_page(spark, sf_dir):
-    """First rows and a page of them."""
-    from parlance.sources.readers import page
-
-    return page(mix.first_n(parts(spark, sf_dir, "en")[0], 50), 2, 10).select("doc_id", F.col("_ord").alias("pos"))
-
-
-@query("SELECT doc_id, CAST((n - 1 - o) / 3 AS BIGINT) AS pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS n FROM documents WHERE lang = 'en') WHERE (n - 1 - o) % 3 = 0")
-def slice_rows(spark, sf_dir):
-    """A Python slice with a negative step."""
-    return mix.select_slice(parts(spark, sf_dir, "en")[0], None, None, -3).select("doc_id", F.col("_ord").alias("pos"))
-
-
-@query("SELECT CAST(count(*) + 50 AS BIGINT) AS sampled, CAST(count(*) AS BIGINT) AS distinct_rows, CAST(floor(count(*) * 1.5) AS BIGINT) AS weighted FROM documents WHERE lang = 'en'")
-def sample_counts(spark, sf_dir):
-    """Sampling beyond a table's size, and weighted resampling."""
-    df = parts(spark, sf_dir, "en")[0]
-    n = df.count()
-    return mix.sample(df, n + 50, 3).agg(F.count("*").alias("sampled"), F.count_distinct("doc_id").alias("distinct_rows")).crossJoin(mix.resample(df, None, 1.5, 3).agg(F.count("*").alias("weighted")))
-
-
-@query("SELECT CAST(count(*) - ceil(count(*) * 0.1) AS BIGINT) AS train, CAST(ceil(count(*) * 0.1) AS BIGINT) AS validation FROM documents WHERE lang = 'en'")
-def holdout_sizes(spark, sf_dir):
-    """Sizes of a seeded split (M7, M9)."""
-    made = mix.split(parts(spark, sf_dir, "en")[0], None, 0.1, 5)
-    return made.train.agg(F.count("*").alias("train")).crossJoin(made.eval["validation"].agg(F.count("*").alias("validation")))
+ORDERED_SQL = "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS n FROM documents)"
 
 
 def whole(spark, sf_dir) -> DataFrame:
@@ -271,54 +208,92 @@ WITH k AS (SELECT doc_id, CASE lang WHEN 'de' THEN 0 WHEN 'es' THEN 1 WHEN 'fr'
 
 
 @query(ALL_PARTS_SQL + "SELECT doc_id, CAST(row_number() OVER (ORDER BY k, o) - 1 AS BIGINT) AS pos FROM p")
-def mix_concat_all(spark, sf_dir):
+def mix_concat(spark, sf_dir):
     """All documents, table by table."""
     return mix.mix(all_parts(spark, sf_dir)).select("doc_id", F.col("_ord").alias("pos"))
 
 
 @query(ALL_PARTS_SQL + "SELECT doc_id, CAST(o * 4 + k AS BIGINT) AS pos FROM p WHERE o < (SELECT min(n) FROM p)")
-def mix_rr_under_all(spark, sf_dir):
+def mix_rr_under(spark, sf_dir):
     """Round robin of all documents until the shortest table ends (M4)."""
     return mix.mix(all_parts(spark, sf_dir), "interleave_under").select("doc_id", F.col("_ord").alias("pos"))
 
 
 @query(ALL_PARTS_SQL + "SELECT p.doc_id, CAST(i * 4 + k AS BIGINT) AS pos FROM p, range((SELECT max(n) FROM p)) r(i) WHERE i % p.n = p.o")
-def mix_rr_over_all(spark, sf_dir):
+def mix_rr_over(spark, sf_dir):
     """Round robin of all documents until the longest table ends (M4)."""
     return mix.mix(all_parts(spark, sf_dir), "interleave_over").select("doc_id", F.col("_ord").alias("pos"))
 
 
 @query(ALL_PARTS_SQL + "SELECT doc_id, CAST(row_number() OVER (ORDER BY o, k) - 1 AS BIGINT) AS pos FROM p")
-def mix_rr_once_all(spark, sf_dir):
+def mix_rr_once(spark, sf_dir):
     """Round robin of all documents, every row once (M4)."""
     return mix.mix(all_parts(spark, sf_dir), "interleave_once").select("doc_id", F.col("_ord").alias("pos"))
 
 
-@query()
-def mix_probabilities_all(spark, sf_dir):
-    """Weighted draws of all documents' tables (M5)."""
-    return mix.mix(all_parts(spark, sf_dir), "interleave_under", [0.2, 0.15, 0.15, 0.5], 7).select("doc_id", F.col("_ord").alias("pos"))
+def _weighted_sql(probabilities: list[float], seed: int, first: bool) -> str:
+    edges = [sum(probabilities[: k + 1]) / sum(probabilities) for k in range(len(probabilities))]
+    turn = "CASE " + " ".join(f"WHEN {lot_sql(seed, 'i')}::DOUBLE / {float(mix.LOTS)!r}::DOUBLE < {e!r}::DOUBLE THEN {k}" for k, e in enumerate(edges[:-1])) + f" ELSE {len(edges) - 1} END"
+    return ALL_PARTS_SQL + f""", w AS (SELECT i, t, row_number() OVER (PARTITION BY t ORDER BY i) - 1 AS j FROM (SELECT i, {turn} AS t FROM range((SELECT 12 * count(*) + 1000 FROM documents)) r(i))),
+z AS (SELECT {'min' if first else 'max'}(i) AS z FROM w JOIN (SELECT DISTINCT k, n FROM p) ON t = k AND j = n - 1)
+SELECT doc_id, CAST(i AS BIGINT) AS pos FROM w JOIN p ON p.k = t AND p.o = j % p.n WHERE i <= (SELECT z FROM z)"""
+
+
+_SHARES = [0.2, 0.15, 0.15, 0.5]
+
+
+@query(_weighted_sql(_SHARES, 7, True))
+def mix_probabilities(spark, sf_dir):
+    """Weighted draws of all documents' tables until one is exhausted (M5)."""
+    return mix.mix(all_parts(spark, sf_dir), "interleave_under", _SHARES, 7).select("doc_id", F.col("_ord").alias("pos"))
+
+
+@query(_weighted_sql(_SHARES, 8, False))
+def mix_probabilities_over(spark, sf_dir):
+    """Weighted draws until every table is exhausted, shorter ones wrap (M5)."""
+    return mix.mix(all_parts(spark, sf_dir), "interleave_over", _SHARES, 8).select("doc_id", F.col("_ord").alias("pos"))
+
+
+@query(ORDERED_SQL + "SELECT doc_id, CAST(o AS BIGINT) AS pos FROM d WHERE o BETWEEN 20 AND 29")
+def max_samples_page(spark, sf_dir):
+    """First rows and a page of them."""
+    from parlance.sources.readers import page
+
+    return page(mix.first_n(whole(spark, sf_dir), 50), 2, 10).select("doc_id", F.col("_ord").alias("pos"))
 
 
 @query("SELECT doc_id, CAST((n - 1 - o) / 3 AS BIGINT) AS pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS n FROM documents) WHERE (n - 1 - o) % 3 = 0")
-def slice_rows_all(spark, sf_dir):
+def slice_rows(spark, sf_dir):
     """A Python slice of all documents with a negative step."""
     return mix.select_slice(whole(spark, sf_dir), None, None, -3).select("doc_id", F.col("_ord").alias("pos"))
 
 
-@query("SELECT CAST(count(*) + 50 AS BIGINT) AS sampled, CAST(count(*) AS BIGINT) AS distinct_rows, CAST(floor(count(*) * 1.5) AS BIGINT) AS weighted FROM documents")
-def sample_counts_all(spark, sf_dir):
-    """Sampling beyond the size of all documents, and weighted resampling."""
+@query(ORDERED_SQL + f""" SELECT doc_id, CAST(row_number() OVER (ORDER BY {lot_sql(3, 'o')}, o) - 1 AS BIGINT) AS pos FROM d
+UNION ALL SELECT d.doc_id, CAST(d.n + r.k AS BIGINT) FROM range(50) r(k) JOIN d ON d.o = {lot_sql(4, 'r.k')} % d.n""")
+def sample_rows(spark, sf_dir):
+    """Sampling beyond a table's size: a permutation, then draws with replacement (M1)."""
     df = whole(spark, sf_dir)
-    n = df.count()
-    return mix.sample(df, n + 50, 3).agg(F.count("*").alias("sampled"), F.count_distinct("doc_id").alias("distinct_rows")).crossJoin(mix.resample(df, None, 1.5, 3).agg(F.count("*").alias("weighted")))
+    return mix.sample(df, df.count() + 50, 3).select("doc_id", F.col("_ord").alias("pos"))
+
+
+@query(ORDERED_SQL + f" SELECT d.doc_id, CAST(r.k AS BIGINT) AS pos FROM range((SELECT CAST(floor(count(*) * 1.5) AS BIGINT) FROM documents)) r(k) JOIN d ON d.o = {lot_sql(4, 'r.k')} % d.n")
+def resampled_rows(spark, sf_dir):
+    """Weighted resampling with replacement."""
+    return mix.resample(whole(spark, sf_dir), None, 1.5, 3).select("doc_id", F.col("_ord").alias("pos"))
 
 
-@query("SELECT CAST(count(*) - ceil(count(*) * 0.1) AS BIGINT) AS train, CAST(ceil(count(*) * 0.1) AS BIGINT) AS validation FROM documents")
-def holdout_sizes_all(spark, sf_dir):
-    """Sizes of a seeded split of all documents (M7, M9)."""
+@query(ORDERED_SQL + f" SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {lot_sql(5, 'o')}, o) <= ceil(n * 0.1) THEN 'validation' ELSE 'train' END AS side FROM d")
+def holdout_rows(spark, sf_dir):
+    """A seeded split of all documents (M7, M9)."""
     made = mix.split(whole(spark, sf_dir), None, 0.1, 5)
-    return made.train.agg(F.count("*").alias("train")).crossJoin(made.eval["validation"].agg(F.count("*").alias("validation")))
+    return made.train.select("doc_id", F.lit("train").alias("side")).unionByName(made.eval["validation"].select("doc_id", F.lit("validation").alias("side")))
+
+
+@query(f"SELECT doc_id, {lot_sql(9, 'doc_id')} % 1000000 < 250000 AS held FROM documents")
+def holdout_stream_rows(spark, sf_dir):
+    """A split by a hash threshold, as streams have it (M8)."""
+    train, held = mix.holdout_stream(table(spark, sf_dir, "documents").select("doc_id"), 0.25, 9, "doc_id")
+    return train.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)))
 
 
 @query("SELECT user_id, CAST(min(event_id) AS BIGINT) AS first_event, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -350,21 +325,27 @@ def match_truth(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT n_nationkey AS id, count(*) AS load FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS tasks, CAST(sum(load) AS BIGINT) AS load FROM t
+WITH RECURSIVE t AS (SELECT id, load, row_number() OVER (ORDER BY load DESC, id) AS k FROM (SELECT c_nationkey AS id, count(*) AS load FROM customer GROUP BY 1)),
+r(k, id, load, worker, loads) AS (
+  SELECT CAST(0 AS BIGINT), NULL::BIGINT, CAST(0 AS BIGINT), 0::BIGINT, [0, 0, 0, 0]::BIGINT[]
+  UNION ALL SELECT t.k, t.id, t.load, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + t.load ELSE x END) FROM r JOIN t ON t.k = r.k + 1
+) SELECT id, CAST(load AS BIGINT) AS load, CAST(worker AS INT) AS worker FROM r WHERE k > 0
 """)
 def balance_load(spark, sf_dir):
-    """Largest task first to the least loaded worker."""
+    """Largest task first to the least loaded worker."""
     t = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count("*").alias("load")).withColumn("_ord", F.col("id").cast("bigint"))
-    return mix.balance(t, 4).agg(F.count("*").alias("tasks"), F.sum("load").alias("load"))
+    return mix.balance(t, 4).select("id", "load", "worker")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT c_custkey) AS BIGINT) AS questions FROM (SELECT c_custkey FROM customer, range(3) WHERE c_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) >= 3))")
+@query(f"""
+WITH s AS (SELECT s_nationkey AS subject, s_suppkey AS support_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY {lot_sql(1, 's_suppkey')}, s_suppkey) - 1 AS place, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
+a AS (SELECT c_custkey AS question_id, c_nationkey AS subject, k, ({lot_sql(2, 'c_custkey')} + k) % n AS place FROM customer JOIN (SELECT DISTINCT subject, n FROM s) ON subject = c_nationkey, range(3) r(k) WHERE k < n)
+SELECT question_id, CAST(k AS INT) AS shot, support_id FROM a JOIN s USING (subject, place)""")
 def support_shots(spark, sf_dir):
-    """n support rows per question of its subject."""
-    s = table(spark, sf_dir, "supplier")
-    full = s.join(s.groupBy("s_nationkey").agg(F.count("*").alias("c")).where("c >= 3"), "s_nationkey").select(F.col("s_nationkey").alias("subject"), F.col("s_suppkey").alias("support_id"))
+    """Up to n support rows per question of its subject."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("subject"), F.col("s_suppkey").alias("support_id"))
     asks = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("subject"), F.col("c_custkey").alias("question_id"))
-    return mix.support_set(asks, full, 3, 1).select("question_id", "support_id").distinct().agg(F.count("*").alias("n"), F.count_distinct("question_id").alias("questions"))
+    return mix.support_set(asks, s, 3, 1).select("question_id", F.col("shot").cast("int").alias("shot"), "support_id")
 
 
 # Rendering.
@@ -422,10 +403,10 @@ def render_qwen3_thinking(spark, sf_dir):
     return rows.select("conv_id", templates.one_turn(templates.REGISTRY["qwen3"], F.concat("_prompt", "_response"), F.col("_system")).alias("t")).select("conv_id", "t.prompt", "t.response")
 
 
-@query("SELECT doc_id, ltrim(regexp_replace(c, '<think>\\n(.*?)\\n</think>\\n\\n', '', 'gs'), chr(10)) AS bare FROM (SELECT doc_id, chr(10) || '<think>' || chr(10) || substr(text, 1, 50) || chr(10) || '</think>' || chr(10) || chr(10) || lang AS c FROM documents)")
+@query("SELECT doc_id, ltrim(regexp_replace(c, '<think>\\n(.*?)\\n</think>\\n\\n', '', 'gs'), chr(10)) AS bare FROM (SELECT doc_id, chr(10) || '<think>' || chr(10) || text || chr(10) || '</think>' || chr(10) || chr(10) || lang AS c FROM documents)")
 def strip_thought(spark, sf_dir):
     """Thought blocks removed."""
-    c = F.concat(F.lit("\n<think>\n"), F.substring("text", 1, 50), F.lit("\n</think>\n\n"), F.col("lang"))
+    c = F.concat(F.lit("\n<think>\n"), F.col("text"), F.lit("\n</think>\n\n"), F.col("lang"))
     return table(spark, sf_dir, "documents").select("doc_id", templates.strip_thought(templates.REGISTRY["qwen3"], c).alias("bare"))
 
 
@@ -437,10 +418,10 @@ def multiturn_pairs(spark, sf_dir):
     return rows.select("conv_id", F.posexplode(pairs).alias("pair", "p")).select("conv_id", "pair", F.col("p.prompt").alias("question"), F.col("p.response").alias("answer"))
 
 
-@query("SELECT item_id, 'The following are multiple choice questions (with answers) about item' || (item_id % 3) || '.' || chr(10) || chr(10) || text || chr(10) || 'A. ' || substr(text, 1, 5) || chr(10) || 'B. ' || substr(text, 6, 5) || chr(10) || 'Answer:' AS prompt FROM benchmark")
+@query("SELECT item_id, 'The following are multiple choice questions (with answers) about item' || (item_id % 3) || '.' || chr(10) || chr(10) || text || chr(10) || 'A. ' || text || '!' || chr(10) || 'B. ' || item_id || chr(10) || 'Answer:' AS prompt FROM benchmark")
 def mcq_prompt(spark, sf_dir):
     """Multiple-choice prompts."""
-    options = {"A": F.substring("text", 1, 5), "B": F.substring("text", 6, 5), "C": F.lit(None).cast("string")}
+    options = {"A": F.concat("text", F.lit("!")), "B": F.col("item_id").cast("string"), "C": F.lit(None).cast("string")}
     subject = F.concat(F.lit("item"), (F.col("item_id") % 3).cast("string"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat(metrics.choice_system(subject), metrics.choice_prompt(F.col("text"), options)).alias("prompt"))
 
@@ -490,16 +471,15 @@ def supervised_lengths(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS b, length(text) AS n FROM documents), s AS (SELECT b, sum(n) AS n FROM d GROUP BY b)
-SELECT CAST(b AS BIGINT) AS batch_id, CAST(n // 2048 AS BIGINT) AS n_blocks, CAST(n // 2048 * 2048 AS BIGINT) AS n_tokens FROM s WHERE n >= 2048
+WITH d AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS b, text FROM documents), s AS (SELECT b, string_agg(text, '' ORDER BY doc_id) AS t, sum(length(text)) AS n FROM d GROUP BY b)
+SELECT CAST(b AS BIGINT) AS batch_id, CAST(k AS BIGINT) AS block_id, md5(substr(t, k * 2048 + 1, 2048)) AS content FROM s, range((SELECT CAST(max(n) // 2048 AS BIGINT) FROM s)) r(k) WHERE k < n // 2048
 """)
 def pretrain_blocks(spark, sf_dir):
-    """Texts end to end in blocks."""
+    """Texts end to end in blocks, and what each block holds."""
     from parlance.sources.readers import with_order
 
     d = with_order(table(spark, sf_dir, "documents").select("doc_id", Chars().encode(F.col("text")).alias("ids")), ["doc_id"])
-    blocks = encode.pretrain_blocks(d, "ids", 2048)
-    return blocks.groupBy("batch_id").agg(F.count("*").alias("n_blocks"), F.sum(F.size("input_ids")).alias("n_tokens"))
+    return encode.pretrain_blocks(d, "ids", 2048).select("batch_id", "block_id", F.md5(Chars().decode(F.col("input_ids"))).alias("content"))
 
 
 @query("""
@@ -513,32 +493,23 @@ def kl_shift(spark, sf_dir):
     return encode.rotate_answers(with_order(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"]), "doc_id", "neighbour", 100).select("doc_id", "neighbour")
 
 
-@query("""
-WITH o AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS b, least(length(text), 200) AS n FROM documents)
-SELECT doc_id, CAST(ceil(max(n) OVER (PARTITION BY b) / 8.0) * 8 AS INT) AS width, CAST(ceil(max(n) OVER (PARTITION BY b) / 8.0) * 8 - n AS INT) AS padding FROM o
-""")
-def pad_batch(spark, sf_dir):
-    """Batches padded to a multiple of 8."""
+def padded(spark, sf_dir, batch: int, multiple: int) -> DataFrame:
+    """Whole documents in padded batches: widths from lengths alone, so no token array is shuffled."""
     from parlance.sources.readers import with_order
 
-    ids = F.slice(Chars().encode(F.col("text")), 1, 200)
-    d = with_order(table(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"), ids.alias("labels")), ["doc_id"])
-    out = collate.pad_batches(d, 16, 8)
-    return out.select("doc_id", F.size("input_ids").alias("width"), (F.size("labels") - collate.valid_tokens(F.col("labels"))).alias("padding"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    widths = collate.batch_widths(with_order(docs.select("doc_id", F.length("text").alias("n")), ["doc_id"]), F.col("n"), batch, multiple)
+    ids = Chars().encode(F.col("text"))
+    return collate.pad_to(docs.join(widths.drop("n"), "doc_id").select("doc_id", "batch_id", "_n", ids.alias("input_ids"), ids.alias("labels")))
 
 
 @query("""
 WITH o AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS b, length(text) AS n FROM documents)
 SELECT doc_id, CAST(ceil(max(n) OVER (PARTITION BY b) / 8.0) * 8 AS INT) AS width, CAST(ceil(max(n) OVER (PARTITION BY b) / 8.0) * 8 - n AS INT) AS padding FROM o
 """)
-def pad_batch_whole(spark, sf_dir):
+def pad_batch(spark, sf_dir):
     """Batches of whole texts padded to a multiple of 8."""
-    from parlance.sources.readers import with_order
-
-    ids = Chars().encode(F.col("text"))
-    d = with_order(table(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"), ids.alias("labels")), ["doc_id"])
-    out = collate.pad_batches(d, 16, 8)
-    return out.select("doc_id", F.size("input_ids").alias("width"), (F.size("labels") - collate.valid_tokens(F.col("labels"))).alias("padding"))
+    return padded(spark, sf_dir, 16, 8).select("doc_id", F.size("input_ids").alias("width"), (F.size("labels") - collate.valid_tokens(F.col("labels"))).alias("padding"))
 
 
 @query("SELECT conv_id, CAST(turn AS INT) AS segment, CAST(length(text) AS BIGINT) AS n FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, text FROM conversations) WHERE length(text) > 0")

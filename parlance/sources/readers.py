@@ -116,7 +116,7 @@ def with_order(df: DataFrame, by: list[str] | None = None, buckets: int | None =
     """
     kept = df.schema.fieldNames()
     if by is None:
-        numbered = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        numbered = df.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     else:
         n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         key = F.struct(*by)
@@ -125,16 +125,16 @@ def with_order(df: DataFrame, by: list[str] | None = None, buckets: int | None =
         borders = sorted({sampled[len(sampled) * i // n] for i in range(1, n)}) if sampled else []
         array = F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(by, b)]) for b in borders])
         part = F.size(F.filter(array, lambda b: b <= key)) if borders else F.lit(0)
-        inside = Window.partitionBy("_part").orderBy(*by)
-        numbered = df.withColumn("_part", part).withColumn("_row", F.row_number().over(inside).cast("bigint") - 1)
-    counts = {r[0]: r[1] for r in numbered.groupBy("_part").count().collect()}  # a number per range
+        inside = Window.partitionBy("__part").orderBy(*by)
+        numbered = df.withColumn("__part", part).withColumn("__row", F.row_number().over(inside).cast("bigint") - 1)
+    counts = {r[0]: r[1] for r in numbered.groupBy("__part").count().collect()}  # a number per range
     if not counts:
         return df.withColumn("_ord", F.lit(0).cast("bigint"))
     offsets, total = [], 0
     for p in sorted(counts):
         offsets += [F.lit(p), F.lit(total).cast("bigint")]
         total += counts[p]
-    return numbered.withColumn("_ord", F.col("_row") + F.create_map(*offsets)[F.col("_part")]).select(*kept, "_ord")
+    return numbered.withColumn("_ord", F.col("__row") + F.create_map(*offsets)[F.col("__part")]).select(*kept, "_ord")
 
 
 def page(df: DataFrame, number: int, size: int = 2) -> DataFrame:

@@ -31,13 +31,13 @@ def test_packed_sequences_hold_whole_texts(spark, data):
 
 
 def test_batches_hold_whole_texts(spark, data):
-    got = QUERIES["pad_batch_whole"](spark, data).selectExpr("sum(width - padding) AS n").first()["n"]
+    got = QUERIES["pad_batch"](spark, data).selectExpr("sum(width - padding) AS n").first()["n"]
     assert got == connect(data).execute("SELECT sum(length(text)) FROM documents").fetchone()[0]
 
 
 def test_mixes_take_all_documents(spark, data):
     n = connect(data).execute("SELECT count(*) FROM documents").fetchone()[0]
-    for name in ("mix_concat_all", "mix_rr_once_all", "mix_rr_over_all"):
+    for name in ("mix_concat", "mix_rr_once", "mix_rr_over"):
         assert QUERIES[name](spark, data).select("doc_id").distinct().count() == n
-    drawn = QUERIES["mix_probabilities_all"](spark, data)
+    drawn = QUERIES["mix_probabilities"](spark, data)
     assert drawn.join(spark.read.parquet(f"{data}/documents.parquet").where("lang = 'en'"), "doc_id").count() > 0

@@ -109,3 +109,15 @@ def test_manifests_and_mappings(spark, tmp_path):
     assert [r["id"] for r in readers.page(ordered, 1, 2).orderBy("_ord").collect()] == [2, 3]
     readers.register_script("demo", lambda spark, n=3: spark.range(n))
     assert readers.SCRIPTS["demo"](spark).count() == 3
+
+
+def test_order_keeps_columns_of_its_own_kind_of_names(spark):
+    """Columns named _row or _part are carried as they are; a seeded split takes as many rows as it should."""
+    from parlance.operators import mix
+
+    df = spark.range(300).select(F.col("id").alias("_row"), (F.col("id") * 7 % 300).alias("k"), F.lit("x").alias("_part")).repartition(3)
+    got = readers.with_order(df, ["k"]).collect()
+    assert all(r["_row"] * 7 % 300 == r["k"] == r["_ord"] and r["_part"] == "x" for r in got) and len(got) == 300
+    train, held = mix.holdout(readers.with_order(spark.range(300).toDF("v"), ["v"]), 0.1, 5)
+    a, b = {r["v"] for r in train.collect()}, {r["v"] for r in held.collect()}
+    assert len(a) == 270 and len(b) == 30 and not a & b
