@@ -73,6 +73,11 @@ def nll(logits: Column, label: Column) -> Column:
     return log_sum_exp(logits) - F.get(logits, label)
 
 
+def regularised(loss: Column, cross_entropy: Column, weight: float) -> Column:
+    """A loss with a share of the tokens' cross-entropy; none at a weight of 0 or where there is no label."""
+    return loss + weight * F.coalesce(cross_entropy, F.lit(0.0)) if weight > 0 else loss
+
+
 def dft_weight(loss: Column) -> Column:
     """A token's loss weighted by its own probability."""
     return loss * F.exp(-loss)

@@ -127,3 +127,30 @@ def remaining(df: DataFrame, progress: DataFrame) -> DataFrame:
 
 def valid_tokens(labels: Column) -> Column:
     return F.size(F.filter(labels, lambda x: x != IGNORE))
+
+
+def fixed_slices(df: DataFrame, size: int) -> DataFrame:
+    """df with slice: rows in slices of a fixed number, the last one as long as it is."""
+    return df.withColumn("slice", F.floor(F.col("_ord") / size))
+
+
+def resume(df: DataFrame, state: dict, batch: int, size: int | None = None) -> DataFrame:
+    """df from a saved state on, with step. state: consumed (rows that were read) and buffered (ordinals read but not yet in a batch, which come first).
+
+    An incomplete last step is dropped.
+    """
+    buffered = {o: k for k, o in enumerate(state["buffered"])}
+    at = F.when(F.col("_ord") >= state["consumed"], F.col("_ord") - state["consumed"] + len(buffered))
+    for o, k in buffered.items():
+        at = at.when(F.col("_ord") == o, k)
+    size = df.agg(F.count("*")).first()[0] if size is None else size
+    left = max(size - state["consumed"], 0) + len(buffered)
+    placed = df.withColumn("_at", at).where(F.col("_at") < left // batch * batch)
+    return placed.withColumn("step", F.floor(F.col("_at") / batch)).drop("_at")
+
+
+def saved(df: DataFrame, step: int, batch: int, read_ahead: int) -> dict:
+    """State behind so many steps when rows are read in groups of read_ahead: what was read, and what of it no batch has taken."""
+    taken = step * batch
+    consumed = -(-taken // read_ahead) * read_ahead
+    return {"consumed": consumed, "buffered": list(range(taken, consumed))}

@@ -89,6 +89,11 @@ def concat(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def concat_named(named: dict[str, DataFrame]) -> DataFrame:
+    """Rows of named datasets end to end, each with its dataset's name in _dataset_name."""
+    return concat([df.withColumn("_dataset_name", F.lit(name)) for name, df in named.items()])
+
+
 def interleave(dfs: list[DataFrame], stop: str = "first_exhausted") -> DataFrame:
     """Round robin. first_exhausted: until the shortest ends; all_exhausted: shorter ones wrap until the longest ends; once: every row once."""
     sizes = [_size(d) for d in dfs]

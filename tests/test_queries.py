@@ -1,6 +1,6 @@
 import pytest
 
-from parlance.plans import evaluation  # noqa: F401
+from parlance.plans import coverage, evaluation  # noqa: F401
 from parlance.plans.queries import ORACLES, QUERIES
 from tests.helpers import connect, rows
 
