@@ -232,10 +232,16 @@ def ratios(df: DataFrame) -> DataFrame:
     return df.withColumn("f1", part(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def score_steps(df: DataFrame, p: str = "p", y: str = "y", ranges: int = 64) -> DataFrame:
-    """(p, pos, neg, tp, fp): rows per distinct score and running sums from the highest; ranges of scores are summed apart, so no task sorts all."""
+def score_steps(df: DataFrame, p: str = "p", y: str = "y", ranges: int | None = None) -> DataFrame:
+    """(p, pos, neg, tp, fp): rows per distinct score and running sums from the highest; ranges of scores are summed apart, so no task sorts all.
+
+    Ranges are quantiles of the distinct scores, wherever they lie: as many as the session's shuffle partitions by default.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = df.groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    steps = steps.withColumn("_r", F.floor(F.greatest(F.lit(0.0), F.least(F.col("p"), F.lit(1.0))) * ranges))
+    borders = steps.agg(F.percentile_approx("p", [i / ranges for i in range(1, ranges)], 50 * ranges)).first()[0] if ranges > 1 else []
+    found = F.array(*[F.lit(float(b)) for b in sorted(set(borders or []))]).cast("array<double>")
+    steps = steps.withColumn("_r", F.size(F.filter(found, lambda b: b < F.col("p"))))
     sums = steps.groupBy("_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
     above = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_r", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_q").over(above), F.lit(0)).alias("_q"))
@@ -445,17 +451,28 @@ def model_flops(batch: Column, length: Column, hidden: Column, vocab: Column, in
 
 
 def ema(df: DataFrame, value: str, order: str, *keys: str) -> DataFrame:
-    """(keys, order, smoothed): exponential smoothing of each series; its weight follows the series' length. A series is one run's log."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("s"))
-    weight = 1.8 * (1 / (1 + F.exp(-0.05 * F.size("s"))) - 0.5)
-    start = F.struct(F.col("s")[0]["v"].cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = acc["last"] * weight + (1 - weight) * x["v"]
-        return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-    smoothed = F.aggregate("s", start, step, lambda acc: acc["out"])
-    return rows.select(*keys, F.explode(F.arrays_zip(F.transform("s", lambda x: x["o"]).alias("o"), smoothed.alias("v"))).alias("x")).select(*keys, F.col("x.o").alias(order), F.col("x.v").alias("smoothed"))
+    """(keys, order, smoothed): exponential smoothing of each series; its weight follows the series' length.
+
+    A series streams through its task in order with one number carried on, so time is linear and memory that of a batch.
+    """
+    sized = df.select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    rows = sized.repartition(*keys).sortWithinPartitions(*keys, "_o")
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, 0.0
+        for pdf in batches:
+            out = []
+            for row in zip(*(pdf[c] for c in pdf.columns)):
+                key, (_, v, n) = row[:n_keys], row[n_keys:]
+                weight = 1.8 * (1 / (1 + math.exp(-0.05 * n)) - 0.5)
+                last = (v if key != now else last) * weight + (1 - weight) * v
+                now = key
+                out.append(last)
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, order: pdf["_o"], "smoothed": out})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return rows.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, order)) + ", smoothed double")
 
 
 def weighted_mean(value: Column, n: Column) -> Column:

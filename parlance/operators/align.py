@@ -131,7 +131,7 @@ def system_suffix(system: Column, tools: Column) -> Column:
     return F.when(empty & bare_tools, F.lit(THINKING_OFF)).when(empty | (bare_tools & said), system).when(bare_tools, F.concat(system, F.lit("\n" + THINKING_OFF))).otherwise(F.concat(system, F.lit("\n")))
 
 
-def _call_text(f: Column) -> Column:
+def call_text(f: Column) -> Column:
     """A call's name and JSON-text arguments as spaced JSON, other characters kept."""
     return F.concat(F.lit('{"name": '), _json_string(f["name"]), F.lit(', "arguments": '), _json_string(f["arguments"]), F.lit("}"))
 
@@ -150,7 +150,7 @@ def openai(df: DataFrame, spec: SourceSpec) -> dict[str, Column]:
         plain = message(F.element_at(role, m[spec.role_tag]), m[spec.content_tag])
         if "tool_calls" not in fields:
             return plain
-        calls = F.concat(F.lit("["), F.array_join(F.transform(m["tool_calls"], lambda t: _call_text(t["function"])), ", "), F.lit("]"))
+        calls = F.concat(F.lit("["), F.array_join(F.transform(m["tool_calls"], lambda t: call_text(t["function"])), ", "), F.lit("]"))
         made = (F.size(m["tool_calls"]) > 0) & m[spec.role_tag].isin(*[t for t in (spec.assistant_tag, spec.function_tag) if t])
         return F.when(made, message(FUNCTION, calls)).otherwise(plain)
 

@@ -5,8 +5,11 @@ Row order is part of the meaning, so it is always explicit. Random choices order
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,8 +228,6 @@ def balance(tasks: DataFrame, workers: int, key: str = "id", load: str = "load")
     """key, load, worker: largest first to the least loaded worker, the lowest number on ties. Loads are ranked once; a group holds keys and loads only."""
     import heapq
 
-    import pandas as pd
-
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["load", "_ord"], ascending=[False, True], kind="stable")
         heap, out = [(0, w) for w in range(workers)], []
@@ -248,6 +249,35 @@ def errors_for_missing(manifest: DataFrame, files: DataFrame, path: str = "path"
     return manifest.join(known, path, "left_semi"), lost
 
 
+def loaded(df: DataFrame, load: Callable[[dict], dict], fields: str, threads: int = 6, ahead: int = 64) -> DataFrame:
+    """df with the fields that load(row) gives and error: a row whose loading fails keeps its place with the error's text and null fields.
+
+    Each task loads ahead in threads, so many rows at a time and no more; rows come out in order.
+    """
+    names = df.columns
+    made = df.sparkSession.createDataFrame([], fields).columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(row: dict) -> tuple[dict, str | None]:
+            try:
+                return load(row), None
+            except Exception as x:  # noqa: BLE001  whatever fails is the row's error
+                return {}, f"{type(x).__name__}: {x}"
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                for at in range(0, len(pdf), ahead):
+                    part = pdf.iloc[at : at + ahead].reset_index(drop=True)
+                    got = list(pool.map(one, part.to_dict("records")))
+                    for c in made:
+                        part[c] = pd.Series([g.get(c) for g, _ in got], dtype=object)
+                    part["error"] = pd.Series([e for _, e in got], dtype=object)
+                    yield part[[*names, *made, "error"]]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInPandas(run, f"{kinds}, {fields}, error string")
+
+
 def stem(path: Column) -> Column:
     """File name without folders and without its last extension; a leading dot is no extension."""
     name = F.regexp_extract(path, r"([^/]*)/*$", 1)

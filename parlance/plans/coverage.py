@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions import media, metrics, rendering, templates, toolcalls
+from parlance.functions import chatformat, media, metrics, rendering, templates, toolcalls
 from parlance.functions.tokens import Chars
-from parlance.operators import align, collate, encode, mix, validate
+from parlance.operators import align, collate, encode, mix, requests, validate
 from parlance.plans.queries import CHAT_SQL, ORDERED_SQL, aligned, chats, query, table, whole
 from parlance.schema import USER, message, messages
 from parlance.sources import readers
@@ -461,3 +461,63 @@ def trimmed_rollouts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", metrics.trim_query(F.concat(pad, ids), 0).alias("q"), metrics.trim_response(F.concat(ids, pad), 0, 2).alias("a"), metrics.trim_response(F.concat(ids, pad, F.array(F.lit(0))), 0, 0).alias("e"))
     return d.select("doc_id", F.md5(Chars().decode(F.col("q"))).alias("query_text"), F.md5(Chars().decode(F.col("a"))).alias("answer"), F.size("e").alias("n_with_end"))
 
+
+
+@query(CHAT_SQL + """, t AS (SELECT m.conv_id, i, m.n, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, trim(system, ' ' || chr(9) || chr(10) || chr(13)) AS system FROM m JOIN ok USING (conv_id) WHERE good AND ok.n > 0)
+SELECT conv_id, CASE WHEN max(system) <> '' THEN '<|im_start|>system' || chr(10) || max(system) || '<|im_end|>' || chr(10) ELSE '' END || string_agg('<|im_start|>' || role || chr(10) || CASE WHEN i = n - 1 THEN '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || text || '<|im_end|>' || chr(10), '' ORDER BY i) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) AS text FROM t GROUP BY conv_id""")
+def bundled_chat_format(spark, sf_dir):
+    """Dialogues in the format that a bundled model brings along."""
+    rows = validate.stage_filter(aligned(spark, sf_dir), "supervised")
+    m = F.concat(F.when(F.col("_system") != "", messages(message("system", F.col("_system")))).otherwise(messages()), "_prompt", "_response")
+    return rows.select("conv_id", chatformat.render(m, generate=True).alias("text"))
+
+
+@query("SELECT doc_id, 'see <image> and <video> ' || lang AS content, 'image' AS kind, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'http://x/' || doc_id END AS path, CASE WHEN doc_id % 2 = 0 THEN md5('bytes ' || doc_id) END AS data, '[{\"name\": \"f\", \"arguments\": \"{}\"}]' AS call FROM documents")
+def request_media(spark, sf_dir):
+    """Typed parts of a request: text with marks, media by address or inline, and calls as JSON."""
+    i = F.col("doc_id").cast("string")
+    inline = F.concat(F.lit("data:image/png;base64,"), F.base64(F.concat(F.lit("bytes "), i).cast("binary")))
+    url = F.when(F.col("doc_id") % 2 == 0, inline).otherwise(F.concat(F.lit("http://x/"), i))
+    part = lambda kind, text=None, at=None: F.struct(F.lit(kind).alias("type"), F.lit(None).cast("string").alias("text") if text is None else text.alias("text"), (F.lit(None).cast("string") if at is None else at).alias("url"))
+    parts = F.array(part("text", F.lit("see ")), part("image_url", at=url), part("text", F.lit(" and ")), part("video_url", at=F.lit("v.mp4")), part("text", F.concat(F.lit(" "), "lang")))
+    call = requests.call_content(F.array(F.struct(F.struct(F.lit("f").alias("name"), F.lit("{}").alias("arguments")).alias("function"))))
+    d = table(spark, sf_dir, "documents").select("doc_id", requests.multimodal_text(parts).alias("content"), requests.request_media(parts)[0].alias("m"), call.alias("call"))
+    return d.select("doc_id", "content", "m.kind", "m.path", F.md5("m.data").alias("data"), "call")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN length(url) ELSE -1 END AS n, CASE WHEN page_id % 4 = 0 THEN 'ValueError: cannot read ' || page_id END AS error FROM pages")
+def loaded_rows(spark, sf_dir):
+    """Inputs loaded ahead in bounded groups; a row whose loading fails becomes an error row."""
+
+    def load(row: dict) -> dict:
+        if row["page_id"] % 4 == 0:
+            raise ValueError(f"cannot read {row['page_id']}")
+        return {"n": len(row["url"])}
+
+    return mix.loaded(table(spark, sf_dir, "pages").select("page_id", "url"), load, "n bigint").select("page_id", F.coalesce("n", F.lit(-1)).alias("n"), "error")
+
+
+_PAIRED = "x AS (SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE role = 'assistant'), y AS (SELECT * FROM x WHERE b IS NOT NULL)"
+
+
+@query(f"""
+WITH {_PAIRED},
+w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(a, '\\s+'), lambda v: v <> '') AS a, list_filter(regexp_split_to_array(b, '\\s+'), lambda v: v <> '') AS b FROM y),
+g AS (SELECT conv_id, turn, a, b, list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS a2, list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1])) AS b2, list_distinct(a) AS a1, list_distinct(b) AS b1 FROM w),
+s AS (SELECT conv_id, turn, len(a) > 0 AND len(b) > 0 AS filled, len(list_intersect(a1, b1)) AS h1, len(a1) + len(b1) AS n1, len(list_intersect(a2, b2)) AS h2, len(a2) + len(b2) AS n2 FROM g),
+c AS (SELECT conv_id, turn, a, b, n, i FROM y, (VALUES (1), (2), (3), (4)) v(n), range((SELECT max(greatest(length(a), length(b))) FROM y)) r(i) WHERE i <= greatest(length(a), length(b)) - n),
+p AS (SELECT conv_id, turn, n, g, sum(s) FILTER (WHERE side = 0) AS ca, sum(s) FILTER (WHERE side = 1) AS cb FROM (
+  SELECT conv_id, turn, n, substr(a, i + 1, n) AS g, 0 AS side, 1 AS s FROM c WHERE i <= length(a) - n UNION ALL SELECT conv_id, turn, n, substr(b, i + 1, n), 1, 1 FROM c WHERE i <= length(b) - n) GROUP BY ALL),
+h AS (SELECT conv_id, turn, n, sum(least(coalesce(ca, 0), coalesce(cb, 0))) AS hits, greatest(1, sum(coalesce(ca, 0))) AS total FROM p GROUP BY conv_id, turn, n),
+k AS (SELECT *, sum(CASE WHEN hits = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY n) AS k FROM h),
+l AS (SELECT conv_id, turn, sum(ln(CASE WHEN hits > 0 THEN hits / total ELSE 1.0 / (2 ** k * total) END) / 4) AS logs, count(*) AS orders, min(hits) FILTER (WHERE n = 1) AS first_hits FROM k GROUP BY conv_id, turn)
+SELECT conv_id, turn, round(CASE WHEN filled AND n1 > 0 THEN 200.0 * h1 / n1 ELSE 0 END, 4)::DOUBLE AS rouge_1, round(CASE WHEN filled AND n2 > 0 THEN 200.0 * h2 / n2 ELSE 0 END, 4)::DOUBLE AS rouge_2,
+  round(CASE WHEN length(a) = 0 OR coalesce(first_hits, 0) = 0 THEN 0 ELSE 100 * CASE WHEN length(a) > length(b) THEN 1 ELSE exp(1 - length(b) / length(a)) END * exp(logs) END, 4)::DOUBLE AS bleu_4
+FROM y JOIN s USING (conv_id, turn) LEFT JOIN l USING (conv_id, turn) WHERE coalesce(orders, 4) = 4
+""")
+def overlap_scores(spark, sf_dir):
+    """ROUGE-1, ROUGE-2 and BLEU-4 of consecutive answers, of those with four characters or more in either."""
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    rows = c.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    scored = rows.where(F.greatest(F.length("text"), F.length("before")) >= 4).select("conv_id", "turn", metrics.text_overlap("text", "before").alias("s"))
+    return scored.select("conv_id", "turn", *[F.col(f"s.{x}").alias(x) for x in ("rouge_1", "rouge_2", "bleu_4")])

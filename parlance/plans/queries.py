@@ -153,7 +153,7 @@ def placeholder_counts(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN length(instruction) > 0 OR length(input) > 0 THEN 1 ELSE 0 END + CASE WHEN length(output) > 0 THEN 1 ELSE 0 END - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS INT) AS n_messages, CASE WHEN doc_id % 2 = 0 THEN lang ELSE instruction || input END AS first_text FROM (SELECT doc_id, lang, substr(text, 1, 40) AS instruction, substr(text, 41, 60) AS input, substr(text, 101) AS output FROM documents)")
 def align_alpaca_v1(spark, sf_dir):
-    """Second-generation instruction rows: joined without a break, weights 0/0/1 (V1, V6)."""
+    """Second-generation instruction rows: joined without a break, weights 0/0/1 (V1)."""
     d = table(spark, sf_dir, "documents")
     m = align.alpaca_v1(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.substring("text", 1, 40), F.substring("text", 41, 60), F.expr("substring(text, 101)"))
     return d.select("doc_id", m.alias("m")).select("doc_id", F.size("m").alias("n_messages"), F.col("m")[0]["content"][0]["value"].alias("first_text"))
@@ -436,7 +436,7 @@ def render_chatml_v1(spark, sf_dir):
 
 @query("SELECT doc_id, lang AS name, '{\"q\": ' || n_chars || '}' AS arguments FROM documents")
 def tool_extract(spark, sf_dir):
-    """Tool calls read back from text."""
+    """Tool calls read back from text."""
     t = F.concat(F.lit("Action: "), F.col("lang"), F.lit('\nAction Input: {"q": '), F.col("n_chars").cast("string"), F.lit("}"))
     return table(spark, sf_dir, "documents").select("doc_id", toolcalls.extract("default", t).alias("x")).select("doc_id", F.col("x.calls")[0]["name"].alias("name"), F.col("x.calls")[0]["arguments"].alias("arguments"))
 
@@ -612,7 +612,7 @@ WITH t AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(em
 SELECT round(avg(ppl), 9) AS mean_perplexity, CAST(count(*) AS BIGINT) AS n FROM r
 """)
 def perplexity(spark, sf_dir):
-    """Mean of row perplexities over counted labels."""
+    """Mean of row perplexities over counted labels."""
     e = table(spark, sf_dir, "embeddings")
     labels = F.transform("embedding", lambda x, i: F.when((i + 1) % 3 == 0, -100).otherwise(1))
     loss = F.transform(F.slice("embedding", 2, F.size("embedding")), lambda v: F.abs(v.cast("double")))
@@ -674,7 +674,7 @@ def video_token_counts(spark, sf_dir):
 
 @query("SELECT doc_id, replace('look <image> and <image>', '<image>', '<|vision_start|>' || repeat('<|image_pad|>', CAST(doc_id % 4 + 1 AS INT)) || '<|vision_end|>') AS text FROM documents")
 def expand_placeholders(spark, sf_dir):
-    """Image marks expanded in order."""
+    """Image marks expanded in order."""
     metas = F.array(*[F.struct(F.lit(1).alias("t"), F.lit(2).alias("h"), (2 * (F.col("doc_id") % 4 + 1)).alias("w"))] * 2)
     out = media.expand_images(messages(message(USER, F.lit("look <image> and <image>"))), metas, "qwen2_vl", {"image": "<|image_pad|>"})
     return table(spark, sf_dir, "documents").select("doc_id", out[0]["content"].alias("text"))

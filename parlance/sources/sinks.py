@@ -36,7 +36,8 @@ def throughput(df: DataFrame, seconds: float) -> DataFrame:
 
 def choice_results(df: DataFrame) -> DataFrame:
     """subject with its answers by question number, as one JSON object."""
-    return df.groupBy("subject").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("question").cast("string"), "answer"))))).alias("answers"))
+    text, number = F.col("question").cast("string").alias("question"), F.expr("try_cast(question AS bigint)").alias("number")
+    return df.groupBy("subject").agg(F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(number, text, "answer"))), lambda x: F.struct(x["question"], x["answer"])))).alias("answers"))
 
 
 def save_encoded(splits: dict[str, DataFrame], path: str) -> None:
