@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import mixing, quality, sharding, simhash, tiling
-from parlance.llm.common import materialise, passing, release, table
+from parlance.llm.common import materialise, passing, release, spread, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table. Tables that a stage leaves behind are deleted once its output is written, and that once the next has read it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         before = getattr(docs, "stored_at", None)
         with passing(spark) as left:
