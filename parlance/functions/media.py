@@ -136,10 +136,11 @@ def clock(seconds: Column) -> Column:
 
 
 def expand(content: Column, mark: str, texts: Column, offset: Column | int = 0) -> Column:
-    """content with its k-th mark replaced by texts[offset + k]; marks beyond the list stay."""
+    """content with its k-th mark replaced by texts[offset + k]; marks beyond the list stay. Both arrays are made once, not once for each mark."""
     parts = F.split(content, mark.replace("|", r"\|"), -1)
     n = F.size(parts)
-    return F.concat_ws("", F.transform(parts, lambda p, i: F.when(i < n - 1, F.concat(p, F.coalesce(F.get(texts, i + offset), F.lit(mark)))).otherwise(p)))
+    filled = F.zip_with(F.slice(parts, 1, n - 1), F.slice(texts, F.lit(offset) + 1 if isinstance(offset, int) else offset + 1, n - 1), lambda p, t: F.concat(p, F.coalesce(t, F.lit(mark))))
+    return F.concat(F.array_join(filled, ""), F.element_at(parts, -1))
 
 
 def expand_messages(messages: Column, mark: str, texts: Column) -> Column:

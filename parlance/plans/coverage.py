@@ -34,7 +34,7 @@ WITH x AS (
 
 def _metas(spark, sf_dir) -> DataFrame:
     i = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").select("doc_id", (2 + i % 3).alias("t"), F.lit(4).alias("h"), (2 * (1 + i % 3)).alias("w"), (56 + 14 * (i % 4)).alias("height"), F.lit(70).alias("width"), (1 + i % 3).alias("frames"))
+    d = readers.spread(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", (2 + i % 3).alias("t"), F.lit(4).alias("h"), (2 * (1 + i % 3)).alias("w"), (56 + 14 * (i % 4)).alias("height"), F.lit(70).alias("width"), (1 + i % 3).alias("frames"))
     i = F.col("doc_id")
     return d.select(
         "doc_id",
@@ -458,7 +458,7 @@ def missing_files(spark, sf_dir):
 def trimmed_rollouts(spark, sf_dir):
     """Padding before a prompt and behind an answer removed."""
     ids, pad = Chars().encode(F.col("text")), F.array_repeat(F.lit(0), (F.col("doc_id") % 5).cast("int"))
-    d = table(spark, sf_dir, "documents").select("doc_id", metrics.trim_query(F.concat(pad, ids), 0).alias("q"), metrics.trim_response(F.concat(ids, pad), 0, 2).alias("a"), metrics.trim_response(F.concat(ids, pad, F.array(F.lit(0))), 0, 0).alias("e"))
+    d = readers.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", metrics.trim_query(F.concat(pad, ids), 0).alias("q"), metrics.trim_response(F.concat(ids, pad), 0, 2).alias("a"), metrics.trim_response(F.concat(ids, pad, F.array(F.lit(0))), 0, 0).alias("e"))
     return d.select("doc_id", F.md5(Chars().decode(F.col("q"))).alias("query_text"), F.md5(Chars().decode(F.col("a"))).alias("answer"), F.size("e").alias("n_with_end"))
 
 

@@ -476,9 +476,11 @@ SELECT CAST(b AS BIGINT) AS batch_id, CAST(k AS BIGINT) AS block_id, md5(substr(
 """)
 def pretrain_blocks(spark, sf_dir):
     """Texts end to end in blocks, and what each block holds."""
-    from parlance.sources.readers import with_order
+    from parlance.sources.readers import spread, with_order
 
-    d = with_order(table(spark, sf_dir, "documents").select("doc_id", Chars().encode(F.col("text")).alias("ids")), ["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = with_order(docs.select("doc_id"), ["doc_id"])  # keys are ordered apart, so texts move once
+    d = spread(docs).join(order, "doc_id").select("_ord", Chars().encode(F.col("text")).alias("ids"))
     return encode.pretrain_blocks(d, "ids", 2048).select("batch_id", "block_id", F.md5(Chars().decode(F.col("input_ids"))).alias("content"))
 
 
@@ -495,12 +497,12 @@ def kl_shift(spark, sf_dir):
 
 def padded(spark, sf_dir, batch: int, multiple: int) -> DataFrame:
     """Whole documents in padded batches: widths from lengths alone, so no token array is shuffled."""
-    from parlance.sources.readers import with_order
+    from parlance.sources.readers import spread, with_order
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     widths = collate.batch_widths(with_order(docs.select("doc_id", F.length("text").alias("n")), ["doc_id"]), F.col("n"), batch, multiple)
     ids = Chars().encode(F.col("text"))
-    return collate.pad_to(docs.join(widths.drop("n"), "doc_id").select("doc_id", "batch_id", "_n", ids.alias("input_ids"), ids.alias("labels")))
+    return collate.pad_to(spread(docs).join(widths.drop("n"), "doc_id").select("doc_id", "batch_id", "_n", ids.alias("input_ids"), ids.alias("labels")))
 
 
 @query("""
