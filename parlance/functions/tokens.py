@@ -21,7 +21,8 @@ class Chars:
         return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) + self.first)
 
     def decode(self, ids: Column) -> Column:
-        return F.array_join(F.transform(F.filter(ids, lambda x: x >= self.first), lambda x: F.decode(F.unhex(F.lpad(F.hex(x - self.first), 8, "0")), "UTF-32")), "")
+        points = F.transform(F.filter(ids, lambda x: x >= self.first), lambda x: F.lpad(F.hex(x - self.first), 8, "0"))
+        return F.decode(F.unhex(F.array_join(points, "")), "UTF-32")
 
 
 class Words:
