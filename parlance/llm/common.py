@@ -131,6 +131,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+                pa.default_memory_pool().release_unused()  # idle workers wait for the next task and count as well
 
     bound_arrow(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -264,7 +264,7 @@ ORDER_DOCS, COMMON = 20_000, 1 << 18
 #: Holders of one shingle in a part; those of a more common one are compared by pairs of parts, each in a task's group of its own.
 PART = 500
 #: Pairs of sketches compared at once.
-_PAIRS_AT_ONCE = 1 << 16
+_PAIRS_AT_ONCE = 1 << 14
 #: Entries of whole groups that a task compares at a time.
 _ENTRIES_AT_ONCE = 20_000
 #: Documents of the sample that hold a shingle from which on it may be hot: its holders are counted apart and never meet in one task.
