@@ -1,13 +1,17 @@
 """Secret scans: patterns, and a character convolutional network over every candidate and its context.
 
 Candidates are all runs of CANDIDATE or more characters of [A-Za-z0-9+/_.=-], each looked at in pieces of PIECE characters with its context.
-The labelled findings that train the network are of two kinds. Found: a bounded sample of distinct pieces, the lowest by hash over all
-documents; those under a pattern's span are positive, others negative, except those that a short fit on the other half of the sample takes for secrets. Planted, since patterns know few forms: secrets of the forms that
-`planted` draws (base64, prefixed, dotted and grouped keys, upper-case and mixed ones) set into contexts sampled from the corpus are positive, and
-names, paths, numbers and rules built from the corpus's own words are negative. The network (character embedding, convolution, maxima over
-candidate and context apart, one logit) is fitted in numpy; Platt scaling on the labels held out by hash calibrates it, and the cut is the
-highest probability that still finds RECALL of the held-out positives. Every piece of every candidate that no pattern covers is scored, the largest
-counting. The network adds spans ("net"); pattern spans stay.
+The labelled findings that train the network are of two kinds. Found: every distinct piece of all documents; those under a pattern's span are positive,
+others negative, except those that a short fit on the other half of the pieces takes for secrets. Planted, since patterns know few forms: secrets of the
+forms that `planted` draws (base64, prefixed, dotted and grouped keys, upper-case and mixed ones) set into contexts of the corpus are positive, and
+names, paths, numbers and rules built from the corpus's own words are negative. The pieces are dealt by hash into blocks of about FIT_POSITIVES +
+FIT_NEGATIVES, each with its own FIT_PLANTED + FIT_HARMLESS planted ones, so planted and found keep their proportion however many documents there are.
+The network (character embedding, convolution, maxima over candidate and context apart, one logit) is fitted in numpy on the executors: in each epoch
+every block is passed through from the same parameters, and the blocks' parameters and moments are averaged. Platt scaling on all labels held out by
+hash calibrates it, and the cut is the highest probability that still finds RECALL of all held-out positives, an exact order statistic. Sums are of whole
+numbers and blocks depend on the pieces alone, so neither the order nor the partitions of the documents change the network. The driver gets sums of some
+5,500 numbers from SUMMED tasks at most, and 65,536 counts twice for the cut. Every piece of every candidate that no pattern covers is scored, the
+largest counting. The network adds spans ("net"); pattern spans stay.
 
 Null and empty texts have no spans. Very long texts and candidates are scanned whole. Repeated rows are scanned each. Where the documents hold no
 candidate, no span is added. An empty table gives an empty result.
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_map, bound_arrow, utf8
+from parlance.llm.common import arrow_map, bound_arrow, materialise, passing, release, utf8, whole_groups
 
 KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -36,11 +40,13 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = 12
 BEFORE, PIECE, AFTER = 20, 40, 4
-#: Training bounds: pieces found that are gathered to the driver, and secrets and harmless candidates that are planted.
+#: Of a training block: pieces found (both kinds together, on average), and secrets and harmless candidates that are planted. No bound on the number of blocks.
 FIT_POSITIVES, FIT_NEGATIVES, FIT_PLANTED, FIT_HARMLESS = 2000, 6000, 3000, 3000
 RECALL = 0.98
 #: Pieces scored together.
 SCORED = 4096
+#: Tasks whose sums the driver takes as they are; those of more tasks are added up before.
+SUMMED = 256
 _IN_RUN = np.zeros(128, bool)
 _IN_RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
 
@@ -159,63 +165,117 @@ class Net:
     shift: float = 0.0
     cut: float = 2.0
 
-    def forward(self, x: np.ndarray):
-        e = self.embed[x]
-        n = x.shape[1] - WIDTH + 1
-        cols = np.concatenate([e[:, j : j + n] for j in range(WIDTH)], axis=2)
-        h = np.maximum(cols @ self.kernel + self.bias, 0)
-        own = h[:, BEFORE - WIDTH // 2 : BEFORE + PIECE - WIDTH // 2]
-        context = h[:, : BEFORE - WIDTH // 2]
-        return cols, h, np.concatenate([own.max(axis=1), own.mean(axis=1), context.max(axis=1)], axis=1)
+    def convolve(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of the convolution and its outputs (filters, windows, places). One long row of characters; places that reach into the next window are never pooled."""
+        n = x.size
+        e = np.zeros((EMBED, n + WIDTH - 1), np.float32)
+        e[:, :n] = np.take(np.ascontiguousarray(self.embed.T), x.ravel(), axis=1, mode="clip")
+        cols = np.empty((WIDTH, EMBED, n), np.float32)
+        for j in range(WIDTH):
+            cols[j] = e[:, j : j + n]
+        cols = cols.reshape(-1, n)
+        h = self.kernel.T @ cols
+        h += self.bias[:, None]
+        np.maximum(h, 0, out=h)
+        return cols, h.reshape(FILTERS, len(x), -1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.forward(x[i : i + 2048])[2] @ self.out + self.offset for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0)
+        out = [np.zeros(0, np.float32)]
+        for i in range(0, len(x), 256):
+            h = self.convolve(x[i : i + 256])[1]
+            own, context = h[:, :, OWN], h[:, :, : OWN.start]
+            out.append(np.concatenate([own.max(axis=2), own.mean(axis=2), context.max(axis=2)]).T @ self.out + self.offset)
+        return np.concatenate(out)
+
+    def calibrated(self, logit: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -35, 35)))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -35, 35)))
+        return self.calibrated(self.logits(x))
 
 
 WIDTH, EMBED, FILTERS = 5, 8, 24
+OWN = slice(BEFORE - WIDTH // 2, BEFORE + PIECE - WIDTH // 2)
 
 
-def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None, epochs: int = 10, rate: float = 0.01, seed: int = 7) -> Net:
-    """Train on the labelled windows, calibrate and cut on those held out (default: every fourth). Adam; numpy only."""
-    rng = np.random.default_rng(seed)
-    net = Net(*(rng.normal(0, s, n).astype(np.float32) for s, n in ((0.3, (97, EMBED)), (0.15, (WIDTH * EMBED, FILTERS)), (0.01, FILTERS), (0.1, 3 * FILTERS))), 0.0)
-    held = np.arange(len(x)) % 4 == 3 if held is None else held
-    if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 2:
-        return net
-    tx, ty = x[~held], y[~held].astype(np.float32)
-    weight = np.where(ty > 0, 0.5 / ty.mean(), 0.5 / (1 - ty.mean())).astype(np.float32)
-    params = [net.embed, net.kernel, net.bias, net.out, np.zeros(1, np.float32)]
-    first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    a, z = BEFORE - WIDTH // 2, BEFORE + PIECE - WIDTH // 2
-    for _ in range(epochs):
-        order = rng.permutation(len(tx))
+@dataclass
+class Fit:
+    """A network in training: its parameters, Adam's moments and the steps taken."""
+
+    params: list[np.ndarray]
+    first: list[np.ndarray]
+    second: list[np.ndarray]
+    t: float = 0.0
+
+    @classmethod
+    def start(cls, rng: np.random.Generator) -> Fit:
+        params = [rng.normal(0, s, n).astype(np.float32) for s, n in ((0.3, (97, EMBED)), (0.15, (WIDTH * EMBED, FILTERS)), (0.01, FILTERS), (0.1, 3 * FILTERS))]
+        params.append(np.zeros(1, np.float32))
+        return cls(params, [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params])
+
+    def net(self) -> Net:
+        return Net(*self.params[:4], float(self.params[4][0]))
+
+    def epoch(self, tx: np.ndarray, ty: np.ndarray, share: float, rng: np.random.Generator, rate: float = 0.01) -> None:
+        """One pass of Adam over the windows; share: of positives among all that are trained on, by which both kinds get the same weight."""
+        ty = ty.astype(np.float32)
+        weight = np.where(ty > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        net, order = self.net(), rng.permutation(len(tx))
         for at in range(0, len(order), 128):
             pick = order[at : at + 128]
-            net.offset = float(params[4][0])
-            cols, h, pooled = net.forward(tx[pick])
+            x, net.offset = tx[pick], float(self.params[4][0])
+            cols, h = net.convolve(x)
+            lanes, rows = np.arange(FILTERS)[:, None], np.arange(len(pick))
+            at_own, at_context = OWN.start + h[:, :, OWN].argmax(axis=2), h[:, :, : OWN.start].argmax(axis=2)
+            pooled = np.concatenate([h[lanes, rows, at_own], h[:, :, OWN].mean(axis=2), h[lanes, rows, at_context]]).T
             p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.offset, -35, 35)))
             d = ((p - ty[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            d_pool = d[:, None] * net.out[None, :]
-            d_h, rows, lanes = np.zeros_like(h), np.arange(len(pick))[:, None], np.arange(FILTERS)[None, :]
-            d_h[:, a:z] += d_pool[:, None, FILTERS : 2 * FILTERS] / (z - a)
-            d_h[rows, a + h[:, a:z].argmax(axis=1), lanes] += d_pool[:, :FILTERS]
-            d_h[rows, h[:, :a].argmax(axis=1), lanes] += d_pool[:, 2 * FILTERS :]
+            d_pool = net.out[:, None] * d
+            d_h = np.zeros_like(h)
+            d_h[:, :, OWN] += d_pool[FILTERS : 2 * FILTERS, :, None] / PIECE
+            d_h[lanes, rows, at_own] += d_pool[:FILTERS]
+            d_h[lanes, rows, at_context] += d_pool[2 * FILTERS :]
             d_h *= h > 0
-            d_cols, n = d_h @ net.kernel.T, h.shape[1]
-            d_chars = np.zeros((*tx[pick].shape, EMBED), np.float32)
+            flat, n = d_h.reshape(FILTERS, -1), x.size
+            d_cols, d_chars = (net.kernel @ flat).reshape(WIDTH, EMBED, n), np.zeros((EMBED, n + WIDTH - 1), np.float32)
             for j in range(WIDTH):
-                d_chars[:, j : j + n] += d_cols[:, :, j * EMBED : (j + 1) * EMBED]
-            d_embed = np.stack([np.bincount(tx[pick].ravel(), weights=d_chars[:, :, e].ravel(), minlength=len(net.embed)) for e in range(EMBED)], axis=1).astype(np.float32)
-            grads = [d_embed, cols.reshape(-1, cols.shape[2]).T @ d_h.reshape(-1, FILTERS), d_h.sum(axis=(0, 1)), pooled.T @ d, d.sum(keepdims=True)]
-            t += 1
-            for param, g, m, v in zip(params, grads, first, second):
+                d_chars[:, j : j + n] += d_cols[j]
+            chars = x.ravel().astype(np.intp)
+            d_embed = np.stack([np.bincount(chars, weights=lane[:n], minlength=97) for lane in d_chars], axis=1).astype(np.float32)
+            grads = [d_embed, cols @ flat.T, flat.sum(axis=1), pooled.T @ d, d.sum(keepdims=True)]
+            self.t += 1
+            for param, g, m, v in zip(self.params, grads, self.first, self.second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                param -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
-    net.offset = float(params[4][0])
+                param -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-7)
+
+    def pack(self) -> np.ndarray:
+        """Parameters, moments (the second as roots, which are of one size with the first) and steps in one row."""
+        return np.concatenate([a.ravel().astype(np.float64) for a in (*self.params, *self.first, *map(np.sqrt, self.second))] + [np.array([self.t])])
+
+    @classmethod
+    def unpack(cls, row: np.ndarray) -> Fit:
+        out = cls.start(np.random.default_rng(0))
+        at = 0
+        for own in (out.params, out.first, out.second):
+            for i, a in enumerate(own):
+                part = row[at : at + a.size].reshape(a.shape)
+                own[i] = (part * part if own is out.second else part).astype(np.float32)
+                at += a.size
+        out.t = float(row[at])
+        return out
+
+
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None, epochs: int = 10, rate: float = 0.01, seed: int = 7) -> Net:
+    """Train in memory on the labelled windows, calibrate and cut on those held out (default: every fourth). Adam; numpy only. `train` does so over tables."""
+    rng = np.random.default_rng(seed)
+    own = Fit.start(rng)
+    held = np.arange(len(x)) % 4 == 3 if held is None else held
+    if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 2:
+        return own.net()
+    for _ in range(epochs):
+        own.epoch(x[~held], y[~held], float(y[~held].mean()), rng, rate)
+    net = own.net()
     logit, truth = net.logits(x[held]), y[held]
     for _ in range(200):  # Platt scaling by gradient steps
         p = 1 / (1 + np.exp(-np.clip(net.scale * logit + net.shift, -35, 35)))
@@ -239,7 +299,7 @@ def _order(window: str) -> int:
 
 
 def sample(docs: DataFrame, text_col: str = "text") -> list[tuple[str, bool]]:
-    """The distinct pieces of lowest hash over all documents, FIT_POSITIVES and FIT_NEGATIVES at most. Each task sends no more than that."""
+    """For a look at the pieces of a corpus: the distinct ones of lowest hash over all documents, FIT_POSITIVES and FIT_NEGATIVES at most. Nothing is trained on it; `train` takes all."""
     bounds = {True: FIT_POSITIVES, False: FIT_NEGATIVES}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,21 +345,184 @@ def training_set(found: list[tuple[str, bool]], seed: int = 7) -> tuple[np.ndarr
     return codes(windows), np.array([rows[w] for w in windows], np.float64), held
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Net:
-    """Gather the bounded labelled sample from all documents, plant what patterns don't know, and fit."""
-    found = sample(docs, text_col)
-    return fit(*training_set(vouched(found)))
+def every_piece(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """lot, window, label: the distinct pieces of all documents; positive where any of a piece's places is."""
 
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t.decode("utf-8", "replace") for t in utf8(b.column(0))]
+        found: dict[str, bool] = {}
+        for text, spans in zip(texts, runs(texts, CANDIDATE)):
+            for window, label in labelled(text, spans):
+                found[window] = found.get(window, False) or label
+        return pa.record_batch([pa.array(map(_order, found), pa.int64()), pa.array(found, pa.string()), pa.array(found.values(), pa.bool_())], ["lot", "window", "label"])
 
-def vouched(found: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
-    """The sample without those negatives that a short fit on the other half takes for secrets: that no pattern covers them doesn't make them harmless."""
-    halves = [[(w, label) for w, label in found if _order(w) >> 8 & 1 == k] for k in (0, 1)]
-    out = []
-    for own, other in (halves, halves[::-1]):
-        net = fit(*training_set(other), epochs=4)
-        p = net.probability(codes([w for w, _ in own])) if own else ()
-        out += [(w, label) for (w, label), x in zip(own, p) if label or x < 0.5]
-    return sorted(out)
+    found = arrow_map(docs.select(F.col(text_col).alias("text")), run, "lot bigint, window string, label boolean")
+    return found.groupBy("lot", "window").agg(F.max("label").alias("label"))
+
+
+def blocks(found: DataFrame, nets: dict[int, Net] | None = None) -> DataFrame:
+    """Training blocks of all pieces found: fold, codes, labels, held, and counts of each kind of label by held.
+
+    A block holds pieces of one half (a bit of the hash) only. Without nets the halves are the folds. With nets, one by half, there is one fold, and
+    negatives which the other half's net takes for secrets are left out: that no pattern covers them doesn't make them harmless.
+    """
+    half = F.shiftright("lot", 8).bitwiseAND(F.lit(1))
+    many = {r["half"]: max(1, round(r["count"] / (FIT_POSITIVES + FIT_NEGATIVES))) for r in found.groupBy(half.alias("half")).count().collect()}
+    block = half + F.lit(2) * F.pmod(F.shiftright("lot", 9), F.when(half == 0, F.lit(many.get(0, 1))).otherwise(F.lit(many.get(1, 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, 1):
+            keys = rows.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, z in zip(edges, edges[1:]):
+                own, windows, labels = int(keys[a]), rows.column(1).slice(a, z - a).to_pylist(), rows.column(2).slice(a, z - a).to_pylist()
+                if (other := (nets or {}).get(1 - own % 2)) is not None:
+                    kept = [label or x < 0.5 for label, x in zip(labels, other.probability(codes(windows)).tolist())]
+                    windows, labels = [w for w, k in zip(windows, kept) if k], [label for label, k in zip(labels, kept) if k]
+                x, y, held = training_set(list(zip(windows, labels)), 7 + own)
+                y = y > 0
+                counts = [int((y & ~held).sum()), int((~y & ~held).sum()), int((y & held).sum()), int((~y & held).sum())]
+                row = [own % 2 if nets is None else 0, own, x.tobytes(), y.tobytes(), held.tobytes(), *counts]
+                yield pa.record_batch([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 4))], ["fold", "block", "codes", "labels", "held", *COUNTS])
+            pa.default_memory_pool().release_unused()
+
+    bound_arrow(found.sparkSession)
+    parts = min(sum(many.values()) or 1, 20_000)
+    dealt = found.select(block.alias("block"), "window", "label", "lot").repartition(parts, "block").sortWithinPartitions("block", "lot", "window").select("block", "window", "label")
+    return dealt.mapInArrow(run, "fold int, block bigint, codes binary, labels binary, held binary, " + ", ".join(f"{c} bigint" for c in COUNTS))
+
+
+COUNTS = ("positive", "negative", "held_positive", "held_negative")
+#: Sums over blocks are of whole numbers of this unit, so they come out the same in any order.
+UNIT = 1 << 24
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    for fold, block, x, y, held in zip(*(b.column(i).to_pylist() for i in range(5))):
+        yield fold, block, np.frombuffer(x, np.uint8).reshape(-1, BEFORE + PIECE + AFTER), np.frombuffer(y, bool), np.frombuffer(held, bool)
+
+
+def _epoch(table: DataFrame, many: int, fits: dict[int, Fit], share: dict[int, float], number: int) -> dict[int, Fit]:
+    """One epoch over all blocks: each is passed through from the same parameters; the mean of what comes out, by windows trained on, is the next."""
+
+    def added(batches: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        sums: dict[int, np.ndarray] = {}
+        for fold, row in batches:
+            sums[fold] = sums[fold] + row if fold in sums else row
+        return pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))], ["fold", "sums"])
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for b in batches:
+            for fold, block, x, y, held in _rows(b):
+                if fold in fits and not held.all():
+                    own = Fit.unpack(fits[fold].pack())
+                    own.epoch(x[~held], y[~held], share[fold], np.random.default_rng((number, block)))
+                    n = int((~held).sum())
+                    yield fold, np.r_[np.rint(own.pack() * (n * UNIT)).astype(np.int64), n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield added(passed(batches))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield added((f, np.array(s, np.int64)) for b in batches for f, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+
+    schema = "fold int, sums array<bigint>"
+    sums = table.select("fold", "block", "codes", "labels", "held").mapInArrow(run, schema)
+    if many > SUMMED:
+        sums = sums.repartition(16).mapInArrow(again, schema)
+    total: dict[int, np.ndarray] = {}
+    for r in sums.collect():
+        row = np.array(r["sums"], np.int64)
+        total[r["fold"]] = total[r["fold"]] + row if r["fold"] in total else row
+    return {fold: Fit.unpack(s[:-1] / (float(s[-1]) * UNIT)) for fold, s in total.items()}
+
+
+def _held(table: DataFrame, nets: dict[int, Net]) -> DataFrame:
+    """fold, label, logit of every window held out, and the logit's bits as a number that orders like it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for fold, _, x, y, held in _rows(b):
+                if fold in nets and held.any():
+                    logit = nets[fold].logits(x[held]).astype(np.float32)
+                    columns = [pa.array(np.full(len(logit), fold, np.int32)), pa.array(y[held]), pa.array(logit), pa.array(_ordered(logit.view(np.int32)))]
+                    yield pa.record_batch(columns, ["fold", "label", "logit", "place"])
+
+    return table.select("fold", "block", "codes", "labels", "held").mapInArrow(run, "fold int, label boolean, logit float, place int")
+
+
+def _ordered(bits: np.ndarray) -> np.ndarray:
+    """Bits of floats to whole numbers of the same order, and back."""
+    return bits ^ ((bits >> 31) & 0x7FFFFFFF)
+
+
+def _calibrate(held: DataFrame, nets: dict[int, Net], counts: dict[int, dict[str, int]]) -> None:
+    """Platt scaling over all windows held out: Newton steps, whose sums are taken in whole numbers over the table."""
+    by = lambda values: F.element_at(F.create_map(*(F.lit(v) for fold in nets for v in (fold, float(values[fold])))), F.col("fold"))
+    for _ in range(30):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), by({f: n.scale for f, n in nets.items()}) * F.col("logit") + by({f: n.shift for f, n in nets.items()})))))
+        smooth = F.when(F.col("label"), by({f: (c["held_positive"] + 1) / (c["held_positive"] + 2) for f, c in counts.items()})).otherwise(by({f: 1 / (c["held_negative"] + 2) for f, c in counts.items()}))
+        own = held.select("fold", F.col("logit").cast("double").alias("x"), p.alias("p"), smooth.alias("t"))
+        off, curve = F.col("p") - F.col("t"), F.col("p") * (1 - F.col("p"))
+        terms = [off * F.col("x"), off, curve * F.col("x") * F.col("x"), curve * F.col("x"), curve]
+        largest = 0.0
+        for r in own.groupBy("fold").agg(*(F.sum(F.round(v * UNIT).cast("bigint")).alias(f"s{i}") for i, v in enumerate(terms))).collect():
+            net, (gx, g, hxx, hx, h) = nets[r["fold"]], (r[f"s{i}"] / UNIT for i in range(5))
+            step = np.linalg.solve(np.array([[hxx + 1e-3, hx], [hx, h + 1e-3]]), np.array([gx, g]))
+            scale = min(max(net.scale - step[0], net.scale / 2, 0.05), net.scale * 2)
+            shift = net.shift - float(np.clip(step[1], -2, 2))
+            largest = max(largest, abs(scale - net.scale), abs(shift - net.shift))
+            net.scale, net.shift = float(scale), shift
+        if largest < 1e-4:
+            break
+
+
+def _cut(held: DataFrame, net: Net, positives: int) -> float:
+    """The highest probability that still finds RECALL of all positives held out: the logit of that rank, by counts of the upper and then the lower half of its bits."""
+    rank, found = int((1 - RECALL) * positives), held.where("label")
+    upper, lower = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(0xFFFF))
+    value = []
+    for part in (upper, lower):
+        for r in sorted(found.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"]):
+            if rank < r["count"]:
+                break
+            rank -= r["count"]
+        value.append(r["part"])
+        found = found.where(part == r["part"])
+    place = np.array([value[0] * 65536 + value[1]], np.int32)
+    return float(net.calibrated(_ordered(place).view(np.float32))[0])
+
+
+def _fitted(table: DataFrame, epochs: int, seed: int = 7) -> tuple[dict[int, Net], DataFrame, dict[int, dict[str, int]]]:
+    """Calibrated nets by fold, the windows held out with their logits, and counts of labels. No net where a fold has fewer than two windows of a kind."""
+    counts = {r["fold"]: r.asDict() for r in table.groupBy("fold").agg(F.count("*").alias("blocks"), *(F.sum(c).alias(c) for c in COUNTS)).collect()}
+    counts = {fold: c for fold, c in counts.items() if min(c[k] for k in COUNTS) >= 2}
+    many = sum(c["blocks"] for c in counts.values())
+    fits = {fold: Fit.start(np.random.default_rng(seed)) for fold in counts}
+    share = {fold: c["positive"] / (c["positive"] + c["negative"]) for fold, c in counts.items()}
+    for number in range(epochs if fits else 0):
+        fits = _epoch(table, many, fits, share, number)
+    nets = {fold: own.net() for fold, own in fits.items()}
+    held = materialise(_held(table, nets), "op6-held")
+    if nets:
+        _calibrate(held, nets, counts)
+    return nets, held, counts
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Net:
+    """Fit on every distinct piece of all documents and on planted ones, calibrate and cut on all that are held out."""
+    spark = docs.sparkSession
+    with passing(spark):
+        found = materialise(every_piece(docs, text_col), "op6-pieces")
+        halves = materialise(blocks(found), "op6-halves")
+        vouching = _fitted(halves, 4)[0]
+        release(spark, halves.stored_at)
+        table = materialise(blocks(found, vouching), "op6-blocks")
+        nets, held, counts = _fitted(table, 10)
+        if not nets:
+            return Fit.start(np.random.default_rng(7)).net()
+        nets[0].cut = _cut(held, nets[0], counts[0]["held_positive"])
+        return nets[0]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

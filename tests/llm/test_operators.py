@@ -417,6 +417,27 @@ def test_secret_sample_is_distinct_and_bounded(spark, monkeypatch):
     assert got == secrets.sample(docs.repartition(2))
 
 
+def test_secret_network_learns_from_every_piece(spark, monkeypatch):
+    """Training blocks hold all distinct pieces of all documents, however many, whatever the partitions; the cut is that of all positives held out."""
+    monkeypatch.setattr(secrets, "FIT_POSITIVES", 20)
+    monkeypatch.setattr(secrets, "FIT_NEGATIVES", 30)
+    texts = [f"thesamelongword anotherlongword{i:03d}x" + f" {i:020x}" * (i % 3 == 0) for i in range(200)] * 2
+    want = {w: label for x in texts for w, label in secrets.labelled(x, secrets.runs([x], 12)[0])}
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    tables = [secrets.blocks(secrets.every_piece(docs.repartition(n))).collect() for n in (1, 3)]
+    assert sorted(tables[0]) == sorted(tables[1]) and len(tables[0]) >= 4
+    x, y, held = (np.frombuffer(b"".join(r[c] for r in tables[0]), np.uint8) for c in ("codes", "labels", "held"))
+    learned = {w.tobytes(): bool(label) for w, label in zip(x.reshape(-1, 64), y)}
+    assert all(learned[secrets.codes([w]).tobytes()] == label for w, label in want.items())
+    assert sum(r["held_positive"] for r in tables[0]) == int((held & y).sum())
+    rng = np.random.default_rng(5)
+    logit = np.r_[rng.normal(0, 3, 999), np.repeat(-2.5, 20), 0.0].astype(np.float32)
+    rows = [(0, True, float(v), int(secrets._ordered(v.view(np.int32)))) for v in logit] + [(0, False, -90.0, 0)]
+    net = secrets.Fit.start(rng).net()
+    got = secrets._cut(spark.createDataFrame(rows, "fold int, label boolean, logit float, place int"), net, len(logit))
+    assert got == float(net.calibrated(np.sort(logit)[int((1 - secrets.RECALL) * len(logit)) :][:1])[0])
+
+
 # 7
 
 
