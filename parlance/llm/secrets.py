@@ -101,7 +101,7 @@ _UP, _LOW, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz",
 
 def planted(rng: random.Random) -> str:
     """A made secret of some form."""
-    draw = lambda alphabet, a, z: "".join(rng.choice(alphabet) for _ in range(rng.randint(a, z)))
+    draw = lambda alphabet, a, z: "".join(rng.choices(alphabet, k=rng.randint(a, z)))
     every = _UP + _LOW + _DIGITS
     form = rng.randrange(9)
     if form == 0:
@@ -165,27 +165,29 @@ class Net:
     shift: float = 0.0
     cut: float = 2.0
 
-    def convolve(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs of the convolution and its outputs (filters, windows, places). One long row of characters; places that reach into the next window are never pooled."""
+    def convolve(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs of the convolution, its outputs (filters, windows, places) and the characters. One long row of characters; places that reach into the next window are never pooled."""
         n = x.size
-        e = np.zeros((EMBED, n + WIDTH - 1), np.float32)
-        e[:, :n] = np.take(np.ascontiguousarray(self.embed.T), x.ravel(), axis=1, mode="clip")
-        cols = np.empty((WIDTH, EMBED, n), np.float32)
+        flat = np.zeros(n + WIDTH - 1, np.intp)
+        flat[:n] = x.ravel()
+        e = np.take(np.ascontiguousarray(self.embed.T), flat, axis=1, mode="clip")
+        cols = np.empty((WIDTH * EMBED + 1, n), np.float32)
         for j in range(WIDTH):
-            cols[j] = e[:, j : j + n]
-        cols = cols.reshape(-1, n)
-        h = self.kernel.T @ cols
-        h += self.bias[:, None]
+            cols[j * EMBED : (j + 1) * EMBED] = e[:, j : j + n]
+        cols[-1] = 1  # for the bias
+        h = np.concatenate([self.kernel.T, self.bias[:, None]], axis=1) @ cols
         np.maximum(h, 0, out=h)
-        return cols, h.reshape(FILTERS, len(x), -1)
+        return cols, h.reshape(FILTERS, len(x), -1), flat[:n]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        out = [np.zeros(0, np.float32)]
+        out = np.zeros(len(x), np.float32)
         for i in range(0, len(x), 256):
-            h = self.convolve(x[i : i + 256])[1]
-            own, context = h[:, :, OWN], h[:, :, : OWN.start]
-            out.append(np.concatenate([own.max(axis=2), own.mean(axis=2), context.max(axis=2)]).T @ self.out + self.offset)
-        return np.concatenate(out)
+            for rows, part, left in folded(x[i : i + 256]):
+                h = self.convolve(part)[1]
+                own, context = h[:, :, OWN.start : OWN.stop - left], h[:, :, : OWN.start]
+                mean = (own.sum(axis=2) + left * h[:, :, REST.start]) / PIECE
+                out[i + rows] = np.concatenate([own.max(axis=2), mean, context.max(axis=2)]).T @ self.out + self.offset
+        return out
 
     def calibrated(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -35, 35)))
@@ -196,6 +198,18 @@ class Net:
 
 WIDTH, EMBED, FILTERS = 5, 8, 24
 OWN = slice(BEFORE - WIDTH // 2, BEFORE + PIECE - WIDTH // 2)
+#: Places amid the padding of pieces of 19 characters or fewer. The place after them sees padding alone as they do, so it stands for all of them.
+REST = slice(BEFORE + PIECE - WIDTH - 16, BEFORE + PIECE - WIDTH)
+
+
+def folded(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Windows of short pieces without REST, and others: row numbers, characters that pooled places look at, places left out."""
+    short = (x[:, REST.start : BEFORE + PIECE] == 0).all(axis=1)
+    last = OWN.stop + WIDTH - 1
+    for rows, left in ((np.flatnonzero(short), REST.stop - REST.start), (np.flatnonzero(~short), 0)):
+        if len(rows):
+            part = x[rows]
+            yield rows, np.concatenate([part[:, : REST.start], part[:, REST.stop : last]], axis=1) if left else part[:, :last], left
 
 
 @dataclass
@@ -223,26 +237,33 @@ class Fit:
         net, order = self.net(), rng.permutation(len(tx))
         for at in range(0, len(order), 128):
             pick = order[at : at + 128]
-            x, net.offset = tx[pick], float(self.params[4][0])
-            cols, h = net.convolve(x)
-            lanes, rows = np.arange(FILTERS)[:, None], np.arange(len(pick))
-            at_own, at_context = OWN.start + h[:, :, OWN].argmax(axis=2), h[:, :, : OWN.start].argmax(axis=2)
-            pooled = np.concatenate([h[lanes, rows, at_own], h[:, :, OWN].mean(axis=2), h[lanes, rows, at_context]]).T
-            p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.offset, -35, 35)))
-            d = ((p - ty[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            d_pool = net.out[:, None] * d
-            d_h = np.zeros_like(h)
-            d_h[:, :, OWN] += d_pool[FILTERS : 2 * FILTERS, :, None] / PIECE
-            d_h[lanes, rows, at_own] += d_pool[:FILTERS]
-            d_h[lanes, rows, at_context] += d_pool[2 * FILTERS :]
-            d_h *= h > 0
-            flat, n = d_h.reshape(FILTERS, -1), x.size
-            d_cols, d_chars = (net.kernel @ flat).reshape(WIDTH, EMBED, n), np.zeros((EMBED, n + WIDTH - 1), np.float32)
-            for j in range(WIDTH):
-                d_chars[:, j : j + n] += d_cols[j]
-            chars = x.ravel().astype(np.intp)
-            d_embed = np.stack([np.bincount(chars, weights=lane[:n], minlength=97) for lane in d_chars], axis=1).astype(np.float32)
-            grads = [d_embed, cols @ flat.T, flat.sum(axis=1), pooled.T @ d, d.sum(keepdims=True)]
+            net.offset, grads = float(self.params[4][0]), []
+            for chosen, x, left in folded(tx[pick]):
+                cols, h, chars = net.convolve(x)
+                own, context = slice(OWN.start, OWN.stop - left), slice(0, OWN.start)
+                lanes, rows = np.arange(FILTERS)[:, None], np.arange(len(x))
+                at_own, at_context = own.start + h[:, :, own].argmax(axis=2), h[:, :, context].argmax(axis=2)
+                mean = (h[:, :, own].sum(axis=2) + left * h[:, :, REST.start]) / PIECE
+                pooled = np.concatenate([h[lanes, rows, at_own], mean, h[lanes, rows, at_context]]).T
+                p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.offset, -35, 35)))
+                d = ((p - ty[pick[chosen]]) * weight[pick[chosen]] / len(pick)).astype(np.float32)
+                d_pool = net.out[:, None] * d
+                d_pool[:FILTERS] *= pooled.T[:FILTERS] > 0
+                d_pool[2 * FILTERS :] *= pooled.T[2 * FILTERS :] > 0
+                d_h = np.empty_like(h)
+                d_h[:, :, : own.start], d_h[:, :, own.stop :] = 0, 0
+                np.multiply(h[:, :, own] > 0, d_pool[FILTERS : 2 * FILTERS, :, None] / PIECE, out=d_h[:, :, own])
+                d_h[:, :, REST.start] *= 1 + left
+                d_h[lanes, rows, at_own] += d_pool[:FILTERS]
+                d_h[lanes, rows, at_context] += d_pool[2 * FILTERS :]
+                flat, n = d_h.reshape(FILTERS, -1), len(chars)
+                d_cols, d_chars = (net.kernel @ flat).reshape(WIDTH, EMBED, n), np.zeros((EMBED, n + WIDTH - 1), np.float32)
+                for j in range(WIDTH):
+                    d_chars[:, j : j + n] += d_cols[j]
+                d_kernel = cols @ flat.T  # the bias's in the last row
+                d_embed = np.stack([np.bincount(chars, weights=lane[:n], minlength=97) for lane in d_chars], axis=1).astype(np.float32)
+                grads.append([d_embed, d_kernel[:-1], d_kernel[-1], pooled.T @ d, d.sum(keepdims=True)])
+            grads = [sum(parts) for parts in zip(*grads)]
             self.t += 1
             for param, g, m, v in zip(self.params, grads, self.first, self.second):
                 m += 0.1 * (g - m)
