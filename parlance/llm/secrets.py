@@ -154,7 +154,7 @@ def codes(windows: list[str]) -> np.ndarray:
 
 @dataclass
 class Net:
-    """Embedding, convolution with two max pools, logit; scale and shift calibrate, cut selects."""
+    """Embedding, convolution with pools, logit; scale and shift calibrate, cut selects."""
 
     embed: np.ndarray
     kernel: np.ndarray
@@ -165,28 +165,12 @@ class Net:
     shift: float = 0.0
     cut: float = 2.0
 
-    def convolve(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs of the convolution, its outputs (filters, windows, places) and the characters. One long row of characters; places that reach into the next window are never pooled."""
-        n = x.size
-        flat = np.zeros(n + WIDTH - 1, np.intp)
-        flat[:n] = x.ravel()
-        e = np.take(np.ascontiguousarray(self.embed.T), flat, axis=1, mode="clip")
-        cols = np.empty((WIDTH * EMBED + 1, n), np.float32)
-        for j in range(WIDTH):
-            cols[j * EMBED : (j + 1) * EMBED] = e[:, j : j + n]
-        cols[-1] = 1  # for the bias
-        h = np.concatenate([self.kernel.T, self.bias[:, None]], axis=1) @ cols
-        np.maximum(h, 0, out=h)
-        return cols, h.reshape(FILTERS, len(x), -1), flat[:n]
-
     def logits(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), np.float32)
-        for i in range(0, len(x), 256):
-            for rows, part, left in folded(x[i : i + 256]):
-                h = self.convolve(part)[1]
-                own, context = h[:, :, OWN.start : OWN.stop - left], h[:, :, : OWN.start]
-                mean = (own.sum(axis=2) + left * h[:, :, REST.start]) / PIECE
-                out[i + rows] = np.concatenate([own.max(axis=2), mean, context.max(axis=2)]).T @ self.out + self.offset
+        out, length, memory = np.zeros(len(x), np.float32), lengths(x), Memory()
+        order = np.argsort(-length, kind="stable")
+        for at in range(0, len(x), BATCH):
+            rows = order[at : at + BATCH]
+            out[rows] = Batch(x[rows], length[rows], memory).pooled(self.embed, self.kernel, self.bias) @ self.out + self.offset
         return out
 
     def calibrated(self, logit: np.ndarray) -> np.ndarray:
@@ -197,19 +181,136 @@ class Net:
 
 
 WIDTH, EMBED, FILTERS = 5, 8, 24
-OWN = slice(BEFORE - WIDTH // 2, BEFORE + PIECE - WIDTH // 2)
-#: Places amid the padding of pieces of 19 characters or fewer. The place after them sees padding alone as they do, so it stands for all of them.
-REST = slice(BEFORE + PIECE - WIDTH - 16, BEFORE + PIECE - WIDTH)
+#: Windows of a step.
+BATCH = 128
+#: Places: of the context, those looked at in every window (the first of them), those that see what follows the piece, and STEPS times STEP that longer pieces reach.
+CONTEXT, EVERY, TAIL, STEP, STEPS = BEFORE - WIDTH // 2, 32, 2, 12, 2
+#: Characters that places look at.
+SEEN = CONTEXT + PIECE + WIDTH - 1
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Characters of each window's piece."""
+    own = x[:, BEFORE : BEFORE + PIECE] != 0
+    return np.where(own.any(axis=1), PIECE - own[:, ::-1].argmax(axis=1), 0)
+
+
+class Memory:
+    """Arrays of a batch, used again by the next."""
+
+    def __init__(self) -> None:
+        most = BATCH * (EVERY + TAIL + STEP * STEPS) + 1
+        self.index, self.cols, self.h = np.empty(most * WIDTH, np.intp), np.empty(most * WIDTH * EMBED, np.float32), np.empty(most * FILTERS, np.float32)
+        self.hit, self.some, self.ones = np.empty(most * FILTERS, bool), np.empty(most * FILTERS, np.float32), np.ones(most, np.float32)
+        self.d_chars = np.empty(EMBED * SEEN * BATCH, np.float32)
+
+
+class Batch:
+    """At most BATCH windows, those of longer pieces first, laid out by place, then window, then filter: pools are maxima and sums of whole rows.
+
+    Places amid the padding of short pieces are left out, STEP at a time. They see padding alone; the last row is such a place and stands for all of them.
+    """
+
+    def __init__(self, x: np.ndarray, length: np.ndarray, memory: Memory) -> None:
+        many = len(x)
+        reach = [int(np.count_nonzero(length > EVERY - BEFORE + STEP * i)) for i in range(STEPS)]
+        #: First row, places, windows and first place of each part; then the parts of pieces' own places.
+        self.parts, at = [(0, EVERY, many, 0), (EVERY * many, TAIL, many, SEEN - WIDTH + 1 - TAIL)], (EVERY + TAIL) * many
+        for i, w in enumerate(reach):
+            if w:
+                self.parts.append((at, STEP, w, EVERY + STEP * i))
+                at += STEP * w
+        self.own = [(CONTEXT * many, EVERY - CONTEXT + TAIL, many), *(part[:3] for part in self.parts[2:])]
+        self.many, self.n, self.longest, self.memory = many, at + 1, reach[-1], memory
+        self.left = np.full((many, 1), STEP * STEPS, np.float32)  # places left out of each window
+        for w in reach:
+            self.left[:w] -= STEP
+        self.chars = x[:, :SEEN].T.astype(np.intp, order="C")
+        self.h = memory.h[: self.n * FILTERS].reshape(self.n, FILTERS)
+
+    def _rows(self, flat: np.ndarray, at: int, places: int, windows: int) -> np.ndarray:
+        return flat[at * FILTERS : (at + places * windows) * FILTERS].reshape(places, -1)
+
+    def pooled(self, embed: np.ndarray, kernel: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """By window: maxima over its own places, their means, and maxima over its context. h holds the outputs of the convolution less the bias, -bias at least."""
+        index = self.memory.index[: self.n * WIDTH].reshape(self.n, WIDTH)
+        for j in range(WIDTH):
+            for at, places, w, place in self.parts:
+                index[at : at + places * w, j].reshape(places, w)[...] = self.chars[place + j : place + j + places, :w]
+        index[-1] = 0
+        self.cols = self.memory.cols[: index.size * EMBED].reshape(self.n, WIDTH * EMBED)
+        np.take(embed, index.ravel(), axis=0, out=self.cols.reshape(-1, EMBED), mode="clip")
+        np.matmul(self.cols, kernel, out=self.h)
+        self.least, flat = np.tile(-bias, self.many), self.memory.h
+        for at, places, w, _ in self.parts:
+            part = self._rows(flat, at, places, w)
+            np.maximum(part, self.least[: w * FILTERS], out=part)
+        padding = np.maximum(self.h[-1], -bias, out=self.h[-1])
+        first = self._rows(flat, *self.own[0])
+        own, total, context = first.max(axis=0), first.sum(axis=0), self._rows(flat, 0, CONTEXT, self.many).max(axis=0)
+        for at in self.own[1:]:
+            part, width = self._rows(flat, *at), at[2] * FILTERS
+            np.maximum(own[:width], part.max(axis=0), out=own[:width])
+            total[:width] += part.sum(axis=0)
+        short = own.reshape(-1, FILTERS)[self.longest :]
+        np.maximum(short, padding, out=short)
+        self.most = own, context
+        out = np.empty((self.many, 3, FILTERS), np.float32)
+        out[:, 0], out[:, 2] = own.reshape(-1, FILTERS), context.reshape(-1, FILTERS)
+        out[:, 1] = (total.reshape(-1, FILTERS) + self.left * padding) / PIECE
+        out += bias
+        return out.reshape(self.many, -1)
+
+    def gradients(self, d_pooled: np.ndarray, embed: np.ndarray, kernel: np.ndarray, bias: np.ndarray) -> list[np.ndarray]:
+        """Of embedding, kernel and bias, given those of what is pooled. That of a maximum goes to the places that have it, in equal parts. h is written over."""
+        many, n, memory, flat = self.many, self.n, self.memory, self.memory.h
+        (own, context), padding = self.most, self.h[-1].copy()
+        d_own, d_mean, d_context = (d.ravel() for d in d_pooled.reshape(many, 3, FILTERS).transpose(1, 0, 2))
+        mean = d_mean / PIECE
+        part, hit = self._rows(flat, 0, CONTEXT, many), self._rows(memory.hit, 0, CONTEXT, many)
+        np.equal(part, context, out=hit)
+        np.multiply(hit, d_context * (context > self.least) / _count(hit), out=part)
+        in_padding = (own.reshape(-1, FILTERS) == padding) & (self.left > 0)
+        have = in_padding.ravel().astype(np.float32)
+        for at in self.own:
+            hit, width = self._rows(memory.hit, *at), at[2] * FILTERS
+            np.equal(self._rows(flat, *at), own[:width], out=hit)
+            have[:width] += _count(hit)
+        share = d_own * (own > self.least) / have
+        for at in self.own:
+            part, hit, some, width = self._rows(flat, *at), self._rows(memory.hit, *at), self._rows(memory.some, *at), at[2] * FILTERS
+            np.multiply(part > self.least[:width], mean[:width], out=part)
+            np.multiply(hit, share[:width], out=some)
+            part += some
+        self.h[-1] = (padding > -bias) * (self.left.T @ mean.reshape(-1, FILTERS))[0] + (share.reshape(-1, FILTERS) * in_padding).sum(axis=0)
+        d_kernel = sum((h.transpose(0, 2, 1) @ cols).sum(axis=0) for h, cols in zip(_chunks(self.h), _chunks(self.cols))).T
+        d_bias = memory.ones[:n] @ self.h
+        d_cols = memory.cols[: n * WIDTH * EMBED].reshape(WIDTH, EMBED, n)
+        np.matmul(kernel, self.h.T, out=d_cols.reshape(-1, n))
+        d_chars = memory.d_chars[: EMBED * self.chars.size].reshape(EMBED, SEEN, many)
+        d_chars[...] = 0
+        for j in range(WIDTH):
+            for at, places, w, place in self.parts:
+                d_chars[:, place + j : place + j + places, :w] += d_cols[j, :, at : at + places * w].reshape(EMBED, places, w)
+        chars, d_embed = self.chars.astype(np.uint8).ravel(), np.zeros_like(embed)
+        order, seen = np.argsort(chars, kind="stable"), np.bincount(chars, minlength=len(embed))
+        by_char = memory.some[: d_chars.size].reshape(EMBED, -1)
+        np.take(d_chars.reshape(EMBED, -1), order, axis=1, out=by_char, mode="clip")
+        d_embed[seen > 0] = np.add.reduceat(by_char, (np.cumsum(seen) - seen)[seen > 0], axis=1).T
+        d_embed[0] += d_cols[:, :, -1].sum(axis=0)
+        return [d_embed, d_kernel, d_bias]
+
+
+def _chunks(a: np.ndarray) -> Iterator[np.ndarray]:
+    """All rows of a matrix, 128 at a time: the library multiplies small matrices without packing them first."""
+    whole = len(a) // 128 * 128
+    yield a[:whole].reshape(-1, 128, a.shape[1])
+    yield a[None, whole:]
 
 
-def folded(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Windows of short pieces without REST, and others: row numbers, characters that pooled places look at, places left out."""
-    short = (x[:, REST.start : BEFORE + PIECE] == 0).all(axis=1)
-    last = OWN.stop + WIDTH - 1
-    for rows, left in ((np.flatnonzero(short), REST.stop - REST.start), (np.flatnonzero(~short), 0)):
-        if len(rows):
-            part = x[rows]
-            yield rows, np.concatenate([part[:, : REST.start], part[:, REST.stop : last]], axis=1) if left else part[:, :last], left
+def _count(hit: np.ndarray) -> np.ndarray:
+    """Rows that are true, by column; of fewer than 256."""
+    return np.add.reduce(hit.view(np.uint8), axis=0, dtype=np.uint8)
 
 
 @dataclass
@@ -232,43 +333,26 @@ class Fit:
 
     def epoch(self, tx: np.ndarray, ty: np.ndarray, share: float, rng: np.random.Generator, rate: float = 0.01) -> None:
         """One pass of Adam over the windows; share: of positives among all that are trained on, by which both kinds get the same weight."""
-        ty = ty.astype(np.float32)
+        ty, length, memory = ty.astype(np.float32), lengths(tx), Memory()
         weight = np.where(ty > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-        net, order = self.net(), rng.permutation(len(tx))
-        for at in range(0, len(order), 128):
-            pick = order[at : at + 128]
-            net.offset, grads = float(self.params[4][0]), []
-            for chosen, x, left in folded(tx[pick]):
-                cols, h, chars = net.convolve(x)
-                own, context = slice(OWN.start, OWN.stop - left), slice(0, OWN.start)
-                lanes, rows = np.arange(FILTERS)[:, None], np.arange(len(x))
-                at_own, at_context = own.start + h[:, :, own].argmax(axis=2), h[:, :, context].argmax(axis=2)
-                mean = (h[:, :, own].sum(axis=2) + left * h[:, :, REST.start]) / PIECE
-                pooled = np.concatenate([h[lanes, rows, at_own], mean, h[lanes, rows, at_context]]).T
-                p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.offset, -35, 35)))
-                d = ((p - ty[pick[chosen]]) * weight[pick[chosen]] / len(pick)).astype(np.float32)
-                d_pool = net.out[:, None] * d
-                d_pool[:FILTERS] *= pooled.T[:FILTERS] > 0
-                d_pool[2 * FILTERS :] *= pooled.T[2 * FILTERS :] > 0
-                d_h = np.empty_like(h)
-                d_h[:, :, : own.start], d_h[:, :, own.stop :] = 0, 0
-                np.multiply(h[:, :, own] > 0, d_pool[FILTERS : 2 * FILTERS, :, None] / PIECE, out=d_h[:, :, own])
-                d_h[:, :, REST.start] *= 1 + left
-                d_h[lanes, rows, at_own] += d_pool[:FILTERS]
-                d_h[lanes, rows, at_context] += d_pool[2 * FILTERS :]
-                flat, n = d_h.reshape(FILTERS, -1), len(chars)
-                d_cols, d_chars = (net.kernel @ flat).reshape(WIDTH, EMBED, n), np.zeros((EMBED, n + WIDTH - 1), np.float32)
-                for j in range(WIDTH):
-                    d_chars[:, j : j + n] += d_cols[j]
-                d_kernel = cols @ flat.T  # the bias's in the last row
-                d_embed = np.stack([np.bincount(chars, weights=lane[:n], minlength=97) for lane in d_chars], axis=1).astype(np.float32)
-                grads.append([d_embed, d_kernel[:-1], d_kernel[-1], pooled.T @ d, d.sum(keepdims=True)])
-            grads = [sum(parts) for parts in zip(*grads)]
+        flat, first, second = (np.concatenate([a.ravel() for a in own]) for own in (self.params, self.first, self.second))
+        parts = np.split(flat, np.cumsum([a.size for a in self.params])[:-1])
+        embed, kernel, bias, out, offset = (part.reshape(a.shape) for part, a in zip(parts, self.params))
+        order = rng.permutation(len(tx))
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
+            pick = pick[np.argsort(-length[pick], kind="stable")]
+            batch = Batch(tx[pick], length[pick], memory)
+            pooled = batch.pooled(embed, kernel, bias)
+            p = 1 / (1 + np.exp(-np.clip(pooled @ out + offset, -35, 35)))
+            d = ((p - ty[pick]) * weight[pick] / len(pick)).astype(np.float32)
+            g = np.concatenate([a.ravel() for a in (*batch.gradients(d[:, None] * out, embed, kernel, bias), d @ pooled, d.sum(keepdims=True))])
             self.t += 1
-            for param, g, m, v in zip(self.params, grads, self.first, self.second):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                param -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-7)
+            first += 0.1 * (g - first)
+            second += 0.001 * (g * g - second)
+            flat -= rate * (first / (1 - 0.9**self.t)) / (np.sqrt(second / (1 - 0.999**self.t)) + 1e-7)
+        for own, row in ((self.params, flat), (self.first, first), (self.second, second)):
+            own[:] = [part.reshape(a.shape) for part, a in zip(np.split(row, np.cumsum([a.size for a in own])[:-1]), own)]
 
     def pack(self) -> np.ndarray:
         """Parameters, moments (the second as roots, which are of one size with the first) and steps in one row."""
@@ -351,7 +435,7 @@ def training_set(found: list[tuple[str, bool]], seed: int = 7) -> tuple[np.ndarr
     rng = random.Random(seed)
     rows = {w: label for w, label in found}
     plain = [w for w, label in sorted(rows.items()) if not label] or sorted(rows)
-    words = sorted({x.lower() for w in plain for x in re.findall(r"[A-Za-z]{3,9}", w)}) or ["word"]
+    words = sorted({x.lower() for x in set(re.findall(r"[A-Za-z]{3,9}", "\0".join(plain)))}) or ["word"]
     for many, label, make in ((FIT_PLANTED, True, lambda: planted(rng)), (FIT_HARMLESS, False, lambda: harmless(rng, words))) if plain else ():
         for _ in range(many):
             around, made = rng.choice(plain), make()
@@ -361,8 +445,9 @@ def training_set(found: list[tuple[str, bool]], seed: int = 7) -> tuple[np.ndarr
                 start = text.index(made, len(text) - len(made) - AFTER if len(text) > len(made) + AFTER else 0)
                 for window, _, _ in pieces(text, start, start + len(made)):
                     rows.setdefault(window, label)
-    windows = sorted(rows, key=_order)
-    held = np.array([_order(w) % 4 == 3 for w in windows], bool)
+    lots = dict(zip(rows, map(_order, rows)))
+    windows = sorted(rows, key=lots.__getitem__)
+    held = np.array([lots[w] % 4 == 3 for w in windows], bool)
     return codes(windows), np.array([rows[w] for w in windows], np.float64), held
 
 

@@ -438,6 +438,54 @@ def test_secret_network_learns_from_every_piece(spark, monkeypatch):
     assert got == float(net.calibrated(np.sort(logit)[int((1 - secrets.RECALL) * len(logit)) :][:1])[0])
 
 
+def plain_step(own, x, y, share):
+    """Gradients of one batch by whole rows of places, each window's 62 characters in one long row."""
+    embed, kernel, bias, out, offset = own.params
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    x, width = x[:, :62], len(embed[0])
+    chars, n = np.r_[x.ravel(), np.zeros(4, np.uint8)].astype(np.intp), x.size
+    e = np.take(embed.T, chars, axis=1)
+    cols = np.concatenate([e[:, j : j + n] for j in range(5)])
+    h = np.maximum(kernel.T @ cols + bias[:, None], 0).reshape(len(bias), len(x), -1)
+    lanes, rows = np.arange(len(bias))[:, None], np.arange(len(x))
+    top, near = 18 + h[:, :, 18:58].argmax(axis=2), h[:, :, :18].argmax(axis=2)
+    pooled = np.concatenate([h[lanes, rows, top], h[:, :, 18:58].sum(axis=2) / 40, h[lanes, rows, near]])
+    d = ((1 / (1 + np.exp(-np.clip(out @ pooled + offset, -35, 35))) - y) * weight / len(x)).astype(np.float32)
+    d_top, d_mean, d_near = (out[:, None] * d).reshape(3, len(bias), -1)
+    d_h = np.zeros_like(h)
+    d_h[:, :, 18:58] = (h[:, :, 18:58] > 0) * d_mean[:, :, None] / 40
+    d_h[lanes, rows, top] += d_top * (h[lanes, rows, top] > 0)
+    d_h[lanes, rows, near] += d_near * (h[lanes, rows, near] > 0)
+    flat = d_h.reshape(len(bias), -1)
+    d_cols, d_chars = (kernel @ flat).reshape(5, width, n), np.zeros((width, n + 4), np.float32)
+    for j in range(5):
+        d_chars[:, j : j + n] += d_cols[j]
+    d_embed = np.stack([np.bincount(chars, weights=lane, minlength=len(embed)) for lane in d_chars], axis=1)
+    return [d_embed, cols @ flat.T, flat.sum(axis=1), pooled @ d, d.sum(keepdims=True)]
+
+
+def test_secret_network_step_is_the_plain_one_and_cheaper():
+    """Steps that leave out padding have the plain step's gradients, pieces of every length and repeated places included, with fewer places multiplied."""
+    rng = random.Random(6)
+    made = [secrets.planted(rng) for _ in range(400)] + [rng.choice("=-a") * n for n in range(12, 41)] + ["word" * 3 + "x" * (n % 29) for n in range(600)]
+    windows = sorted({w for x in made for w, _, _ in secrets.pieces(f"a text {x} more", 7, 7 + len(x))} | {"\0" * 20 + "x" * n + "\0" * (44 - n) for n in range(41)})
+    rng.shuffle(windows)
+    x, y = secrets.codes(windows), np.arange(len(windows)) % 3 == 0
+    assert set(secrets.lengths(x)) >= set(range(0, 41))
+    for many in (1, 2, 77, 128):
+        own = secrets.Fit.start(np.random.default_rng(many))
+        want, before = plain_step(own, x[:many], y[:many], 0.3), secrets.Fit.unpack(own.pack())
+        own.epoch(x[:many], y[:many], 0.3, np.random.default_rng(1))
+        for got, g in zip(own.first, want):
+            assert np.abs(got - 0.1 * g).max() <= 1e-5 * np.abs(0.1 * g).max() + 1e-9
+        rows = [before.net().logits(x[i : i + 1])[0] for i in range(0, len(x), 7)]
+        assert np.abs(before.net().logits(x)[::7] - rows).max() < 1e-5
+
+    short = x[secrets.lengths(x) <= 12]
+    batch = secrets.Batch(short, secrets.lengths(short), secrets.Memory())
+    assert len(short) > 12 and batch.n <= 34 * len(short) + 1  # places that are multiplied, of 58 each; 46 before
+
+
 # 7
 
 
