@@ -37,7 +37,6 @@ from parlance.llm.common import arrow_map, bound_arrow, materialise, passing, re
 KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
-_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = 12
 BEFORE, PIECE, AFTER = 20, 40, 4
 #: Of a training block: pieces found (both kinds together, on average), and secrets and harmless candidates that are planted. No bound on the number of blocks.
@@ -74,7 +73,7 @@ def patterns(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int, in
         return []
     out = []
     low = text.lower()
-    if any(w in low for w in _WORDS):
+    if "passw" in low or "secret" in low or "token" in low or "apik" in low or "api_" in low:  # the names in ASSIGN
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= 12]
     for a, z in found:
         if z - a >= 16:
@@ -87,6 +86,8 @@ def patterns(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int, in
 
 def pieces(text: str, a: int, z: int) -> list[tuple[str, int, int]]:
     """Fixed windows over a candidate, with the part that each is about: context before, a piece, context after; short pieces are padded behind."""
+    if z - a <= PIECE:
+        return [(text[max(0, a - BEFORE) : a].rjust(BEFORE, "\0") + text[a:z].ljust(PIECE, "\0") + text[z : z + AFTER].ljust(AFTER, "\0"), a, z)]
     out = []
     for at in range(a, z, PIECE):
         end = min(at + PIECE, z)
@@ -232,7 +233,7 @@ class Batch:
         return flat[at * FILTERS : (at + places * windows) * FILTERS].reshape(places, -1)
 
     def pooled(self, embed: np.ndarray, kernel: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """By window: maxima over its own places, their means, and maxima over its context. h holds the outputs of the convolution less the bias, -bias at least."""
+        """By window: maxima over its own places, their means, and maxima over its context. h holds the outputs of the convolution less the bias, own ones -bias at least."""
         index = self.memory.index[: self.n * WIDTH].reshape(self.n, WIDTH)
         for j in range(WIDTH):
             for at, places, w, place in self.parts:
@@ -242,12 +243,12 @@ class Batch:
         np.take(embed, index.ravel(), axis=0, out=self.cols.reshape(-1, EMBED), mode="clip")
         np.matmul(self.cols, kernel, out=self.h)
         self.least, flat = np.tile(-bias, self.many), self.memory.h
-        for at, places, w, _ in self.parts:
-            part = self._rows(flat, at, places, w)
-            np.maximum(part, self.least[: w * FILTERS], out=part)
+        for at in self.own:
+            part = self._rows(flat, *at)
+            np.maximum(part, self.least[: part.shape[1]], out=part)
         padding = np.maximum(self.h[-1], -bias, out=self.h[-1])
         first = self._rows(flat, *self.own[0])
-        own, total, context = first.max(axis=0), first.sum(axis=0), self._rows(flat, 0, CONTEXT, self.many).max(axis=0)
+        own, total, context = first.max(axis=0), first.sum(axis=0), np.maximum(self._rows(flat, 0, CONTEXT, self.many).max(axis=0), self.least)
         for at in self.own[1:]:
             part, width = self._rows(flat, *at), at[2] * FILTERS
             np.maximum(own[:width], part.max(axis=0), out=own[:width])
@@ -269,7 +270,7 @@ class Batch:
         mean = d_mean / PIECE
         part, hit = self._rows(flat, 0, CONTEXT, many), self._rows(memory.hit, 0, CONTEXT, many)
         np.equal(part, context, out=hit)
-        np.multiply(hit, d_context * (context > self.least) / _count(hit), out=part)
+        np.multiply(hit, d_context * (context > self.least) / np.maximum(_count(hit), 1), out=part)
         in_padding = (own.reshape(-1, FILTERS) == padding) & (self.left > 0)
         have = in_padding.ravel().astype(np.float32)
         for at in self.own:
@@ -396,7 +397,7 @@ def labelled(text: str, found: list[tuple[int, int]]) -> Iterator[tuple[str, boo
     spans = patterns(text, found)
     for a, z in found:
         for window, at, end in pieces(text, a, z):
-            yield window, any(min(e, end) - max(s, at) >= min(CANDIDATE, end - at) for s, _, e in spans)
+            yield window, bool(spans) and any(min(e, end) - max(s, at) >= min(CANDIDATE, end - at) for s, _, e in spans)
 
 
 def _order(window: str) -> int:
@@ -655,7 +656,7 @@ def find_secrets(docs: DataFrame, net: Net | None = None, id_col: str = "doc_id"
             spans = patterns(text, found)
             base.append(spans)
             for a, z in found:
-                if not any(s < z and a < e for s, _, e in spans):
+                if not spans or not any(s < z and a < e for s, _, e in spans):
                     for window, _, _ in pieces(text, a, z):
                         windows.append(window)
                         owner.append(len(place))
